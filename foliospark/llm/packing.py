@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialize
 from .encoding import ChunkEncoder, grouped, vocabulary
 
-CAPACITY, END_ID, GROUPS = 1024, 2, 24
-#: Pieces of at most this share of the capacity are small: they fill gaps.
-SMALL = 0.125
+CAPACITY, END_ID = 1024, 2
+#: The scheme's parameters; of all combinations the one with the fewest sequences is taken. Groups of large lengths,
+#: and the share of the capacity up to which pieces are small, so that they fill gaps.
+GROUPS, SMALL = (24, 48), (1 / 8, 1 / 4, 1 / 3, 1 / 2)
 #: Ranks are counted in so many buckets per length, so that a hot length is ranked by many tasks.
 BUCKETS = 256
 
@@ -69,13 +70,19 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return [([int(round(c)) for c in basis[:, k]], float(x[k])) for k in range(n)]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Bins as (lengths in the bin, number of such bins) for pieces of the given lengths; every piece has a place."""
+    tried = [grouping(histogram, capacity, g, s) for s in SMALL for g in GROUPS]
+    return min(tried, key=lambda bins: sum(n for _, n in bins))
+
+
+def grouping(histogram: dict[int, int], capacity: int, groups: int, share: float) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of the linear grouping scheme with one choice of its parameters."""
     left = Counter({s: n for s, n in histogram.items() if n})
     if any(not 0 < s <= capacity for s in left):
         raise ValueError("lengths are from 1 to the capacity")
     bins: list[tuple[tuple[int, ...], int]] = []
-    small = max(1, int(capacity * SMALL))
+    small = max(1, int(capacity * share))
     large = sorted((s for s in left if small < s < capacity), reverse=True)
     if capacity in left:
         bins.append(((capacity,), left.pop(capacity)))
