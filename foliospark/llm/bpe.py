@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .encoding import _ODD, load, vocabulary
 
-MEMO_SIZE = 250_000
+#: Chunks and words held per worker; a memo is emptied when it is full, which costs time only.
+MEMO_SIZE = 600_000
 
 
 class MergeAutomaton:
@@ -94,7 +95,7 @@ class MergeAutomaton:
                 arc = p << 24 | t
                 ok = table.get(arc)
                 if ok is None:
-                    if len(table) > 1_000_000:
+                    if len(table) > 500_000:
                         table.clear()
                     ok = table[arc] = self._present(p, self.labels[t])
                 if ok:
@@ -128,7 +129,7 @@ class WordBpe:
         if len(self.ids) >= MEMO_SIZE:
             self.ids.clear()
             self.arcs.clear()
-        if len(self.words) >= MEMO_SIZE:
+        if len(self.words) >= MEMO_SIZE // 2:
             self.words.clear()
         got = []
         for word, _ in self.splitter.pre_tokenize_str(chunk):
@@ -177,6 +178,16 @@ class WordBpe:
         return tuple(" ".join(p[k] for p in parts) for k in (0, 1))
 
 
+_coders: dict[str, WordBpe] = {}
+
+
+def coder(content: str) -> WordBpe:
+    """This worker's automaton for a vocabulary; it and its memo live as long as the worker."""
+    if content not in _coders:
+        _coders[content] = WordBpe(content)
+    return _coders[content]
+
+
 def encode_decode(docs: DataFrame, vocabulary_name: str = "word_bpe_49k.json", texts: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``texts`` also ids and decoded.
 
@@ -190,7 +201,7 @@ def encode_decode(docs: DataFrame, vocabulary_name: str = "word_bpe_49k.json", t
         bpe = None
         names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
-            bpe = bpe or WordBpe(content.value)
+            bpe = bpe or coder(content.value)
             rows = []
             for text in b.column(1):
                 ids, decoded = bpe.encode(text.as_py() or "")

@@ -16,8 +16,8 @@ from pathlib import Path
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks held per worker; the memo is emptied when it is full, which costs time only.
-MEMO_SIZE = 400_000
+#: Chunks held per worker (some 200 MB); the memo is emptied when it is full, which costs time only.
+MEMO_SIZE = 1_000_000
 #: Texts encoded together hold about so many characters.
 GROUP_CHARS = 400_000
 #: Where lower-casing and NFC are not plainly the ones of str.lower, or str.split differs from ``\s``.
@@ -65,8 +65,6 @@ class ChunkEncoder:
         return out
 
     def _fill(self, missing: list[str]) -> None:
-        if len(self.memo) + len(missing) > MEMO_SIZE:
-            self.memo.clear()
         for c, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             self.memo[c] = np.asarray(e.ids, "<u4").tobytes()
         if not self.drops_space:
@@ -76,7 +74,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        missing = list(set(chain.from_iterable(c for c in cut if c is not None)) - self.memo.keys())
+        distinct = set(chain.from_iterable(c for c in cut if c is not None))
+        missing = list(distinct - self.memo.keys())
+        if missing and len(self.memo) + len(missing) > MEMO_SIZE:
+            self.memo.clear()
+            missing = list(distinct)
         if missing:
             self._fill(missing)
         get, out = self.memo.__getitem__, []
@@ -95,6 +97,16 @@ class ChunkEncoder:
         return out
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(content: str) -> ChunkEncoder:
+    """This worker's encoder for a vocabulary; its memo lives as long as the worker."""
+    if content not in _encoders:
+        _encoders[content] = ChunkEncoder(content)
+    return _encoders[content]
+
+
 def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of bounded total length, with the index of the first; null becomes empty."""
     start, total, run = 0, 0, []

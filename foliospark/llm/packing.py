@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize
-from .encoding import ChunkEncoder, grouped, vocabulary
+from .encoding import encoder, grouped, vocabulary
 
 CAPACITY, END_ID = 1024, 2
 #: The scheme's parameters; of all combinations the one with the fewest sequences is taken. Groups of large lengths,
@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
         for b in batches:
-            enc = enc or ChunkEncoder(content.value)
+            enc = enc or encoder(content.value)
             rows: list[tuple] = []
             for at, texts in grouped(b.column(1).to_pylist()):
                 for i, ids in enumerate(enc.encode(texts), at):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import scratch_dir
-from .encoding import ChunkEncoder, grouped, vocabulary
+from .encoding import encoder, grouped, vocabulary
 
 END_ID = 1
 DOC = np.dtype([("present", "u1"), ("id", "<i8")])
@@ -50,7 +50,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_name: str
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(content.value)
+        enc = encoder(content.value)
         kind = "<u2" if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         shard, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         system, root = _filesystem(path)
