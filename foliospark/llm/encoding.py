@@ -10,19 +10,25 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
+from operator import not_
 from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks held per worker (some 200 MB); the memo is emptied when it is full, which costs time only.
-MEMO_SIZE = 1_000_000
+#: Chunks in a worker's memo; a full memo becomes the old one, from which used chunks come back (both some 250 MB).
+MEMO_SIZE = 600_000
 #: Texts encoded together hold about so many characters.
 GROUP_CHARS = 400_000
 #: Where lower-casing and NFC are not plainly the ones of str.lower, or str.split differs from ``\s``.
 _ODD = re.compile("[\x1c-\x1fİ̀-\U0010ffff]")
 
+#: In the memo, for a chunk whose text must go to the library whole; no ids are these bytes, as each has four.
+WHOLE = b"whole"
+#: A chunk of at most a line break, a space, a word and stops, which are words of their own.
+_WORD = re.compile("(\n?)( ?)([A-Za-zÀ-ÖØ-öø-ɏ]{1,64})([,.!?;:]{0,4})")
+
 
 def vocabulary(name: str) -> str:
     """The content of a public tokenizer file; small (under 2 MB), so tasks may carry it."""
@@ -47,7 +53,9 @@ class ChunkEncoder:
         self.tok = load(content)
         self.drops_space = self.tok.normalizer is not None  # the word-level vocabulary; the other is byte-level
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def chunks(self, text: str) -> list[str] | None:
         """Independent chunks of a text, or None if the whole text must go to the library.
@@ -65,37 +73,71 @@ class ChunkEncoder:
         return out
 
     def _fill(self, missing: list[str]) -> None:
-        for c, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memo[c] = np.asarray(e.ids, "<u4").tobytes()
+        """Encode chunks that the memo lacks. Most are a Latin word and stops: such words are encoded many at once, as
+        the words of one text, since the library's cost is mostly by call."""
+        memo, other, plain = self.memo, [], []
+        for c in missing:
+            if m := _WORD.fullmatch(c):
+                plain.append((c, *m.groups()))
+            else:
+                other.append(c)
+        for spaced in (False, True):
+            fresh = list({word for _, _, space, word, _ in plain if bool(space) == spaced and f"{space}{word}" not in memo})
+            gap = " " if spaced or self.drops_space else "\n"
+            e = self.tok.encode((gap if spaced else "") + gap.join(fresh), add_special_tokens=False)
+            ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids, np.int64)
+            if gap == "\n":  # the line breaks between are words too
+                of = np.where(of % 2 == 0, of // 2, -1)
+                ids, of = ids[of >= 0], of[of >= 0]
+            ends = np.searchsorted(of, np.arange(len(fresh)), "right").tolist()
+            at, raw = 0, ids.tobytes()
+            for word, end in zip(fresh, ends, strict=True):
+                memo[f" {word}" if spaced else word] = raw[4 * at : 4 * end]
+                at = end
+        stops = {x for _, line, _, _, stop in plain for x in (line, stop) if x and x not in self.parts}
+        for x in stops:
+            self.parts[x] = np.asarray(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        for c, line, space, word, stop in plain:
+            memo[c] = self.parts[line] + memo[f"{space}{word}"] + self.parts[stop]
+        for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            memo[c] = np.asarray(e.ids, "<u4").tobytes()
         if not self.drops_space:
-            for c in missing:  # a chunk that ends with white space, or has it twice in front, depends on its neighbours
+            for c in other:  # a chunk that ends with white space, or has it twice in front, depends on its neighbours
                 if c[-1:].isspace() or c[:2].isspace() and len(c) > 1 or c == "":
-                    self.memo[c] = None
+                    memo[c] = WHOLE
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        distinct = set(chain.from_iterable(c for c in cut if c is not None))
-        missing = list(distinct - self.memo.keys())
-        if missing and len(self.memo) + len(missing) > MEMO_SIZE:
-            self.memo.clear()
-            missing = list(distinct)
-        if missing:
-            self._fill(missing)
-        get, out = self.memo.__getitem__, []
-        for text, c in zip(texts, cut, strict=True):
+        found = [None if c is None else list(map(self.memo.get, c)) for c in cut]
+        holes: set[str] = set()
+        for c, got in zip(cut, found, strict=True):
+            if got is not None and None in got:
+                holes.update(compress(c, map(not_, got)))
+        if holes:
+            self._recall(holes)
+        out = []
+        for text, c, got in zip(texts, cut, found, strict=True):
             ids = None
             if not text:
                 ids = b""
-            elif c is not None:
-                try:
-                    ids = b"".join(map(get, c))
-                except TypeError:
-                    ids = None
+            elif got is not None:
+                if None in got:
+                    late = map(self.memo.__getitem__, compress(c, map(not_, got)))
+                    got = [x or next(late) for x in got]
+                if WHOLE not in got:
+                    ids = b"".join(got)
             if ids is None:
                 ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             out.append(ids)
         return out
 
+    def _recall(self, holes: set[str]) -> None:
+        if len(self.memo) + len(holes) > MEMO_SIZE:
+            self.old, self.memo = self.memo, {}
+        known = self.old.keys() & holes
+        self.memo.update((c, self.old[c]) for c in known)
+        self._fill(list(holes - known))
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
