@@ -1,7 +1,7 @@
 """Sharding by proportional stratified interleaving, with DataFrame functions only.
 
-Rows are shuffled by a seeded digest of their id and ranked within their source; the rank over the source's size is
-their fractional rank. In the order of fractional ranks every stretch holds each source in proportion, so that order
+Rows are shuffled by a seeded digest of their id and ranked within their source; the rank, from a seeded start below
+one, over the source's size is their fractional rank. In the order of fractional ranks every stretch holds each source in proportion, so that order
 is cut into shards of equal row counts. Ranks are counted in two levels, in many buckets and then before each bucket,
 so a source with a third of all rows is ranked by many tasks.
 """
@@ -49,7 +49,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     rows = materialize(rows, "rows")
     ties = [F.col(c).asc_nulls_first() for c in ("doc_id", "text_crc32", "size")]
     in_source = _ranked(rows, ["source"], F.conv(F.substring("digest", 1, 2), 16, 10).cast("int"), [F.col("digest"), *ties], "source_rank", "source_rows")
-    fraction = (2 * F.col("source_rank") + 1) / (2 * F.col("source_rows"))
+    # each source starts at a seeded point of its first step: small sources would else all meet at the same fractions
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    fraction = (F.col("source_rank") + start) / F.col("source_rows")
     placed = materialize(in_source.withColumn("fraction", fraction), "fractions")
     order = [F.col("fraction"), F.col("source").asc_nulls_first(), F.col("source_rank")]
     whole = _ranked(placed, [], F.floor(F.col("fraction") * BUCKETS).cast("int"), order, "position", "all_rows")
