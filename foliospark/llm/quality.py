@@ -120,6 +120,19 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((kl[0] + kl[1]) / 2, 0, 1))
 
 
+def _nearest(known: dict[str, tuple[np.ndarray, np.ndarray]], chars: np.ndarray, common: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each row, the two distances from the reference that is nearest by their sum; infinite without references."""
+    best = np.full((2, len(words)), np.inf)
+    for lang, (c, w) in known.items():
+        own = [WORDS.index(x) for x in COMMON[lang]]
+        near = js_distance(chars / np.maximum(chars.sum(axis=1), 1)[:, None], c / c.sum())
+        part = common[:, own] / np.maximum(words, 1)[:, None]
+        of_words = js_distance(np.c_[part, np.maximum(1 - part.sum(axis=1), 0)], np.r_[w[own], max(0, 1 - w[own].sum())])
+        take = near + of_words < best.sum(axis=0)
+        best[:, take] = np.array([near, of_words])[:, take]
+    return best
+
+
 def rate(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row: doc_id, the counts, base_failed, kept, and the distances from the nearest language reference.
 
@@ -132,18 +145,10 @@ def rate(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            chars = np.asarray(b.column("chars").flatten(), dtype=float).reshape(n, len(CLASSES))
-            common = np.asarray(b.column("common").flatten(), dtype=float).reshape(n, len(WORDS))
+            chars = np.asarray(b.column("chars").flatten(), dtype=float).reshape(b.num_rows, len(CLASSES))
+            common = np.asarray(b.column("common").flatten(), dtype=float).reshape(b.num_rows, len(WORDS))
             words = b.column("n_words").to_numpy()
-            best = np.full((2, n), np.inf)
-            for lang, (c, w) in known.items():
-                own = [WORDS.index(x) for x in COMMON[lang]]
-                near = js_distance(chars / np.maximum(chars.sum(axis=1), 1)[:, None], c / c.sum())
-                part = common[:, own] / np.maximum(words, 1)[:, None]
-                of_words = js_distance(np.c_[part, np.maximum(1 - part.sum(axis=1), 0)], np.r_[w[own], max(0, 1 - w[own].sum())])
-                take = near + of_words < best.sum(axis=0)
-                best[:, take] = np.array([near, of_words])[:, take]
+            best = _nearest(known, chars, common, words)
             enough = np.array([b.column("word_chars").to_numpy() >= min_chars, words >= min_words]) & np.isfinite(best)
             out = [pa.array(np.where(ok, x, 0), mask=~ok) for x, ok in zip(best, enough, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", *_FIELDS[:5])), *out], names=["doc_id", *_FIELDS[:5], "char_distance", "word_distance"])
@@ -151,3 +156,24 @@ def rate(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float =
     rated = counted.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double")
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
     return rated.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def keep(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` that ``rate`` keeps, all columns as they are.
+
+    One pass makes the references, a second one judges each row by its own text and passes it on, so texts are not
+    shuffled and rows that share an id, or have none, get their own verdicts. An empty table stays empty.
+    """
+    known = references(document_counts(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n_words, word_chars, _, _, repeat, chars, common = (np.array(x) for x in zip(*(counts(t.as_py()) for t in b.column("text")), strict=True))
+            best = _nearest(known, chars.astype(float), common.astype(float), n_words)
+            enough = np.array([word_chars >= min_chars, n_words >= min_words]) & np.isfinite(best)
+            far = (enough & (best > np.array([[max_char], [max_word]]))).any(axis=0)
+            yield b.filter(pa.array((n_words >= 50) & (100 * repeat <= 50 * n_words) & ~far))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -18,7 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 
@@ -42,15 +42,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and the fingerprint ``fp`` as a signed long, one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, width: int = 3, row_key: Column | None = None) -> DataFrame:
+    """doc_id, the fingerprint ``fp`` as a signed long, and ``row_key`` (a string; null if not given), one row for
+    each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["doc_id", "fp", "row_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    key = F.lit(None).cast("string") if row_key is None else row_key
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row_key")).mapInArrow(run, "doc_id long, fp long, row_key string")
 
 
 def _entries(fps: DataFrame) -> DataFrame:
@@ -155,10 +157,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, block: int = BLOCK) -> Data
     row too; they link texts but never name a component, unless it has no other id (then it is null). Repeated rows
     each get a row. An empty table gives no rows. Only doc_id and text are read.
     """
-    prints = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), block))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = materialize(fingerprints(docs, width).drop("row_key"), "fingerprints")
+    rooted = _rooted(prints, block)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(prints: DataFrame, block: int) -> DataFrame:
+    """Per distinct fingerprint: its first document (``first``), its first row by id and key (``row``; rows without an
+    id come last) and its component (``root``)."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key") if "row_key" in prints.columns else F.lit(None)
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(row).alias("row"))
+    roots = components(links(distinct.select("fp"), block))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, all columns as they are.
+
+    It is the row with the smallest doc_id, of rows that share it the one whose digest of id and text is smallest; a
+    row without an id stays only if its group has no other. Of rows with equal id and text, one stays.
+    """
+    shown = F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("n"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), F.lit(":"), shown))
+    prints = materialize(fingerprints(docs, width, key), "fingerprints")
+    firsts = _rooted(prints, block).groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.row_key").alias("_key"))
+    return docs.withColumn("_key", key).join(materialize(firsts, "firsts"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -311,3 +311,23 @@ def test_pipeline(spark, tmp_path, docs):
     clean = spark.createDataFrame([r for r in good if r.doc_id in left], docs.select(*cols).schema)
     want = Counter((r.doc_id, r.piece, r.ids_crc32) for r in packing.pack(pii.redact(clean)).collect())
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows) == want
+
+
+def test_stages_with_shared_and_missing_ids(spark):
+    import corpus_pipeline
+
+    prose = " ".join(f"the word{i} of item{i * 7 % 91} and" for i in range(60))
+    other = " ".join(f"the line{i} of point{i * 5 % 83} and" for i in range(60))
+    third = " ".join(f"the place{i} of group{i * 3 % 71} and" for i in range(60))
+    rows = [(1, prose), (1, "short"), (1, prose), (2, other), (2, other), (2, prose), (None, third), (None, third), (None, other), (3, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("extra", F.lit(1))
+    good = corpus_pipeline.keep_good(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in good.collect()) == Counter(r for r in rows if r[1] not in (None, "short"))
+    left = corpus_pipeline.drop_copies(spark, good, "").collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(1, prose), (2, other), (None, third)])
+    assert list(left[0].asDict()) == list(corpus_pipeline.COLUMNS)
+    kept = Counter(r.doc_id for r in quality.rate(docs).where("kept").collect())
+    assert kept == Counter(r.doc_id for r in good.collect())
+    none = docs.where("false")
+    assert corpus_pipeline.drop_copies(spark, corpus_pipeline.keep_good(spark, none, ""), "").count() == 0
