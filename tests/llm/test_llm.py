@@ -316,7 +316,7 @@ def test_pipeline(spark, tmp_path, docs):
 def test_stages_with_shared_and_missing_ids(spark):
     import corpus_pipeline
 
-    prose = " ".join(f"the word{i} of item{i * 7 % 91} and" for i in range(60))
+    prose = " ".join(f"the word{i} of item{i * 7 % 97} and" for i in range(60))
     other = " ".join(f"the line{i} of point{i * 5 % 83} and" for i in range(60))
     third = " ".join(f"the place{i} of group{i * 3 % 71} and" for i in range(60))
     rows = [(1, prose), (1, "short"), (1, prose), (2, other), (2, other), (2, prose), (None, third), (None, third), (None, other), (3, None), (None, None)]
