@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as T, tokens as K
 from ..operators import align, chapters, layout
@@ -106,3 +106,37 @@ def user_sessions(spark, sf_dir):
 @query("SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - d * INTERVAL 30 MINUTE AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS d) GROUP BY ALL")
 def sliding_counts(spark, sf_dir):
     return windows.sliding(read(spark, sf_dir, "events"), "event_type", "ts")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents)
+    SELECT doc_id, count(*) AS n FROM l WHERE length(t) <= 120 AND (regexp_matches(t, '^(\\*\\*[^*]+\\*\\*|__[^_]+__)$')
+      OR regexp_matches(t, '(?i)^\\s*[*_]{0,3}(chapter|part|book|section|chapitre|kapitel|cap[ií]tulo)\\s+([0-9]{1,3}|[ivxlc]{1,7})\\b') OR (regexp_matches(t, '(\\p{L}[^\\p{L}]*){3}') AND upper(t) = t))
+    GROUP BY doc_id"""
+)
+def title_lines(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
+    return lines.where(chapters.title_line(F.col("t"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_WORDS} AS w, lag({_WORDS}) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM conversations)
+    SELECT conv_id, turn, round(CASE WHEN len(w) + len(v) = 0 THEN 1.0 ELSE len(list_distinct(list_intersect(w, v)))::DOUBLE / len(list_distinct(w || v)) END, 4) AS jaccard FROM t WHERE v IS NOT NULL"""
+)
+def turn_similarity(spark, sf_dir):
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.plain_words(F.col("text")).alias("w"))
+    t = t.withColumn("v", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("v IS NOT NULL")
+    return t.select("conv_id", "turn", F.round(K.jaccard(F.col("w"), F.col("v")), 4).alias("jaccard"))
+
+
+@query(
+    """SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(text, '(?m)^ {0,3}([-*+>]|#{1,6}|[0-9]{1,3}[.)])[ \\t]+', '', 'g'), '[*_`|\\\\\\[\\]#]+', '', 'g'), '\\p{P}'), '') AS marks FROM documents"""
+)
+def punctuation_stream(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", K.punctuation(F.col("text")).alias("marks"))
+
+
+@query("SELECT a.p_partkey, round(CASE WHEN a.p_name = '' AND b.p_name = '' THEN 0.0 ELSE levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) END, 4) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def name_distance(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").select("p_partkey", F.round(K.normalized_distance(F.col("p_name"), F.col("other")), 4).alias("distance"))
