@@ -21,9 +21,11 @@ def even_chunks(text: Column, size: int, limit: int) -> Column:
 def plausible(word: Column) -> Column:
     """Whether a recognised word may be one: a digit, a common short word, or three letters, two of them different,
     a vowel, and no upper case after lower case."""
-    letters = F.regexp_replace(word, r"[^\p{L}]+", "")
-    made = (F.length(letters) >= 3) & ~F.lower(letters).rlike(r"^(.)\1*$") & F.lower(letters).rlike("[aeiouyàáâäæãèéêëìíîïòóôöœøùúûü]") & ~letters.rlike(r"\p{Ll}\p{Lu}")
-    return word.rlike("[0-9]") | F.lower(letters).isin(SHORT) | made
+    def made(letters: Column) -> Column:
+        low = F.lower(letters)
+        return low.isin(SHORT) | ((F.length(letters) >= 3) & low.rlike("[aeiouyàáâäæãèéêëìíîïòóôöœøùúûü]") & ~low.rlike(r"^(.)\1*$") & ~letters.rlike(r"\p{Ll}\p{Lu}"))
+
+    return word.rlike("[0-9]") | let(F.regexp_replace(word, r"[^\p{L}]+", ""), made)
 
 
 def plausible_words(text: Column) -> Column:
