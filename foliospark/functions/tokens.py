@@ -45,11 +45,23 @@ def reads_as_words(text: Column, least: int = 3, share: float = 0.8) -> Column:
 
 
 def decimal_depth(title: Column) -> Column:
-    """The parts of a leading decimal number; zero without one."""
-    number = F.regexp_extract(title, r"^\s*([0-9]+(?:\.[0-9]+)*)[.)]?\s", 1)
+    """The parts of a leading decimal number, of one to five parts of two digits at most; zero without one."""
+    number = F.regexp_extract(title, r"^\s*([0-9]{1,2}(?:\.[0-9]{1,2}){0,4})\.?\s+\S", 1)
     return F.when(number == "", 0).otherwise(F.size(F.split(number, r"\.")))
 
 
+#: Codes of languages for two recognisers.
+LANGUAGES = {"eng": "en", "deu": "de", "fra": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl"}
+
+
+def language_codes(listed: Column) -> Column:
+    """The short codes of a list of languages with + or commas; others stay as they are, an empty list is English."""
+    parts = F.filter(F.transform(F.split(F.coalesce(listed, F.lit("")), "[+,]"), lambda x: F.trim(x)), lambda x: x != "")
+    known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    codes = F.transform(parts, lambda x: F.coalesce(F.try_element_at(known, x), x))
+    return F.when(F.size(codes) == 0, F.array(F.lit("en"))).otherwise(codes)
+
+
 def caption_start(text: Column) -> Column:
     return text.rlike(r"(?i)^[\s*_]*(table|figure|fig\.|chart|plate|map)\s*[0-9ivx]+")
 

@@ -116,11 +116,11 @@ def heading_parents(headings: DataFrame, deepest: int = 6) -> DataFrame:
     return headings.select("doc_id", "ord", level.alias("level")).select("doc_id", "ord", "level", under.alias("parent"))
 
 
-def style_levels(headings: DataFrame) -> DataFrame:
-    """``level`` of each heading: the rank of its style among those of its document, from the largest on, at most 6;
-    null where the document has fewer than two headings or styles."""
+def style_levels(headings: DataFrame, largest_first: bool = True) -> DataFrame:
+    """``level`` of each heading: the rank of its style among those of its document, at most 6; null where the document
+    has fewer than two headings or styles."""
     w = Window.partitionBy("doc_id")
-    rank = F.dense_rank().over(w.orderBy(F.desc("style")))
+    rank = F.dense_rank().over(w.orderBy(F.desc("style") if largest_first else F.asc("style")))
     ranked = headings.withColumn("_rank", rank).withColumn("_most", F.max("_rank").over(w))
     return ranked.withColumn("level", F.when(F.col("_most") >= 2, F.least("_rank", F.lit(6)))).drop("_rank", "_most")
 
@@ -144,6 +144,12 @@ def correction(factor: Column, ratio: Column, share: Column) -> Column:
     return F.least(F.greatest(factor * step, F.lit(0.15)), F.lit(8.0))
 
 
+def flips(pages: DataFrame, old: Column, new: Column) -> DataFrame:
+    """The pages on which two rules decide differently, a rule without a verdict counting as false."""
+    a, b = (F.coalesce(c, F.lit(False)) for c in (old, new))
+    return pages.withColumns({"old": a, "new": b}).where("old <> new")
+
+
 def block_scores(counts: DataFrame) -> DataFrame:
     """``precision``, ``recall`` and ``f1`` of rows (gold, output, matched); null where nothing is to be divided by."""
     p, r = F.try_divide("matched", "output"), F.try_divide("matched", "gold")

@@ -14,11 +14,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import tokens as K
+from .compare import style_levels
+
 ROUNDS, MIN_COVERAGE = 32, 0.5
 #: Grey levels between these are mid-tones; a cell is tone from this share on; a photo has so many cells.
 TONES, CELL, TONE_SHARE, PHOTO_CELLS, IN_PHOTO = (50, 200), 3, 0.6, 150, 0.5
 MIN_SIDE, MAX_PAGE_SHARE = 36.0, 0.85
 TIER_STEP, NO_DESCENDER = 0.25, 0.78
+#: What goes below the base line, words of divisions, letters as numbers.
+DESCENDERS = "gjpqy(),;[]{}|"
+DIVISION = r"(?i)^\s*(PART|APPENDIX|SCHEDULE|CHAPTER|ANNEX|ANNEXURE|SECTION)\b"
+LETTERED = r"^\s*\(?([a-z]|[ivx]{1,4})\)\s+\S"
 _TOKEN = re.compile(r"[^\W_]+")
 _UNPRINTED = re.compile(r"\]\([^)]*\)|</?[A-Za-z][^>]*>")
 
@@ -131,9 +138,13 @@ def figures(images: DataFrame, elements: DataFrame, pages: DataFrame) -> DataFra
     return old.unionByName(new).withColumn("ord", F.row_number().over(w)).select("doc_id", "page", "ord", "type", "text", "bbox")
 
 
-def line_size(text: str, height: float) -> float:
-    """The size of type of a line: its height, which is less where no letter goes below the base line."""
-    return height if re.search(r"[gjpqyQ,;()]", text or "") else height / NO_DESCENDER
+def line_size(text: str | None, height: float) -> float:
+    """The size of type of a line: its height, which is less where no letter goes below the base line. Not a number
+    for a blank line or one in brackets, which is set in a style of its own."""
+    text = (text or "").strip()
+    if not text or text.startswith("(") or not height > 0:
+        return float("nan")
+    return height if any(c in DESCENDERS for c in text) else height / NO_DESCENDER
 
 
 def tiers(sizes: list[float], body: float) -> list[int]:
@@ -153,10 +164,26 @@ def size_tiers(lines: DataFrame) -> DataFrame:
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         size = pd.Series([line_size(t, h) for t, h in zip(own["text"], own["height"], strict=True)], own.index)
+        own, size = own[size.notna()], size.dropna()
         body, heads = size[~own["heading"]], own[own["heading"]]
         each = size[heads.index].groupby(heads["ord"]).median() if len(body) and body.median() > 0 else pd.Series(dtype=float)
         found = tiers(each.tolist(), median(body)) if len(each) else []
-        return pd.DataFrame({"doc_id": [own["doc_id"].iloc[0]] * len(found), "ord": each.index[: len(found)].astype("int32"), "tier": np.array(found, np.int32)})
+        return pd.DataFrame({"doc_id": list(own["doc_id"][:1]) * len(found), "ord": each.index[: len(found)].astype("int32"), "tier": np.array(found, np.int32)})
 
     known = lines.where("height IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "ord", F.coalesce("heading", F.lit(False)).alias("heading"), "text", "height")
     return known.groupBy("doc_id").applyInPandas(run, "doc_id long, ord int, tier int")
+
+
+def typography_levels(headings: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, ord, level) of the headings (doc_id, ord, text) by their style: divisions first, then by depth of the
+    number, tier of size, capitals and letters as numbers. Levels are null where there are fewer than two styles;
+    headings without a size are left out. ``lines`` is as for ``size_tiers``."""
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    letters = F.length(F.regexp_replace(first, r"[^\p{L}]", ""))
+    capital = F.length(F.regexp_replace(first, r"[^\p{Lu}]", ""))
+    style = F.struct(
+        (~first.rlike(DIVISION)).alias("division"), K.decimal_depth(first).alias("depth"), "tier",
+        (~((letters >= 3) & (capital >= 0.8 * letters))).alias("caps"), first.rlike(LETTERED).alias("lettered"),
+    )
+    styled = headings.join(size_tiers(lines), ["doc_id", "ord"]).select("doc_id", "ord", style.alias("style"))
+    return style_levels(styled, largest_first=False).drop("style")

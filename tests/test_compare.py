@@ -37,3 +37,14 @@ def test_empty_tables(spark):
     scores = spark.createDataFrame([], "set string, page long, engine string, cost double")
     assert C.paired(scores, "x").count() == C.best_reading(scores).count() == C.complete_pages(scores).count() == 0
     assert C.threshold_rules(spark.createDataFrame([], "page long, feature string, value double, delta double, held boolean")).count() == 0
+
+
+def test_flips_and_languages(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.functions import tokens as K
+
+    pages = spark.createDataFrame([(1, 0.9), (2, 0.5), (3, None)], "page long, share double")
+    assert rows(C.flips(pages, F.col("share") > 0.4, F.col("share") > 0.6), "page", "old", "new") == [(2, True, False)]
+    listed = spark.createDataFrame([("eng+deu, pol",), (None,)], "x string").select(K.language_codes(F.col("x")).alias("c"), K.decimal_depth(F.col("x")).alias("d"))
+    assert [r.c for r in listed.collect()] == [["en", "de", "pol"], ["en"]]

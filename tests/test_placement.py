@@ -41,5 +41,12 @@ def test_figures(spark):
 def test_tiers(spark):
     assert P.tiers([20, 18, 14, 20], 10) == [0, 0, 1, 0]
     assert P.line_size("gap", 10) == 10 and P.line_size("ABC", 7.8) == pytest.approx(10)
+    assert P.line_size("(gap)", 10) != P.line_size("(gap)", 10)
     lines = spark.createDataFrame([(1, 1, True, "gy", 20.0), (1, 2, True, "gy", 14.0), (1, 3, False, "gy", 10.0), (2, 1, True, "gy", 20.0), (3, 1, None, None, None)], "doc_id long, ord int, heading boolean, text string, height double")
     assert sorted((r.doc_id, r.ord, r.tier) for r in P.size_tiers(lines).collect()) == [(1, 1, 0), (1, 2, 1)]
+
+
+def test_typography_levels(spark):
+    lines = spark.createDataFrame([(1, 1, True, "PART 1 gy", 12.0), (1, 2, True, "1. Sky", 12.0), (1, 3, True, "1.1 Sky", 12.0), (1, 4, False, "gy", 10.0), (2, 1, True, "gy", 12.0), (2, 2, True, "(gy)", 12.0), (2, 3, False, "gy", 10.0)], "doc_id long, ord int, heading boolean, text string, height double")
+    heads = lines.where("heading").select("doc_id", "ord", "text")
+    assert sorted((r.doc_id, r.ord, r.level) for r in P.typography_levels(heads, lines).collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, None)]
