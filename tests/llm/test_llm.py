@@ -331,3 +331,42 @@ def test_stages_with_shared_and_missing_ids(spark):
     assert kept == Counter(r.doc_id for r in good.collect())
     none = docs.where("false")
     assert corpus_pipeline.drop_copies(spark, corpus_pipeline.keep_good(spark, none, ""), "").count() == 0
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates_by_jaccard(spark, block):
+    from foliospark.llm import shingles
+
+    rng = np.random.default_rng(3)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [None, "", " ", "a b", "A  b", "a b c d e f"]
+    for n in [5, 9, 12, 30, 60, 90, 150, 400, 1000]:
+        base = [f"w{k}" for k in rng.integers(0, 5000, n)] + (passage if n % 20 == 10 else [])
+        for _ in range(14):
+            words = list(base)
+            for at in rng.integers(0, len(words), rng.integers(0, 2 + n // 30)):
+                words[at] = f"x{rng.integers(0, 9)}"
+            texts.append(" ".join(words[: len(words) - int(rng.integers(0, 1 + n // 8))]))
+    sets = [brute_set(t) for t in texts]
+    roots, far = list(range(len(sets))), 0
+
+    def find(a):
+        while roots[a] != a:
+            a = roots[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                roots[y] = x
+                far += (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3
+    want = {i for i in range(len(texts)) if find(i) == i}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in shingles.representatives(df, block=block).collect()} == want
+    assert far > 50 and 20 < len(want) < len(texts) - 20
