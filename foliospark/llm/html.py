@@ -2,8 +2,9 @@
 
 The standard library's parser streams a page's tags and text. Text between block tags is a line with its ratio of
 text to tags; ratios are smoothed by a Gaussian and lines above a threshold form clusters of content. The region is
-the smallest container that holds most clustered text (or the article it is in); every block of the region is kept,
-short ones too, but for parts marked as something else than article text.
+the article or main element that holds most clustered text or else, with the headings right before it, the smallest
+container that holds all of it; every block of the region is kept, short ones too, but for parts marked as something
+else than article text.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ MARKS = frozenset(
     " promotions related recommended recommendations replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe"
     " subscription tags toolbar topbar widget widgets complementary contentinfo alert".split()
 )
+#: Words that may stand beside a mark in a name ("cookie-bar"); with any other word the name is no mark ("has-sidebar").
+BESIDE = frozenset("area bar block box button buttons form inner item items left link links list message page panel right section site slot text unit".split())
 CLOSED_BY_BLOCK = "p"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 SIGMA, THRESHOLD, HOLD = 1.0, 0.5, 0.7
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-2, 3)]
@@ -41,12 +45,18 @@ LISTS = frozenset("ul ol dl table menu select".split())
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags met, the chain of open containers, and whether the line is dropped."""
+    """Lines of a page: text, tags met, the chain of open containers, whether the line is dropped, and the marks above.
+
+    A stack entry is dropped if it or one above is no article text whatever it holds; a mark by name is a number, as
+    what it encloses decides.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, container number, dropped
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # name, container number, dropped, marks
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.marks = 0
+        self.wrappers: set[int] = set()  # marks that enclose an article or main element
         self.names: list[str] = []
         self.text: list[str] = []
         self.tags = 0
@@ -54,7 +64,7 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack if n >= 0), bool(self.stack and self.stack[-1][2])))
+            self.lines.append((text, self.tags, tuple(x[1] for x in self.stack if x[1] >= 0), bool(self.stack and self.stack[-1][2]), self.stack[-1][3] if self.stack else ()))
             self.tags = 0
         self.text.clear()
 
@@ -79,15 +89,22 @@ class _Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        marked = tag in DROPPED or bool(attrs) and tag not in ("html", "body", "article", "main") and self.is_marked(attrs)
-        above = bool(self.stack and self.stack[-1][2])
-        if marked and not above and not block:
+        free = tag in ("html", "body", "article", "main")
+        dropped = tag in DROPPED or not free and self.is_hidden(attrs)
+        marked = not dropped and not free and self.is_marked(attrs)
+        above, marks = self.stack[-1][2:] if self.stack else (False, ())
+        if (dropped or marked) and not above and not block:
             self.flush()  # an inline part with text of its own kind
+        if marked:
+            marks = (*marks, self.marks)
+            self.marks += 1
+        if tag in ("article", "main") and not above:
+            self.wrappers.update(marks)
         number = -1
         if block:
             number = len(self.names)
             self.names.append(tag)
-        self.stack.append((tag, number, above or marked))
+        self.stack.append((tag, number, above or dropped, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -95,23 +112,28 @@ class _Lines(HTMLParser):
         else:  # as browsers do, the slash is ignored
             self.handle_starttag(tag, attrs)
 
+    def is_hidden(self, attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value.lower()) for name, value in attrs)
+
     def is_marked(self, attrs: list[tuple[str, str | None]]) -> bool:
+        """A name is a mark as a whole: a word of MARKS and besides it only such words and those of BESIDE."""
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and not MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
-                return True
+            if name in ("class", "id", "role") and value:
+                for whole in value.lower().split():
+                    parts = set(re.split(r"[^a-z]+", whole)) - {""}
+                    if not MARKS.isdisjoint(parts) and parts <= MARKS | BESIDE:
+                        return True
         return False
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         for at in range(len(self.stack) - 1, -1, -1):
-            name, _, dropped = self.stack[at]
+            name, _, dropped, marks = self.stack[at]
             if name == tag:
                 if tag in BLOCK:
                     self.pop_to(at)
                 else:
-                    if dropped and not (at and self.stack[at - 1][2]):
+                    if (dropped, marks) != (self.stack[at - 1][2:] if at else (False, ())) and not (at and self.stack[at - 1][2]):
                         self.flush()
                         del self.stack[at:]
                     else:
@@ -136,6 +158,33 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
+def _clusters(lines: list[tuple], dropped: list[bool]) -> list[int]:
+    """The lines that are not dropped and whose smoothed ratio of text to tags is above the threshold."""
+    kept = [i for i, drop in enumerate(dropped) if not drop]
+    if not kept:
+        return []
+    smooth = _smooth([0.0 if drop else len(x[0]) / max(x[1], 1) for x, drop in zip(lines, dropped, strict=True)])
+    limit = min(sum(smooth) / len(smooth) * THRESHOLD, max(smooth[i] for i in kept))
+    return [i for i in kept if smooth[i] >= limit]
+
+
+def _dropped(parser: _Lines) -> list[bool]:
+    """For each line whether it is dropped. A mark drops nothing if it encloses an article or main element or, on a
+    page without one, most of the clustered text beside a heading: then it is part of the layout."""
+    lines, wrappers = parser.lines, parser.wrappers
+    by_marks = [x[3] or not wrappers.issuperset(x[4]) for x in lines]
+    if by_marks == [x[3] for x in lines] or any(parser.names[c] in ("article", "main") for x, drop in zip(lines, by_marks, strict=True) if not drop for c in x[2]):
+        return by_marks
+    content = _clusters(lines, [x[3] for x in lines])
+    need, weight = HOLD * sum(len(lines[i][0]) for i in content), {}
+    for i in content:
+        for m in lines[i][4]:
+            weight[m] = weight.get(m, 0) + len(lines[i][0])
+    titled = {m for x in lines if not x[3] and x[2] and parser.names[x[2][-1]] in HEADINGS for m in x[4]}
+    wrappers = wrappers | {m for m, w in weight.items() if w >= need and m in titled}
+    return [x[3] or not wrappers.issuperset(x[4]) for x in lines]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by a blank line; empty if there are none."""
     if not html:
@@ -144,28 +193,28 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    kept = [i for i, x in enumerate(lines) if not x[3]]
-    if not kept:
-        return ""
-    smooth = _smooth([0.0 if drop else len(text) / max(tags, 1) for text, tags, _, drop in lines])
-    mean = sum(smooth) / len(smooth)
-    limit = min(mean * THRESHOLD, max(smooth[i] for i in kept))
-    content = [i for i in kept if smooth[i] >= limit]
+    lines, names = parser.lines, parser.names
+    dropped = _dropped(parser)
+    kept = [i for i, drop in enumerate(dropped) if not drop]
+    content = _clusters(lines, dropped)
+    body = [i for i in content if not lines[i][2] or names[lines[i][2][-1]] not in HEADINGS]
+    content = [i for i in content if i >= body[0]] if body else content  # headings before it are added below
     weight: dict[int, int] = {}
     for i in content:
         for c in lines[i][2]:
             weight[c] = weight.get(c, 0) + len(lines[i][0])
-    need = HOLD * sum(len(lines[i][0]) for i in content)
-    region = [c for c, w in weight.items() if w >= need]
-    inside = kept
-    if region:
-        c = max(region)  # containers are numbered as they open, so the last is the innermost
-        chain = next(lines[i][2] for i in content if c in lines[i][2])
-        outer = [x for x in chain[: chain.index(c) + 1] if parser.names[x] in ("article", "main")]
-        holders = outer[:1] or [x for x in chain[: chain.index(c) + 1] if parser.names[x] not in ("p", "li", "td", "tr", "tbody", "blockquote", "pre", "dd", "dt")][-1:]
-        if holders:
-            inside = [i for i in kept if holders[0] in lines[i][2]]
+    total = sum(len(lines[i][0]) for i in content)
+    # containers are numbered as they open, so of those that hold the same text the first is the outermost
+    articles = [c for c, w in weight.items() if w >= HOLD * total and names[c] in ("article", "main")]
+    holders = [c for c, w in weight.items() if w == total and names[c] not in ("p", "li", "td", "tr", "tbody", "blockquote", "pre", "dd", "dt", *HEADINGS)]
+    if not articles and not holders:
+        return "\n\n".join(lines[i][0] for i in kept)
+    region = min(articles) if articles else max(holders)
+    inside = [i for i in kept if region in lines[i][2]]
+    first = kept.index(inside[0])
+    while not articles and first and lines[kept[first - 1]][2] and names[lines[kept[first - 1]][2][-1]] in HEADINGS:
+        first -= 1  # the headings right before the region are its own
+        inside.insert(0, kept[first])
     return "\n\n".join(lines[i][0] for i in inside)
 
 

@@ -257,6 +257,24 @@ def test_html():
     assert html.main_text("<p>" * 3000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("part", ["section", "div"])
+def test_html_article_over_siblings(part):
+    long, short = "A long sentence of the first part. " * 16, "Some sentence of the second part. " * 4
+    page = f"<body><div class=post><h1>T</h1><{part}><p>{long}<p>{long}</{part}><{part}><h2>S</h2><p>{short}</{part}></div><footer>&copy; all</footer></body>"
+    assert html.main_text(page) == "\n\n".join(["T", long.strip(), long.strip(), "S", short.strip()])
+    alone = f"<body><div><a href=/>Home</a> <a href=/>B</a> <a href=/>C</a></div><div><a href=/>D</a></div><h2>R</h2><h1>T</h1><{part}><p>{long}<p>{long}</{part}></body>"
+    assert html.main_text(alone) == "\n\n".join(["R", "T", long.strip(), long.strip()])
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-comments", "header-fixed", "sidebar", "wide sidebar"])
+def test_html_marked_wrappers(name):
+    body = "<h1>T</h1><p>A long sentence of the article. And one more of it.</p><div class='sidebar'>Other text</div><div class='ad-box'>Buy now</div>"
+    want = "T\n\nA long sentence of the article. And one more of it."
+    assert html.main_text(f"<body><div class='{name}'><main>{body}</main></div></body>") == want
+    assert html.main_text(f"<body><div class='{name}'>{body}</div></body>") == want
+    assert html.main_text("<body><div class='cookie-bar'><p>We use cookies and more</p></div></body>") == ""
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
