@@ -36,8 +36,8 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Candidate generators: kind, what a text must hold for the search to be worth it, pattern. The span is the last run
 #: without white space and quotes for secrets, else the whole match.
 GENERATORS = (
-    ("secret", "=|:", r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|key)[\"' ]{0,3}[=:][\"' ]{0,3}[a-z0-9+/_-]{8,512}"),
-    ("secret", "[0-9]", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,24}[0-9])[A-Za-z0-9+/_-]{24,512}(?![A-Za-z0-9+/_-])"),
+    ("secret", "=|:", r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|key)[\"' ]{0,3}[=:][\"' ]{0,3}[a-z0-9+/_-]{8,}+"),
+    ("secret", "[0-9]", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,24}[0-9])[A-Za-z0-9+/_-]{24,}+"),
     ("phone", "[0-9]{3}", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])"),
     ("email", r"[\[({](?:at|AT)[\])}]", r"[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({](?:dot|DOT)[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}"),
     ("card", "[0-9]{4}", r"(?<![0-9.])[0-9]{4}[ ./_-]{1,3}[0-9]{4}[ ./_-]{1,3}[0-9]{4}[ ./_-]{1,3}[0-9]{1,7}(?![0-9])"),

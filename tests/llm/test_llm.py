@@ -314,6 +314,15 @@ def test_pii_adds_what_base_misses(spark):
     assert got == {1: 'key token = "<secret>" or call <phone>, mail <email>', 2: "a number 1234567890123456 and version 3.0 of 2024-01-15", 3: None}
 
 
+def test_pii_long_secrets(spark):
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list(letters), n)) for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for n in (513, 700, 5000)]
+    made = [f"a1{x}" for x in made]
+    rows = [(i, t) for i, x in enumerate(made) for t in (f'here key = "{x}" ends', f"here auth {x} ends")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.text for r in pii.redact(df).collect()} == {'here key = "<secret>" ends', "here auth <secret> ends"}
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
