@@ -256,6 +256,8 @@ def _score(trees: list, x: Column) -> Column:
 def find(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, stop), by kind as in KINDS and then start.
 
+    Of candidates that overlap, the one with the best score stays, then each that meets none that stays. One inside a
+    base span is left out; one that goes beyond a base span stays whole beside it, so these may overlap.
     Positions count code points from 0, the stop is exclusive. A null or empty text has none. Each row stands for
     itself, so repeated rows and null ids need no care; there is no shuffle. The text is the column ``text``; columns
     whose names begin with an underscore, ``base``, ``spans`` and ``candidates`` must not be in ``docs``.
@@ -275,8 +277,13 @@ def find(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
     meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
     df = df.select(*kept, "_base", F.filter(scored, above).alias("_above"))
-    better = lambda o, c: F.struct(o["score"], o["stop"] - o["start"], -o["start"], o["kind"]) > F.struct(c["score"], c["stop"] - c["start"], -c["start"], c["kind"])
-    free = F.filter("_above", lambda c: ~F.exists("_base", lambda b: meets(b, c)) & ~F.exists("_above", lambda o: meets(o, c) & better(o, c)))
+    inside = lambda a, b: (b["start"] <= a["start"]) & (a["stop"] <= b["stop"])
+    ties = F.array(*map(F.lit, sorted(KINDS, reverse=True)))
+    best = lambda c: F.struct((-c["score"]).alias("o"), (c["start"] - c["stop"]).alias("n"), c["start"].alias("start"), F.array_position(ties, c["kind"]).alias("t"), c["stop"].alias("stop"), c["kind"].alias("kind"))
+    none = F.array().cast("array<struct<o:double,n:int,start:int,t:bigint,stop:int,kind:string>>")
+    add = lambda kept, c: F.when(F.exists(kept, lambda o: meets(o, c)), kept).otherwise(F.concat(kept, F.array(c)))
+    new = F.filter("_above", lambda c: ~F.exists("_base", lambda b: inside(c, b)))
+    free = F.aggregate(F.array_sort(F.transform(new, best)), none, add)
     order = F.array(*map(F.lit, KINDS))
     plain = lambda spans: F.transform(spans, lambda c: F.struct(F.array_position(order, c["kind"]).alias("o"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind")))
     out = lambda spans: F.transform(F.array_sort(F.array_distinct(spans)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop")))

@@ -323,6 +323,17 @@ def test_pii_long_secrets(spark):
     assert {r.text for r in pii.redact(df).collect()} == {'here key = "<secret>" ends', "here auth <secret> ends"}
 
 
+def test_pii_chains_and_base_overlaps(spark, monkeypatch):
+    # candidates by pattern: a meets b, b meets c, a does not meet c; the score is that of the generator's order
+    monkeypatch.setattr(pii, "model", lambda *_: ([(0, 0.5, 3.0, (0, 1.5, 2.0, 1.0))], {k: 0.0 for k in pii.KINDS}))
+    monkeypatch.setattr(pii, "GENERATORS", (("ssn", "a", "aabb"), ("iban", "b", "bbcc"), ("card", "c", "ccdd|[+]4912345678 x+")))
+    df = spark.createDataFrame([(1, "z aabbccdd z"), (2, "call +4912345678 xxx now")], "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.base) for r in pii.find(df).collect()}
+    assert [tuple(s) for s in got[1][0]] == [("card", 6, 10), ("ssn", 2, 6)]
+    assert [tuple(s) for s in got[2][0]] == [("card", 5, 20), ("phone", 5, 16)] and [tuple(s) for s in got[2][1]] == [("phone", 5, 16)]
+    assert [r.text for r in pii.redact(df).sort("doc_id").collect()] == ["z <ssn><card> z", "call <phone> now"]
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
