@@ -126,7 +126,11 @@ def keyword_fusion(spark, sf_dir):
 
 @query()
 def keyword_subsumption(spark, sf_dir):
-    return K.drop_subsumed(K.frequency(read(spark, sf_dir, "documents")).select("doc_id", "rank", "key", "occurrences"))
+    from pyspark.sql import Window
+
+    pool = K.frequency(read(spark, sf_dir, "documents"), min(400, max(40, 4 * 20))).select("doc_id", "rank", "key", "occurrences")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))
+    return K.drop_subsumed(pool).withColumn("place", place).where("place <= 20").drop("place")
 
 
 # --- pages -----------------------------------------------------------------------------------------------------

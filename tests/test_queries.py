@@ -47,3 +47,12 @@ def test_stream_is_batch(spark, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_subsumption_before_the_cut(spark, tmp_path):
+    from foliospark.plans import queries as plans
+
+    phrases = [" ".join(f"{w}{chr(97 + i)}{w}" for w in ("kor", "lum", "nev", "pid")) for i in range(8)] + [f"aba{chr(97 + i)}ba" for i in range(10)]
+    text = ". ".join(phrases * 2) + "."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert plans.QUERIES["keyword_subsumption"](spark, str(tmp_path)).count() == 20
