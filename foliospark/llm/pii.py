@@ -9,7 +9,7 @@ driver from a bounded set of generated labelled sentences (TRAIN_ROWS), whose fe
 from __future__ import annotations
 
 import random
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +19,10 @@ TRAIN_ROWS = 2400
 #: A threshold is the least score from SURE (a chance of four in five) on that has this precision on held-out rows.
 PRECISION, SURE = 0.98, float(np.log(4))
 TREES, DEPTH, RATE = 40, 3, 0.3
+#: Characters before a span that are its context.
+LEFT = 24
+#: Spans up to which a text is cut by substrings.
+FEW = 64
 
 #: Kinds in the order of the span list; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
@@ -37,9 +41,9 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: without white space and quotes for secrets, else the whole match.
 GENERATORS = (
     ("secret", "=|:", r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|key)[\"' ]{0,3}[=:][\"' ]{0,3}[a-z0-9+/_-]{8,}+"),
-    ("secret", "[0-9]", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,24}[0-9])[A-Za-z0-9+/_-]{24,}+"),
+    ("secret", "[0-9]", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+"),
     ("phone", "[0-9]{3}", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]{1,2}[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])"),
-    ("email", r"[\[({](?:at|AT)[\])}]", r"[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({](?:dot|DOT)[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}"),
+    ("email", r"[\[({](?:at|AT)[\])}]", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]++)++"),
     ("card", "[0-9]{4}", r"(?<![0-9.])[0-9]{4}[ ./_-]{1,3}[0-9]{4}[ ./_-]{1,3}[0-9]{4}[ ./_-]{1,3}[0-9]{1,7}(?![0-9])"),
     ("card", "[0-9]{13}", r"(?<![0-9A-Za-z])[0-9]{13,15}(?![0-9A-Za-z])"),
     ("ip", ":[0-9A-Fa-f]{1,4}:", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
@@ -55,19 +59,53 @@ def _matches(text: Column, pattern: str, needs: str | None = None) -> Column:
     return found if needs is None else F.when(text.rlike(needs), found).otherwise(F.array().cast("array<string>"))
 
 
+#: Elements that a running sum passes through as one piece: sums of pieces come first, so its work stays near linear.
+PIECE = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or a lambda in it uses the value."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(xs: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of ints, what ``add`` makes of all before it, from 0 on."""
+    zero, none = F.lit(0), F.array().cast("array<int>")
+    state = F.struct(zero.alias("at"), none.alias("out"))
+    step = lambda a, x: F.struct(add(a["at"], x).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def of_pieces(pieces: Column) -> Column:
+        sums = F.transform(pieces, lambda p: F.aggregate(p, zero, lambda a, x: add(a, x).cast("int")))
+        firsts = F.aggregate(sums, state, step, lambda a: a["out"])
+        inner = lambda p, first: F.aggregate(p, F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
+        return _let(firsts, lambda f: F.flatten(F.transform(pieces, lambda p, i: inner(p, F.coalesce(F.get(f, i), zero)))))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PIECE).cast("int")), lambda i: F.slice(v, i * PIECE + 1, F.lit(PIECE)))
+    return _let(xs, lambda v: F.when(F.size(v) > 0, _let(cut(v), of_pieces)).otherwise(none))
+
+
+_SPANS = "array<struct<kind:string,start:int,stop:int,value:string,left:string>>"
+
+
 def _placed(text: Column, pattern: str, found: Column, kind: str) -> Column:
-    """Spans (kind, start, stop, value) of the matches: a match starts after all that lies before it."""
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>")
+    """Spans (kind, start, stop, value, left = some characters before it) of the matches: a match starts after all
+    that lies before it."""
+
+    def spans(values: Column, between: Column) -> Column:
+        steps = F.transform(values, lambda v, i: F.length(F.get(between, i)) + F.length(v))
+
+        def one(before: Column) -> Column:
+            def span(v: Column, i: Column) -> Column:
+                gap = F.get(between, i)
+                start = F.get(before, i) + F.length(gap)
+                left = F.right(F.concat(F.coalesce(F.get(between, i - 1), F.lit("")), F.coalesce(F.get(values, i - 1), F.lit("")), gap), F.lit(LEFT))
+                return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(v)).alias("stop"), v.alias("value"), left.alias("left"))
+
+            return F.transform(values, span)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["value"])
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["value"].alias("value")))).alias("spans"))
+        return _let(_running(steps, lambda a, x: a + x), one)
 
-    pairs = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(between, i).alias("gap")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda a: a["spans"])
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+    return _let(found, lambda v: F.when(F.size(v) > 0, _let(F.split(text, pattern, -1), lambda b: spans(v, b))).otherwise(F.array().cast(_SPANS)))
 
 
 def _digits(value: Column) -> Column:
@@ -91,22 +129,21 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _features(text: Column, c: Column, generator: int) -> list[Column]:
+def _features(c: Column, generator: int) -> list[Column]:
     value, digits = c["value"], _digits(c["value"])
-    left = F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24)))
     letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
     n = F.length(digits)
     sized = {"phone": n.between(9, 12), "card": n.between(13, 19), "ssn": ~value.rlike("^(?:000|666|9)|-00-|0000$"), "iban": F.length(F.regexp_replace(value, " ", "")).between(15, 34)}.get(GENERATORS[generator][0], F.lit(True))
     number = lambda x: x.cast("double")
     return [
         F.lit(float(generator)), number(F.length(value)), number(n), number(letters), number(F.size(F.array_distinct(F.split(value, "")))) / F.length(value),
-        number(_luhn(digits) & (n > 0)), number(left.rlike(CONTEXT) | F.lit(generator in (0, 3))), number(value.rlike("^[0-9a-fA-F]+$")), number(F.length(value) - n - letters),
-        number(F.substring(text, c["start"], F.lit(1)).isin('"', "'") & (c["start"] > 0)), number(sized), number(value.rlike("[0-9]") & value.rlike("[A-Za-z]")),
+        number(_luhn(digits) & (n > 0)), number(c["left"].rlike(CONTEXT)), number(value.rlike("^[0-9a-fA-F]+$")), number(F.length(value) - n - letters),
+        number(F.right(c["left"], F.lit(1)).isin('"', "'")), number(sized), number(value.rlike("[0-9]") & value.rlike("[A-Za-z]")),
     ]
 
 
-def _with_features(text: Column, spans: Column, generator: int) -> Column:
-    return F.transform(spans, lambda c: c.withField("x", F.array(*_features(text, c, generator))))
+def _with_features(spans: Column, generator: int) -> Column:
+    return F.transform(spans, lambda c: c.withField("x", F.array(*_features(c, generator))))
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
@@ -117,17 +154,23 @@ def _holding(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda c: _holds(kind, c["value"]))
 
 
-def _candidates(df: DataFrame) -> DataFrame:
-    """Adds ``candidates``: array of (kind, start, stop, value, x = features) of all generators."""
-    text, kept = F.col("text"), df.columns
-    df = df.select("*", *(_matches(text, p, needs).alias(f"_m{g}") for g, (_, needs, p) in enumerate(GENERATORS)))
+def _value(c: Column) -> Column:
+    """Of an assignment, the value only; what stands before it belongs to what is left of it."""
+    return _let(F.regexp_extract(c["value"], "[A-Za-z0-9+/_-]+$", 0), lambda v: F.struct(
+        c["kind"].alias("kind"), (c["stop"] - F.length(v)).alias("start"), c["stop"].alias("stop"), v.alias("value"),
+        F.right(F.concat(c["left"], F.left(c["value"], F.length(c["value"]) - F.length(v))), F.lit(LEFT)).alias("left"),
+    ))
+
+
+def _candidates(text: Column) -> list[Column]:
+    """Arrays of (kind, start, stop, value, left, x = features), one for each generator."""
     parts = []
-    for g, (kind, _, pattern) in enumerate(GENERATORS):
-        spans = _placed(text, pattern, F.col(f"_m{g}"), kind)
-        if kind == "secret":  # of an assignment, the value only
-            spans = F.transform(spans, lambda c: c.withField("value", F.regexp_extract(c["value"], "[A-Za-z0-9+/_-]+$", 0)).withField("start", c["stop"] - F.length(F.regexp_extract(c["value"], "[A-Za-z0-9+/_-]+$", 0))))
-        parts.append(_with_features(text, spans, g))
-    return df.select(*kept, F.concat(*parts).alias("candidates"))
+    for g, (kind, needs, pattern) in enumerate(GENERATORS):
+        spans = _placed(text, pattern, _matches(text, pattern, needs), kind)
+        if kind == "secret":
+            spans = F.transform(spans, _value)
+        parts.append(_with_features(spans, g))
+    return parts
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -223,7 +266,7 @@ def model(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[list, dict[str,
     if rows not in _models:
         said = labelled_sentences(rows)
         df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "id int, text string")
-        got = _candidates(df).select("id", F.explode("candidates").alias("c")).select("id", "c.kind", "c.start", "c.stop", "c.x").collect()
+        got = df.select("id", F.explode(F.concat(*_candidates(F.col("text")))).alias("c")).select("id", "c.kind", "c.start", "c.stop", "c.x").collect()
         got.sort(key=lambda r: (r["id"], r["kind"], r["start"], r["stop"], r["x"]))
         x = np.array([r["x"] for r in got])
         y = np.array([any(a <= r["start"] and r["stop"] <= b for a, b in said[r["id"]][1]) for r in got], float)
@@ -240,54 +283,94 @@ def model(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[list, dict[str,
     return _models[rows]
 
 
-def _score(trees: list, x: Column) -> Column:
-    def one(tree) -> Column:
+def _score(trees: list, x: str) -> str:
+    """The sum of the trees for the features ``x``, as SQL: one text is parsed far sooner than thousands of columns are made."""
+
+    def one(tree) -> str:
         if isinstance(tree, float):
-            return F.lit(tree)
+            return f"{tree!r}D"
         f, t, low, high = tree
-        return F.when(x[f] <= t, one(low)).otherwise(one(high))
+        return f"CASE WHEN {x}[{f}] <= {t!r}D THEN {one(low)} ELSE {one(high)} END"
 
-    return reduce(lambda a, b: a + b, map(one, trees))
+    return " + ".join(f"({one(t)})" for t in trees)
 
 
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def find(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (kind, start, stop), by kind as in KINDS and then start.
+def _chosen(above: Column) -> Column:
+    """Of candidates that overlap, the one with the best score, then each that meets none that stays.
 
-    Of candidates that overlap, the one with the best score stays, then each that meets none that stays. One inside a
-    base span is left out; one that goes beyond a base span stays whole beside it, so these may overlap.
-    Positions count code points from 0, the stop is exclusive. A null or empty text has none. Each row stands for
-    itself, so repeated rows and null ids need no care; there is no shuffle. The text is the column ``text``; columns
-    whose names begin with an underscore, ``base``, ``spans`` and ``candidates`` must not be in ``docs``.
+    By start, candidates fall into runs that nothing joins, so a choice is within a run.
     """
-    trees, limits = model(docs.sparkSession, rows)
-    text, kept = F.col("text"), docs.columns
-    df = docs.withColumn("text", F.coalesce(text.cast("string"), F.lit("")))
-    needs = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{14}", "phone": r"\+[0-9]"}
-    df = df.select("*", *(_matches(text, p, needs[k]).alias(f"_{k}") for k, p in BASE.items()))
-    found = [_holding(_placed(text, p, F.col(f"_{k}"), k), k) for k, p in BASE.items()]
-    df = df.select(*kept, F.concat(*found).alias("_base"))
-    df = _candidates(df)
-    scored = F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), _score(trees, c["x"]).alias("score")))
-
-    def above(c: Column) -> Column:
-        return reduce(lambda a, b: a | b, [(c["kind"] == k) & (c["score"] >= v) for k, v in limits.items() if v != float("inf")], F.lit(False))
-
-    meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    df = df.select(*kept, "_base", F.filter(scored, above).alias("_above"))
-    inside = lambda a, b: (b["start"] <= a["start"]) & (a["stop"] <= b["stop"])
     ties = F.array(*map(F.lit, sorted(KINDS, reverse=True)))
-    best = lambda c: F.struct((-c["score"]).alias("o"), (c["start"] - c["stop"]).alias("n"), c["start"].alias("start"), F.array_position(ties, c["kind"]).alias("t"), c["stop"].alias("stop"), c["kind"].alias("kind"))
     none = F.array().cast("array<struct<o:double,n:int,start:int,t:bigint,stop:int,kind:string>>")
+    best = lambda c: F.struct((-c["score"]).alias("o"), (c["start"] - c["stop"]).alias("n"), c["start"].alias("start"), F.array_position(ties, c["kind"]).alias("t"), c["stop"].alias("stop"), c["kind"].alias("kind"))
+    meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
     add = lambda kept, c: F.when(F.exists(kept, lambda o: meets(o, c)), kept).otherwise(F.concat(kept, F.array(c)))
-    new = F.filter("_above", lambda c: ~F.exists("_base", lambda b: inside(c, b)))
-    free = F.aggregate(F.array_sort(F.transform(new, best)), none, add)
+    of_run = lambda run: F.when(F.size(run) == 1, F.transform(run, best)).otherwise(F.aggregate(F.array_sort(F.transform(run, best)), none, add))
+
+    def runs(by_start: Column) -> Column:
+        reach = _running(F.transform(by_start, lambda c: c["stop"]), lambda a, x: F.greatest(a, x))
+
+        def split(reach: Column) -> Column:
+            first = F.filter(F.transform(by_start, lambda c, i: F.when(c["start"] >= F.get(reach, i), i)), lambda i: i.isNotNull())
+            cut = lambda f: F.transform(f, lambda at, k: F.slice(by_start, at + 1, F.coalesce(F.get(f, k + 1), F.size(by_start)) - at))
+            return _let(first, lambda f: F.flatten(F.transform(cut(f), of_run)))
+
+        return _let(reach, split)
+
+    return F.when(F.size(above) > 0, _let(F.array_sort(above), runs)).otherwise(none)
+
+
+def _beyond(spans: Column, base: Column) -> Column:
+    """The spans that do not lie within a base span. By start, and longer ones first, the furthest stop of the base spans
+    met so far tells."""
+    both = F.concat(
+        F.transform(base, lambda c: F.struct(c["start"].alias("start"), (-c["stop"]).alias("end"), F.lit(0).alias("new"), F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"), F.lit(0.0).alias("score")).alias("c"))),
+        F.transform(spans, lambda c: F.struct(c["start"].alias("start"), (-c["stop"]).alias("end"), F.lit(1).alias("new"), c.alias("c"))),
+    )
+
+    def left(by_start: Column) -> Column:
+        reach = _running(F.transform(by_start, lambda x: F.when(x["new"] == 0, -x["end"]).otherwise(0)), lambda a, x: F.greatest(a, x))
+        return _let(reach, lambda r: F.transform(F.filter(F.transform(by_start, lambda x, i: F.when((x["new"] == 1) & (-x["end"] > F.get(r, i)), x["c"])), lambda c: c.isNotNull()), lambda c: c))
+
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), _let(F.array_sort(both), left)).otherwise(spans)
+
+
+def _found(docs: DataFrame, rows: int) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``text`` (never null), ``base`` and ``spans``: nothing of ``docs`` can clash with these."""
+    trees, limits = model(docs.sparkSession, rows)
+    text = F.col("text")
+    needs = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{14}", "phone": r"\+[0-9]"}
+    df = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+
+    above = " OR ".join(f"(c.kind = '{k}' AND c.score >= {v!r}D)" for k, v in limits.items() if v != float("inf")) or "false"
+    scored = f"filter(transform(candidates, c -> named_struct('start', c.start, 'stop', c.stop, 'kind', c.kind, 'score', {_score(trees, 'c.x')})), c -> {above})"
+    short = lambda spans: F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"), F.lit(0.0).alias("score")))
+    base = F.concat(*(short(_holding(_placed(text, p, _matches(text, p, needs[k]), k), k)) for k, p in BASE.items()))
+    df = df.select("row", "text", base.alias("base"), F.concat(*_candidates(text)).alias("candidates"))
+    df = df.select("row", "text", "base", F.when(F.size("candidates") > 0, F.expr(scored)).otherwise(F.array().cast("array<struct<start:int,stop:int,kind:string,score:double>>")).alias("above"))
     order = F.array(*map(F.lit, KINDS))
     plain = lambda spans: F.transform(spans, lambda c: F.struct(F.array_position(order, c["kind"]).alias("o"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind")))
-    out = lambda spans: F.transform(F.array_sort(F.array_distinct(spans)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop")))
-    return df.select(*kept, out(plain(F.col("_base"))).alias("base"), out(F.concat(plain(F.col("_base")), plain(free))).alias("spans"))
+    once = lambda by_place: F.filter(by_place, lambda c, i: (i == 0) | (c != F.get(by_place, i - 1)))
+    out = lambda spans: F.transform(_let(F.array_sort(spans), once), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop")))
+    new = _let(_beyond(F.col("above"), F.col("base")), _chosen)
+    return df.select("row", "text", out(plain(F.col("base"))).alias("base"), out(F.concat(plain(F.col("base")), plain(new))).alias("spans"))
+
+
+def find(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with ``base`` and ``spans``: arrays of (kind, start, stop), by kind as in KINDS and then start; columns
+    of these names are replaced.
+
+    Of candidates that overlap, the one with the best score stays, then each that meets none that stays. One inside a
+    base span is left out; one that goes beyond a base span stays whole beside it, so these may overlap.
+    Positions count code points from 0, the stop is exclusive. A null or empty text has none. Each row stands for
+    itself, so repeated rows and null ids need no care; there is no shuffle. The work grows with the length of a text
+    and its matches, but for candidates that all overlap in one run. The text is the column ``text``; other columns may
+    have any name.
+    """
+    return _found(docs, rows).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "spans")), "base", "spans")
 
 
 def written(spans: Column) -> Column:
@@ -304,18 +387,22 @@ def report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 def redact(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets; a null text stays null.
 
-    Overlapping spans are replaced as one, under the kind of the first.
+    Overlapping spans are replaced as one, under the kind of the first. All other columns stay as they are.
     """
-    kept = docs.columns
-    df = find(docs.withColumn("_null", F.col("text").isNull()), rows)
     text = F.col("text")
-    by_start = F.array_sort(F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"))))
 
-    def add(acc: Column, c: Column) -> Column:
-        apart = c["start"] >= acc["at"]
-        more = F.concat(F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), F.lit("<"), c["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], c["stop"]).alias("at"), F.when(apart, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
+    def clean(by_start: Column, part: Callable[[Column, Column], Column]) -> Column:
+        def parts(reach: Column) -> Column:
+            piece = lambda c, i: F.when(c["start"] >= F.get(reach, i), F.concat(part(F.get(reach, i), c["start"] - F.get(reach, i)), F.lit("<"), c["kind"], F.lit(">"))).otherwise("")
+            last = F.greatest(F.element_at(reach, -1), F.element_at(by_start, -1)["stop"])
+            return F.concat(F.array_join(F.transform(by_start, piece), ""), part(last, F.greatest(F.length(text) - last, F.lit(0))))
+
+        return _let(_running(F.transform(by_start, lambda c: c["stop"]), lambda a, x: F.greatest(a, x)), parts)
 
-    clean = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    done = F.when(F.col("_null"), F.lit(None)).when(F.size("spans") == 0, text).otherwise(clean)
-    return df.select(*(done.alias("text") if c == "text" else F.col(c) for c in kept))
+    few = lambda spans: clean(spans, lambda at, n: F.substring(text, at + 1, n))
+    # a substring is counted from the start of the text; for many of them its characters are laid out once
+    many = lambda spans: _let(F.split(text, ""), lambda chars: clean(spans, lambda at, n: F.array_join(F.slice(chars, at + 1, n), "")))
+    by_start = F.array_sort(F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"))))
+    whole = F.col("row")["text"]
+    done = F.when(whole.isNull() | (F.size("spans") == 0), whole.cast("string")).when(F.size("spans") <= FEW, _let(by_start, few)).otherwise(_let(by_start, many))
+    return _found(docs, rows).select(*(done.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
