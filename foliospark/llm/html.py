@@ -1,10 +1,11 @@
 """Main text of web pages: parser events, text-to-tag ratios, smoothing and clustering.
 
 The standard library's parser streams a page's tags and text. Text between block tags is a line with its ratio of
-text to tags; ratios are smoothed by a Gaussian and lines above a threshold form clusters of content. The region is
-the article or main element that holds most clustered text or else, with the headings right before it, the smallest
-container that holds all of it; every block of the region is kept, short ones too, but for parts marked as something
-else than article text.
+text to tags, which falls with the share of link text and below elements that seldom hold article text (menus, forms,
+names such as "sidebar"); ratios are smoothed by a Gaussian, and lines above a threshold form clusters of content. The
+region is the article or main element that holds most clustered text or else, with the headings right before it, the
+smallest container that holds all of it. Every block of the region is kept, short ones too, but for elements inside the
+region that are set apart in this way; what encloses the region drops nothing, whatever its name.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup"
     " html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul hr".split()
 )
-#: Elements whose whole content is no article text.
-DROPPED = frozenset(
-    "script style head title nav header footer aside form noscript template svg math button select option textarea input iframe object canvas audio video dialog menu datalist label".split()
-)
-#: Words of a class, id or role that mark such content.
+#: Elements whose content is no text of the page.
+NO_TEXT = frozenset("script style head title noscript template svg math iframe object canvas audio video datalist textarea select option".split())
+#: Elements that seldom hold article text.
+APART = frozenset("nav header footer aside form button menu dialog".split())
+#: Words of a class, id or role that mark such elements.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer"
     " disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion"
@@ -35,119 +36,145 @@ MARKS = frozenset(
 )
 #: Words that may stand beside a mark in a name ("cookie-bar"); with any other word the name is no mark ("has-sidebar").
 BESIDE = frozenset("area bar block box button buttons form inner item items left link links list message page panel right section site slot text unit".split())
-CLOSED_BY_BLOCK = "p"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers too small to be a region.
+SMALL = HEADINGS | frozenset("p li td tr tbody blockquote pre dd dt".split())
 SPACE = re.compile(r"\s+")
 SIGMA, THRESHOLD, HOLD = 1.0, 0.5, 0.7
+#: What is left of the ratio of a line that an element sets apart, and of text that is all links.
+WEIGHT = 0.1
+#: Share of the threshold that a cluster's first and last line reach without smoothing, if they are no headings.
+OWN = 0.25
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-2, 3)]
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-LISTS = frozenset("ul ol dl table menu select".split())
+#: What an opening element closes besides an open paragraph.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_HIDDEN = re.compile(r"display\s*:\s*none")
+
+
+def is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value.lower()) for name, value in attrs)
 
 
-class _Lines(HTMLParser):
-    """Lines of a page: text, tags met, the chain of open containers, whether the line is dropped, and the marks above.
+def is_marked(attrs: list[tuple[str, str | None]]) -> bool:
+    """A name is a mark as a whole: a word of MARKS and besides it only such words and those of BESIDE."""
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for whole in value.lower().split():
+                parts = set(re.split(r"[^a-z]+", whole)) - {""}
+                if not MARKS.isdisjoint(parts) and parts <= MARKS | BESIDE:
+                    return True
+    return False
 
-    A stack entry is dropped if it or one above is no article text whatever it holds; a mark by name is a number, as
-    what it encloses decides.
+
+class _Page(HTMLParser):
+    """Lines of a page: (text, tags met, characters of links, node).
+
+    Nodes are the containers in the order they open. ``parent``, ``names`` and ``end`` (the first node after those
+    inside) describe them; ``apart`` is the innermost node, from the node itself up, that is set apart (-1: none).
+    An inline element that is set apart counts only where a whole line lies in it; such a line gets a node of its own.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # name, container number, dropped, marks
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
-        self.marks = 0
-        self.wrappers: set[int] = set()  # marks that enclose an article or main element
-        self.names: list[str] = []
+        self.names, self.parent, self.end, self.apart = ["page"], [-1], [0], [-1]
+        self.blocks: list[tuple[str, int, bool]] = [("page", 0, False)]  # open ones: name, node, no text
+        self.inline: list[dict[str, int]] = [{}]  # of each open block: open inline elements by name
+        self.open: dict[str, int] = {}  # open blocks by name
+        self.special: list[list[str]] = [[]]  # of each open block: open inline elements that are set apart, or have no text
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.aside: list[bool] = []  # for each piece of text: within an inline element that is set apart
+        self.links = self.tags = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.stack if x[1] >= 0), bool(self.stack and self.stack[-1][2]), self.stack[-1][3] if self.stack else ()))
+            node = self.blocks[-1][1]
+            if all(a for a, t in zip(self.aside, self.text, strict=True) if not t.isspace()):
+                node = self.node("span", True)
+                self.end[node] = len(self.names)
+            self.lines.append((text, self.tags, self.links, node))
             self.tags = 0
+        self.links = 0
         self.text.clear()
+        self.aside.clear()
+
+    def node(self, name: str, apart: bool) -> int:
+        above = self.blocks[-1][1]
+        self.names.append(name)
+        self.parent.append(above)
+        self.end.append(0)
+        self.apart.append(len(self.names) - 1 if apart else self.apart[above])
+        return len(self.names) - 1
 
-    def pop_to(self, at: int) -> None:
+    def pop(self) -> None:
         self.flush()
-        del self.stack[at:]
+        name, node, _ = self.blocks.pop()
+        self.inline.pop()
+        self.special.pop()
+        self.open[name] -= 1
+        self.end[node] = len(self.names)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
-            return
-        block = tag in BLOCK
-        if block:
+            self.add(" ")
+        elif tag in BLOCK:
             self.flush()
-            for at in range(len(self.stack) - 1, -1, -1):  # an open paragraph or item ends here
-                name = self.stack[at][0]
-                if name == CLOSED_BY_BLOCK or name in SIBLINGS.get(tag, ()):
-                    self.pop_to(at)
-                    break
-                if name in BLOCK:
-                    break
-        if tag in VOID:
-            return
-        free = tag in ("html", "body", "article", "main")
-        dropped = tag in DROPPED or not free and self.is_hidden(attrs)
-        marked = not dropped and not free and self.is_marked(attrs)
-        above, marks = self.stack[-1][2:] if self.stack else (False, ())
-        if (dropped or marked) and not above and not block:
-            self.flush()  # an inline part with text of its own kind
-        if marked:
-            marks = (*marks, self.marks)
-            self.marks += 1
-        if tag in ("article", "main") and not above:
-            self.wrappers.update(marks)
-        number = -1
-        if block:
-            number = len(self.names)
-            self.names.append(tag)
-        self.stack.append((tag, number, above or dropped, marks))
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # as browsers do, the slash is ignored
-            self.handle_starttag(tag, attrs)
-
-    def is_hidden(self, attrs: list[tuple[str, str | None]]) -> bool:
-        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value.lower()) for name, value in attrs)
-
-    def is_marked(self, attrs: list[tuple[str, str | None]]) -> bool:
-        """A name is a mark as a whole: a word of MARKS and besides it only such words and those of BESIDE."""
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                for whole in value.lower().split():
-                    parts = set(re.split(r"[^a-z]+", whole)) - {""}
-                    if not MARKS.isdisjoint(parts) and parts <= MARKS | BESIDE:
-                        return True
-        return False
+            closed = SIBLINGS.get(tag, ())
+            while (top := self.blocks[-1][0]) == "p" or top in closed:
+                self.pop()
+            if tag not in VOID:
+                free = tag in ("html", "body", "article", "main")
+                none = self.blocks[-1][2] or bool(self.special[-1] and any(x in NO_TEXT for x in self.special[-1])) or tag in NO_TEXT or not free and is_hidden(attrs)
+                node = self.node(tag, not free and (tag in APART or is_marked(attrs)))
+                self.blocks.append((tag, node, none))
+                self.inline.append({})
+                self.special.append([])
+                self.open[tag] = self.open.get(tag, 0) + 1
+        elif tag not in VOID:
+            here = self.inline[-1]
+            here[tag] = here.get(tag, 0) + 1
+            if tag in NO_TEXT or is_hidden(attrs):
+                self.special[-1].append(tag if tag in NO_TEXT else "script:" + tag)
+            elif tag in APART or is_marked(attrs):
+                self.special[-1].append(tag)
+
+    handle_startendtag = handle_starttag  # as browsers do, the slash is ignored
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            name, _, dropped, marks = self.stack[at]
-            if name == tag:
-                if tag in BLOCK:
-                    self.pop_to(at)
-                else:
-                    if (dropped, marks) != (self.stack[at - 1][2:] if at else (False, ())) and not (at and self.stack[at - 1][2]):
-                        self.flush()
-                        del self.stack[at:]
-                    else:
-                        del self.stack[at]
-                return
-            if name in BLOCK and tag not in BLOCK:
-                return  # an inline tag closes nothing outside its block
-        if tag == "p":
-            self.flush()
+        if tag in BLOCK:
+            if self.open.get(tag):
+                while self.blocks[-1][0] != tag:
+                    self.pop()
+                self.pop()
+            elif tag == "p":
+                self.flush()
+        elif n := self.inline[-1].get(tag):  # an inline tag closes nothing outside its block
+            self.inline[-1][tag] = n - 1
+            for name in (tag, "script:" + tag):
+                if self.special[-1] and self.special[-1][-1] == name:
+                    self.special[-1].pop()
+                    break
 
-    def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] in ("script", "style"):
+    def add(self, data: str) -> None:
+        special = self.special[-1]
+        if self.blocks[-1][2] or special and any(x in NO_TEXT or x.startswith("script:") for x in special[-8:]):
             return
         self.text.append(data)
+        self.aside.append(bool(special))
+
+    def handle_data(self, data: str) -> None:
+        self.add(data)
+        if self.inline[-1].get("a"):
+            self.links += len(data)
+
+    def finish(self) -> None:
+        while len(self.blocks) > 1:
+            self.pop()
+        self.flush()
+        self.end[0] = len(self.names)
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -158,64 +185,76 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
-def _clusters(lines: list[tuple], dropped: list[bool]) -> list[int]:
-    """The lines that are not dropped and whose smoothed ratio of text to tags is above the threshold."""
-    kept = [i for i, drop in enumerate(dropped) if not drop]
-    if not kept:
-        return []
-    smooth = _smooth([0.0 if drop else len(x[0]) / max(x[1], 1) for x, drop in zip(lines, dropped, strict=True)])
-    limit = min(sum(smooth) / len(smooth) * THRESHOLD, max(smooth[i] for i in kept))
-    return [i for i in kept if smooth[i] >= limit]
-
-
-def _dropped(parser: _Lines) -> list[bool]:
-    """For each line whether it is dropped. A mark drops nothing if it encloses an article or main element or, on a
-    page without one, most of the clustered text beside a heading: then it is part of the layout."""
-    lines, wrappers = parser.lines, parser.wrappers
-    by_marks = [x[3] or not wrappers.issuperset(x[4]) for x in lines]
-    if by_marks == [x[3] for x in lines] or any(parser.names[c] in ("article", "main") for x, drop in zip(lines, by_marks, strict=True) if not drop for c in x[2]):
-        return by_marks
-    content = _clusters(lines, [x[3] for x in lines])
-    need, weight = HOLD * sum(len(lines[i][0]) for i in content), {}
+def _clusters(page: _Page) -> list[int]:
+    """Lines whose smoothed ratio of text to tags is above the threshold. A line that is set apart is in no cluster, unless
+    even its lowered ratio is above that of all others."""
+    ratio = []
+    for text, tags, links, node in page.lines:
+        own = len(text) / max(tags, 1) * (1 - (1 - WEIGHT) * min(1.0, links / len(text)))
+        ratio.append(own * (WEIGHT if page.apart[node] >= 0 else 1))
+    smooth = _smooth(ratio)
+    free = [i for i, x in enumerate(page.lines) if page.apart[x[3]] < 0]
+    if not free or max(ratio) > max(ratio[i] for i in free):
+        free = list(range(len(page.lines)))
+    limit = min(sum(smooth) / len(smooth) * THRESHOLD, max(ratio[i] for i in free))
+    runs: list[list[int]] = []
+    for i in free:
+        if smooth[i] >= limit:
+            if runs and runs[-1][-1] == i - 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    out = []
+    for run in runs:  # at its ends a run has lines that only smoothing lifted
+        own = [i for i in run if ratio[i] >= OWN * limit or page.names[page.lines[i][3]] in HEADINGS]
+        out += run[run.index(own[0]) : run.index(own[-1]) + 1] if own else []
+    return out
+
+
+def _region(page: _Page, content: list[int]) -> tuple[int, bool]:
+    """The node of the region and whether it is an article or main element."""
+    weight: dict[int, int] = {}  # of nodes: characters of clustered text inside, by sums from the last node to the first
     for i in content:
-        for m in lines[i][4]:
-            weight[m] = weight.get(m, 0) + len(lines[i][0])
-    titled = {m for x in lines if not x[3] and x[2] and parser.names[x[2][-1]] in HEADINGS for m in x[4]}
-    wrappers = wrappers | {m for m, w in weight.items() if w >= need and m in titled}
-    return [x[3] or not wrappers.issuperset(x[4]) for x in lines]
+        weight[page.lines[i][3]] = weight.get(page.lines[i][3], 0) + len(page.lines[i][0])
+    total = sum(weight.values())
+    sums = [0] * len(page.names)
+    for node in range(len(page.names) - 1, -1, -1):
+        sums[node] += weight.get(node, 0)
+        if node:
+            sums[page.parent[node]] += sums[node]
+    articles = [n for n, w in enumerate(sums) if w >= HOLD * total and page.names[n] in ("article", "main")]
+    if articles:
+        return min(articles), True
+    return max(n for n, w in enumerate(sums) if w == total and page.names[n] not in SMALL), False
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by a blank line; empty if there are none."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines, names = parser.lines, parser.names
-    dropped = _dropped(parser)
-    kept = [i for i, drop in enumerate(dropped) if not drop]
-    content = _clusters(lines, dropped)
-    body = [i for i in content if not lines[i][2] or names[lines[i][2][-1]] not in HEADINGS]
+    page = _Page()
+    page.feed(html)
+    page.close()
+    page.finish()
+    lines, names = page.lines, page.names
+    if not lines:
+        return ""
+    heading = lambda i: names[lines[i][3]] in HEADINGS
+    content = _clusters(page)
+    body = [i for i in content if not heading(i)]
     content = [i for i in content if i >= body[0]] if body else content  # headings before it are added below
-    weight: dict[int, int] = {}
-    for i in content:
-        for c in lines[i][2]:
-            weight[c] = weight.get(c, 0) + len(lines[i][0])
-    total = sum(len(lines[i][0]) for i in content)
-    # containers are numbered as they open, so of those that hold the same text the first is the outermost
-    articles = [c for c, w in weight.items() if w >= HOLD * total and names[c] in ("article", "main")]
-    holders = [c for c, w in weight.items() if w == total and names[c] not in ("p", "li", "td", "tr", "tbody", "blockquote", "pre", "dd", "dt", *HEADINGS)]
-    if not articles and not holders:
-        return "\n\n".join(lines[i][0] for i in kept)
-    region = min(articles) if articles else max(holders)
-    inside = [i for i in kept if region in lines[i][2]]
-    first = kept.index(inside[0])
-    while not articles and first and lines[kept[first - 1]][2] and names[lines[kept[first - 1]][2][-1]] in HEADINGS:
-        first -= 1  # the headings right before the region are its own
-        inside.insert(0, kept[first])
-    return "\n\n".join(lines[i][0] for i in inside)
+    region, article = _region(page, content)
+    inside = lambda node: region <= node < page.end[region]
+    # what is set apart within the region is dropped; what encloses it, or is it, is not
+    kept = [i for i, x in enumerate(lines) if inside(x[3]) and not page.apart[x[3]] > region]
+    around = page.apart[region]
+    if not kept or not article and around >= 0 and (names[around] in APART or not any(map(heading, kept))):
+        return ""  # a menu or notice alone is no article; with a heading, a name was part of the layout
+    before = kept[0] - 1
+    while not article and before >= 0 and heading(before) and page.apart[lines[before][3]] <= region:
+        kept.insert(0, before)  # the headings right before the region are its own
+        before -= 1
+    return "\n\n".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
