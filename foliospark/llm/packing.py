@@ -16,17 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, placed
 from .encoding import encoder, grouped, vocabulary
 
 CAPACITY, END_ID = 1024, 2
 #: The scheme's parameters; of all combinations the one with the fewest sequences is taken. Groups of large lengths,
 #: and the share of the capacity up to which pieces are small, so that they fill gaps.
 GROUPS, SMALL = (24, 48), (1 / 8, 1 / 4, 1 / 3, 1 / 2)
-#: Ranks are counted in so many buckets per length, so that a hot length is ranked by many tasks.
-BUCKETS = 256
 
 
 def _knapsack(values: np.ndarray, sizes: list[int], most: list[int], capacity: int) -> tuple[float, list[int]]:
@@ -214,21 +212,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     most ``capacity`` rows; the plan that goes back has a few thousand places, whatever the input.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, capacity, end_id, vocabulary_name).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS))), "pieces")
-    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    spread = [F.xxhash64("doc_id", "piece", "ids_crc32").alias("spread"), F.monotonically_increasing_id().alias("copy")]  # any order within a length will do
+    cut = materialize(pieces(docs, capacity, end_id, vocabulary_name).select("*", *spread), "pieces")
+    by_length = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places, sequence, rank = [], 0, Counter()
+    before, seen = {}, 0
+    for s in sorted(by_length):
+        before[s], seen = seen, seen + by_length[s]
     for content, n in plan(by_length, capacity):
         offset = 0
         for s in content:
-            places.append((s, rank[s], rank[s] + n, sequence, offset))
+            places.append((s, before[s] + rank[s], before[s] + rank[s] + n, sequence, offset))
             rank[s] += n
             offset += s
         sequence += n
     where = spark.createDataFrame(places, "length long, low long, high long, sequence long, offset long")
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "before")
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = cut.withColumn("within", within).join(F.broadcast(before), ["length", "bucket"])  # at most capacity x BUCKETS rows
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("within"))
-    fits = (ranked["length"] == where["length"]) & (ranked["rank"] >= where["low"]) & (ranked["rank"] < where["high"])
-    return ranked.join(F.broadcast(where), fits).select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (where["sequence"] + ranked["rank"] - where["low"]).alias("sequence_id"), "offset")
+    ranked, _ = placed(cut, [F.col("length"), F.col("spread"), F.col("copy")])  # the places of a length follow each other
+    fits = (ranked["length"] == where["length"]) & (ranked["position"] >= where["low"]) & (ranked["position"] < where["high"])
+    return ranked.join(F.broadcast(where), fits).select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (where["sequence"] + ranked["position"] - where["low"]).alias("sequence_id"), "offset")

@@ -18,17 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import scratch_dir
+from .common import materialize, scratch_dir
 from .encoding import encoder, grouped, vocabulary
 
 END_ID = 1
 DOC = np.dtype([("present", "u1"), ("id", "<i8")])
 #: Ids written to a file at once.
 FLUSH = 1 << 22
-#: Characters that a shard holds, about; a longer document has a shard to itself.
-SHARD_BYTES = 32 << 20
+#: Bytes of text that a shard holds, about, and most shards: beyond that, shards grow with the input.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 20_000
+#: Ids that are read at once.
+READ = 1 << 22
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -46,7 +48,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_name: str
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if shards is None:
         total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, -(-total // SHARD_BYTES))
+        shards = min(MOST_SHARDS, max(1, -(-total // SHARD_BYTES)))
     end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,51 +74,68 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_name: str
 
     system, root = _filesystem(path)
     system.create_dir(root, recursive=True)
-    ordered = source.repartitionByRange(int(shards), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("copy")]  # an id that many rows share, or none, is split too
+    ordered = source.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(int(shards), *order).sortWithinPartitions(*order).drop("copy")
     return ordered.mapInArrow(run, "shard int, n_docs long, n_tokens long, kind string, name string")
 
 
-def _mapped(path: str, kind: np.dtype | str) -> np.ndarray:
-    """A file's numbers: mapped into memory where the path is local, else read."""
-    system, plain = _filesystem(path)
-    if urlsplit(path).scheme in ("", "file"):
-        with open(plain, "rb") as f:
-            size = f.seek(0, 2)
-            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), kind) if size else np.zeros(0, kind)
-    with system.open_input_file(plain) as f:
-        return np.frombuffer(f.read_buffer(), kind)
-
-
-def read(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
+class _Numbers:
+    """A file's numbers, in slices: mapped into memory where the path is local, else read as asked for."""
+
+    def __init__(self, path: str, kind: np.dtype | str):
+        self.kind = np.dtype(kind)
+        system, plain = _filesystem(path)
+        self.file = system.open_input_file(plain)
+        self.n = self.file.size() // self.kind.itemsize
+        self.map = None
+        if self.n and urlsplit(path).scheme in ("", "file"):
+            with open(plain, "rb") as f:
+                self.map = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), self.kind)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[part]
+        start, stop, _ = part.indices(self.n)
+        return np.frombuffer(self.file.read_at(max(0, stop - start) * self.kind.itemsize, start * self.kind.itemsize), self.kind)
+
+
+def _documents(name: str, start: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, n_tokens, ids_crc32 of a shard's documents; what is in memory is READ ids, or 10,000 documents' rows."""
+    idx, doc, ids = _Numbers(f"{name}.idx", "<u8"), _Numbers(f"{name}.doc", DOC), _Numbers(f"{name}.bin", kind)
+    for at in range(0, doc.n, 10_000):
+        own, cut = doc[at : at + 10_000], idx[at : at + 10_001].astype(np.int64)
+        crcs = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            crc = 0
+            for k in range(a, b, READ):
+                crc = zlib.crc32(ids[k : min(k + READ, b)].astype("<u4").tobytes(), crc)
+            crcs.append(crc)
+        cols = [pa.array(own["id"], mask=own["present"] == 0), pa.array(start + cut[:-1]), pa.array(np.diff(cut)), pa.array(crcs, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    for x in (idx, doc, ids):
+        x.file.close()
+
+
+def read(path: str, written: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit) of each document, from the files.
 
-    ``written`` has one row for each shard; it comes to the driver for the prefix sums of the bases, so its size
-    follows the number of files.
+    ``written`` is a table with one row for each shard, MOST_SHARDS at most; a running sum gives their bases.
     """
-    rows, base = [], 0
-    for r in sorted(written.collect(), key=lambda r: r["shard"]):
-        rows.append((r["shard"], base, r["kind"], f"{path}/{r['name']}"))
-        base += r["n_tokens"]
+    base = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")
+    parts = min(MOST_SHARDS, max(1, written.count()))
+    shards = written.select("shard", base.alias("base"), "kind", F.concat(F.lit(f"{path}/"), "name").alias("file")).repartition(parts, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, start, kind, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                idx, doc, ids = _mapped(f"{name}.idx", "<u8").astype(np.int64), _mapped(f"{name}.doc", DOC), _mapped(f"{name}.bin", kind)
-                for at in range(0, len(doc), 10_000):
-                    part = range(at, min(at + 10_000, len(doc)))
-                    crcs = [zlib.crc32(ids[idx[i] : idx[i + 1]].astype("<u4").tobytes()) for i in part]
-                    own, cut = doc[part.start : part.stop], idx[part.start : part.stop + 1]
-                    cols = [pa.array(own["id"], mask=own["present"] == 0), pa.array(start + cut[:-1]), pa.array(np.diff(cut)), pa.array(crcs, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield from _documents(name, start, kind)
 
-    names = spark.createDataFrame(rows, "shard int, base long, kind string, name string").repartition(max(1, len(rows)), "shard")
-    return names.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, end_id: int = END_ID, vocabulary_name: str = "word_bpe_49k.json") -> DataFrame:
     """Write and read back. Null and empty texts are documents of the end id alone; null ids come first; rows with
     equal ids follow each other in any order; an empty table gives no files and no rows. Only doc_id and text are
     read."""
-    spark, path = docs.sparkSession, f"{scratch_dir(docs.sparkSession)}/tokens"
-    written = write(docs, path, end_id, vocabulary_name)
-    return read(spark, path, written)
+    path = f"{scratch_dir(docs.sparkSession)}/tokens"
+    return read(path, materialize(write(docs, path, end_id, vocabulary_name), "shards"))
