@@ -5,9 +5,11 @@ segment on, every chain of l consecutive segments holds at most 3*l/4 of the dif
 one in two, two in three. The chain of length two is the join key (the second segment is probed with each of its
 one-bit variants), the longer chains prune what meets under a key, and the full distance decides.
 
-What meets under a key gives a spanning forest of its links, never all pairs; a key with many fingerprints is split
-into cells, one for each pair of blocks of its members, so no task holds more than two blocks of a key. Components
-are found by alternating star contractions over tables in the shared folder.
+What meets under a key gives a spanning forest of its links, never all pairs. A key that many fingerprints reach, their
+own or as a neighbour, is divided by the pigeonhole principle: of the other two segments' four bytes one is equal. What is
+still crowded is split into cells, one for each pair of blocks of its members, so no task holds more than two blocks of
+a key. A key that no fingerprint has as its own links nothing and is left out where it would be crowded. Components are
+found by alternating star contractions over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import join_counted, materialize, remove, written
 
 SEGMENTS, BITS, NEAR = 4, 16, 3
 #: Fingerprints under one key that one task compares with each other; beyond it the key is split.
@@ -87,7 +89,7 @@ def _forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, key, fp, own) in the order of cell and key to links (a, b)."""
+    """Rows (cell, key, fp, own), those of a cell and key together, to links (a, b)."""
     rest: list[np.ndarray] | None = None
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -118,36 +120,76 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(rest)
 
 
+def _neighbours(key: str) -> Column:
+    """The key itself and each key with one more bit in its second segment."""
+    return F.array(F.col(key), *(F.when(F.col(key).bitwiseAND(F.lit(1 << j)) == 0, F.col(key).bitwiseOR(F.lit(1 << j))) for j in range(BITS)))
+
+
+def _crowded(fps: DataFrame, block: int) -> DataFrame:
+    """(key, owned): the keys that more than ``block`` entries may reach, and whether any fingerprint has it as its own.
+
+    A key that is its own for few fingerprints, and each of whose neighbours is, cannot be crowded; so the counts of
+    own keys tell, and probes are not counted.
+    """
+    own = _entries(fps).where("own").groupBy("key").agg(F.count("*").alias("n"))
+    own = materialize(own, "own")
+    big = own.where(F.col("n") > block // (BITS + 1))
+    reached = big.select(F.explode(_neighbours("key")).alias("key")).where("key is not null").distinct()
+    return materialize(reached.join(own, "key", "left").select("key", F.col("n").isNotNull().alias("owned")), "crowded")
+
+
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints: a set that connects all those within 3 bits of each other."""
-    entries = _entries(fps)
-    heavy = materialize(entries.where("own").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "heavy")
-    light = entries if (none := heavy.isEmpty()) else entries.join(heavy, "key", "left_anti")
-    found = light.select(F.lit(0).alias("cell"), "key", "fp", "own").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    if none:
-        return found
+    entries, crowded = _entries(fps), _crowded(fps, block)
+    if crowded.isEmpty():
+        return _met(entries.withColumn("cell", F.lit(0).cast("long")))
+    plain = _met(entries.join(crowded, "key", "left_anti").withColumn("cell", F.lit(0).cast("long")))
+    # the segments after the key's two: their four bytes hold at most three differences
+    start = F.shiftright("key", 32)
+    turned = F.expr("shiftrightunsigned(fp, cast(16 * ((start + 2) % 4) as int)) | shiftleft(fp, cast(64 - 16 * ((start + 2) % 4) as int) % 64)")
+    rest = entries.join(crowded.where("owned").select("key"), "key").withColumn("start", start).withColumn("turned", turned)
+    byte = F.explode(F.array(*(F.lit(256 * i) + F.shiftright("turned", 8 * i).bitwiseAND(F.lit(255)).cast("int") for i in range(4))))
+    dug = materialize(rest.select("key", "fp", "own", byte.alias("byte")), "dug")
+    counts = dug.groupBy("key", "byte").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where(F.col("n") > block)
+    still = materialize(counts, "still")
+    sparse = dug.join(still, ["key", "byte"], "left_anti").withColumn("cell", F.col("byte").cast("long"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     one, every = F.pmod(F.xxhash64("fp"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
-    cells = entries.join(heavy, "key").withColumn("one", one).withColumn("other", F.explode(every))
-    cells = cells.select((F.least("one", "other") * F.col("n").cast("int") + F.greatest("one", "other")).alias("cell"), "key", "fp", "own")
-    return found.union(cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_links, "a long, b long"))
+    cells = dug.join(still.where("owned").drop("owned"), ["key", "byte"]).withColumn("one", one).withColumn("other", F.explode(every))
+    cell = (F.least("one", "other").cast("long") * F.col("n") + F.greatest("one", "other")) * 1024 + F.col("byte")
+    return plain.union(_met(sparse)).union(_met(cells.withColumn("cell", cell)))
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    return entries.select("cell", "key", "fp", "own").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_links, "a long, b long")
+
+
+def _least(edges: DataFrame, node: str, to: str, name: str) -> DataFrame:
+    """``edges`` with ``name``, the smallest ``to`` of their ``node``; a node with very many edges does not meet them in one task."""
+    least = materialize(edges.groupBy(node).agg(F.min(to).alias(name), F.count("*").alias("n")), "least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    return join_counted(edges, least, node, "n", total)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node with an edge (a, b) that is not its component's smallest node."""
     e = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct()
-    e, before = materialize(e, "edges"), None
+    (e, path), before = written(e, "edges"), None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")), F.count_distinct("node")).first()
+        # a tree of one level: every node has one root, and no root is a node
+        if state == before or not state[0] or state[0] == state[2] and e.join(e.select(F.col("root").alias("node")).distinct(), "node", "left_semi").isEmpty():
             return e
         before = state
         both = e.select("node", F.col("root").alias("to")).union(e.select(F.col("root").alias("node"), F.col("node").alias("to")))
-        least = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.join(least, "node").where("`to` > node").select(F.col("to").alias("node"), F.col("m").alias("root")).distinct()
-        low = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(low, "node").where("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root"))
-        e = materialize(small.union(low.select("node", F.col("m").alias("root"))).distinct(), "edges")
+        large = _least(both, "node", "to", "m").where("`to` > node").select(F.col("to").alias("node"), F.least("node", "m").alias("root")).distinct()
+        large, held = written(large, "large")
+        small = _least(large, "node", "root", "m")
+        small = small.where("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root")).union(small.select("node", F.col("m").alias("root")))
+        e, new = written(small.distinct(), "edges")
+        for old in (path, held):
+            remove(e.sparkSession, old)
+        path = new
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, block: int = BLOCK) -> DataFrame:
@@ -158,17 +200,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, block: int = BLOCK) -> Data
     each get a row. An empty table gives no rows. Only doc_id and text are read.
     """
     prints = materialize(fingerprints(docs, width).drop("row_key"), "fingerprints")
-    rooted = _rooted(prints, block)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialize(_rooted(prints, block), "rooted")
+    total = prints.count()
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints"))
+    labels = join_counted(rooted.select("fp", "root", "n"), least, "root", "n_prints", rooted.count()).select("fp", "component_id", "n")
+    return join_counted(prints, labels, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _rooted(prints: DataFrame, block: int) -> DataFrame:
     """Per distinct fingerprint: its first document (``first``), its first row by id and key (``row``; rows without an
-    id come last) and its component (``root``)."""
+    id come last), its number of rows (``n``) and its component (``root``)."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key") if "row_key" in prints.columns else F.lit(None)
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(row).alias("row"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(row).alias("row"), F.count("*").alias("n"))
     roots = components(links(distinct.select("fp"), block))
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -177,10 +220,11 @@ def representatives(docs: DataFrame, width: int = 3, block: int = BLOCK) -> Data
     """One row of ``docs`` for each group of near-duplicates, all columns as they are.
 
     It is the row with the smallest doc_id, of rows that share it the one whose digest of id and text is smallest; a
-    row without an id stays only if its group has no other. Of rows with equal id and text, one stays.
+    row without an id stays only if its group has no other. Of rows with equal id and text, one stays. Columns may have
+    any name but ``_row_key_of_simhash``.
     """
     shown = F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("n"))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), F.lit(":"), shown))
     prints = materialize(fingerprints(docs, width, key), "fingerprints")
-    firsts = _rooted(prints, block).groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.row_key").alias("_key"))
-    return docs.withColumn("_key", key).join(materialize(firsts, "firsts"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    firsts = _rooted(prints, block).groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.row_key").alias("_row_key_of_simhash"))
+    return docs.withColumn("_row_key_of_simhash", key).join(materialize(firsts, "firsts"), "_row_key_of_simhash", "left_semi").dropDuplicates(["_row_key_of_simhash"]).drop("_row_key_of_simhash")
