@@ -1,12 +1,14 @@
 """Exact top-k by inner product with the threshold algorithm.
 
-Vectors are packed into blocks. For a block, each dimension has a list of its vectors sorted by that component. A
-query reads its lists in step, from the top where its own component is positive and from the bottom where it is
-negative; every vector seen is scored in full. What is unseen can score at most the inner product of the query with
-the components at the current depth; reading stops when that bound is below the k-th score so far. Equal bounds read
-on, as an unseen vector with a smaller id would win the tie.
-
-Blocks of queries meet blocks of candidates, and each pair gives at most k rows a query.
+Vectors are packed into blocks, once, with their lists: for each dimension the block's vectors sorted by that component.
+A query reads its lists from the top where its own component is positive and from the bottom where it is negative. What
+is unseen can score at most the inner product of the query with the components at the current depth; reading stops at
+the depth where that bound is below the k-th score known. Equal bounds read on, as an unseen vector with a smaller id
+would win the tie. The bound falls with the depth, so the depth where a query stops is found by bisection.
+
+A query's first block gives it a k-th score, and it carries that to all other blocks, so most of them it leaves early.
+Where the entries up to that depth outnumber the block's vectors, the block is scored as a whole, many queries at once.
+Blocks of queries go to the blocks of candidates, and each pair gives at most k rows a query.
 """
 
 from __future__ import annotations
@@ -21,115 +23,195 @@ from .common import materialize
 
 K, EVERY, SCALE = 20, 20, 64
 #: Vectors in a block of candidates, and in a block of queries.
-CANDIDATES, QUERIES = 16_384, 1024
-#: Depth of the first read; it doubles.
-DEPTH = 32
-
-
-def threshold_top_k(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of the k best vectors of a block other than those with id ``own``.
-
-    ``lists[d]`` are the positions in ascending order of component d. ``vectors`` are whole numbers held as floats.
-    """
-    n = len(ids)
-    used = np.flatnonzero(query)
-    up = query[used] > 0
-    seen = np.zeros(n, bool)
-    seen[np.flatnonzero(ids == own)] = True
-    at, score = np.zeros(0, int), np.zeros(0)
-    depth, step = 0, DEPTH
-    if not len(used):  # every vector scores zero
-        at = np.flatnonzero(~seen)
-        score, depth = np.zeros(len(at)), n
-    while depth < n:
-        until = min(n, depth + step)
-        fresh = np.zeros(n, bool)
-        fresh[lists[used[up], n - until : n - depth].ravel()] = True
-        fresh[lists[used[~up], depth:until].ravel()] = True
-        fresh &= ~seen
-        seen |= fresh
-        new = np.flatnonzero(fresh)
-        at, score = np.r_[at, new], np.r_[score, vectors[new] @ query]
-        depth, step = until, step * 2
-        if len(at) > k:
-            top = np.argpartition(-score, k - 1)
-            kth = score[top[k - 1]]
-            keep = score >= kth
-            at, score = at[keep], score[keep]
-            edge = np.where(up, lists[used, n - until], lists[used, until - 1])
-            if vectors[edge, used] @ query[used] < kth:
-                break
-    order = np.lexsort((ids[at], -score))[:k]
-    return at[order], score[order]
-
-
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (vec_id, v) packed into blocks: block number, ids and components as bytes."""
+CANDIDATES, QUERIES = 16_384, 2048
+#: Blocks of queries that a task meets with one block of candidates, at most.
+TOGETHER = 64
+#: Depth of the first read, and queries that score a whole block at once.
+DEPTH, ROWS = 32, 256
+
+
+def _below(score: float) -> float:
+    """A double that is at most the score: beyond 53 bits a whole number may round up."""
+    near = float(score)
+    return near if abs(near) < 1 << 53 else float(np.nextafter(near, -np.inf))
+
+
+class Block:
+    """Candidates of one length: ids, components (whole numbers held as floats where these are exact) and sorted lists."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, kind: np.dtype):
+        self.ids, self.lists = ids, lists
+        self.vectors = vectors.astype(kind)
+        self.sorted = np.take_along_axis(self.vectors, lists.T.astype(np.int64), axis=0)  # by depth from the bottom
+
+    def stops(self, queries: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """For each query, the least depth whose bound is below the k-th score; the block's size if there is none."""
+        n, rows, dims = len(self.ids), np.arange(len(queries)), np.arange(queries.shape[1])
+        low, high = np.zeros(len(rows), int), np.full(len(rows), n)
+        while (low < high).any():
+            at = (low + high) // 2
+            depth = np.minimum(at, n - 1)[:, None]
+            edge = self.sorted[np.where(queries > 0, n - 1 - depth, depth), dims]
+            below = (np.einsum("ij,ij->i", edge, queries) < kth) | (at >= n)
+            high, low = np.where(below, np.minimum(at, high), high), np.where(below, low, at + 1)
+            low = np.minimum(low, high)
+        return high
+
+    def read(self, query: np.ndarray, depth: int) -> np.ndarray:
+        """The vectors within a depth of the query's lists."""
+        n, up = len(self.ids), query > 0
+        return np.unique(np.r_[self.lists[up, n - depth :].ravel(), self.lists[query < 0, :depth].ravel()])
+
+    def best(self, own: int, at: np.ndarray, score: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        keep = (score >= least) & (self.ids[at] != own)
+        at, score = at[keep], score[keep]
+        if len(at) > 4 * k:
+            top = score >= np.partition(score, len(score) - k)[len(score) - k]
+            at, score = at[top], score[top]
+        order = np.lexsort((self.ids[at], -score))[:k]
+        return self.ids[at[order]], score[order]
+
+    def top_k(self, own: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its number, and ids and scores of its k best vectors here; those below ``kth`` may lack."""
+        n = len(self.ids)
+        queries, kth = queries.astype(self.vectors.dtype), kth.copy()
+        every = np.arange(n)
+        for i in np.flatnonzero(np.isneginf(kth)):  # the first read gives a k-th score
+            at = self.read(queries[i], min(DEPTH, n))
+            _, score = self.best(own[i], at, self.vectors[at] @ queries[i], -np.inf, k)
+            kth[i] = _below(score[-1]) if len(score) == k else -np.inf
+        stops = np.zeros(len(own), int)
+        for at in range(0, len(own), ROWS):
+            stops[at : at + ROWS] = self.stops(queries[at : at + ROWS], kth[at : at + ROWS])
+        whole = np.flatnonzero((stops >= n) | (stops * np.count_nonzero(queries, axis=1) >= n))
+        for at in range(0, len(whole), ROWS):
+            part = whole[at : at + ROWS]
+            for i, score in zip(part, queries[part] @ self.vectors.T, strict=True):
+                yield i, *self.best(own[i], every, score, kth[i], k)
+        for i in np.setdiff1d(np.flatnonzero(stops), whole):
+            at = self.read(queries[i], stops[i])
+            yield i, *self.best(own[i], at, self.vectors[at] @ queries[i], kth[i], k)
+
+
+def _blocks(rows: DataFrame, size: int, lists: bool) -> DataFrame:
+    """Rows (vec_id, v) packed into blocks of one length: ``width``, ``ids``, ``vectors`` and, with ``lists``, ``lists``, as bytes."""
+    names = ["width", "ids", "vectors", *(["lists"] if lists else [])]
+
+    def out(width: int, ids: list[np.ndarray], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        i, v = np.concatenate(ids), np.concatenate(parts)
+        for at in range(0, len(i), size):
+            cols = [pa.array([width], pa.int32()), pa.array([i[at : at + size].astype("<i8").tobytes()]), pa.array([v[at : at + size].astype("<i8").tobytes()])]
+            if lists:
+                cols.append(pa.array([np.argsort(v[at : at + size], axis=0, kind="stable").T.astype("<i4").tobytes()]))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        parts: list[np.ndarray] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            i, v = np.concatenate(ids), np.concatenate(parts)
-            for at in range(0, len(i), size):
-                yield pa.RecordBatch.from_arrays([pa.array([i[at : at + size].astype("<i8").tobytes()]), pa.array([v[at : at + size].astype("<i4").tobytes()])], names=["ids", "vectors"])
-
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for b in batches:
-            if b.num_rows:
-                ids.append(b.column(0).to_numpy())
-                parts.append(np.asarray(b.column(1).flatten(), "<i4").reshape(b.num_rows, -1))
-            if sum(map(len, ids)) >= size:
-                yield from out()
-                ids, parts = [], []
-        if ids:
-            yield from out()
-
-    return materialize(rows.mapInArrow(run, "ids binary, vectors binary"), name)
+            width = np.diff(b.column(1).offsets.to_numpy())
+            for w in np.unique(width).tolist():
+                part = b.filter(pa.array(width == w))
+                ids, parts = held.setdefault(w, ([], []))
+                ids.append(part.column(0).to_numpy())
+                parts.append(np.asarray(part.column(1).flatten(), "<i8").reshape(-1, w))
+                if sum(map(len, ids)) >= size:
+                    yield from out(w, *held.pop(w))
+        for w, (ids, parts) in held.items():
+            yield from out(w, ids, parts)
+
+    return rows.mapInArrow(run, "width int, ids binary, vectors binary" + (", lists binary" if lists else ""))
+
+
+def _numbered(blocks: DataFrame, name: str, number: str) -> DataFrame:
+    """Blocks as a table, numbered from 0 within their width; a row for each block passes the window, without its bytes."""
+    blocks = materialize(blocks.withColumn("id", F.monotonically_increasing_id()), name)
+    order = F.row_number().over(Window.partitionBy("width").orderBy("id")) - 1
+    return blocks.join(blocks.select("width", "id").withColumn(number, order), ["width", "id"]).drop("id")
+
+
+def _meet(candidates: DataFrame, queries: DataFrame, keys: list[str], k: int, blocks: bool) -> DataFrame:
+    """The k best of each query in the block it meets: rows (query_id, vec_id, score); with ``blocks``, rows of bytes with
+    the queries' new k-th scores beside them."""
+    schema = "width int, c int, q int, ids binary, vectors binary, kth binary, found_query binary, found_vec binary, found_score binary" if blocks else "query_id long, vec_id long, score long"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], pa.schema([]))
+        cand = left.slice(0, 1).to_pylist()[0]
+        dims = cand["width"]
+        ids, v = np.frombuffer(cand["ids"], "<i8"), np.frombuffer(cand["vectors"], "<i8").reshape(-1, dims)
+        lists = np.frombuffer(cand["lists"], "<i4").reshape(dims, -1)
+        held: dict[type, Block] = {}
+        rows: list[tuple] = []
+        found: list[list[np.ndarray]] = [[], [], []]
+        for r in right.select(["c", "q", "ids", "vectors", "kth"]).to_pylist():
+            own, q, kth = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<i8").reshape(-1, dims), np.frombuffer(r["kth"], "<f8")
+            most = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * dims
+            kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+            if kind not in held:
+                held[kind] = Block(ids, v, lists, kind)
+            new, mine = kth.copy(), [[np.zeros(0, np.int64)] for _ in range(3)]
+            for i, vec, score in held[kind].top_k(own, q, kth, k):
+                for c, x in zip(mine, (np.full(len(vec), own[i]), vec, score.astype(np.int64)), strict=True):
+                    c.append(x)
+                if len(score) == k:
+                    new[i] = max(new[i], _below(score[-1]))
+            whole = [np.concatenate(c) for c in mine]
+            if blocks:
+                rows.append((dims, r["c"], r["q"], r["ids"], r["vectors"], new.astype("<f8").tobytes(), *(c.astype("<i8").tobytes() for c in whole)))
+            else:
+                for c, x in zip(found, whole, strict=True):
+                    c.append(x)
+        if blocks:
+            kinds = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6)
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        return pa.table([pa.array(np.concatenate(c)) for c in found], names=names)
+
+    def fit(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        got = run(key, left, right)
+        if got.num_columns:
+            return got
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 6 if blocks else [pa.int64()] * 3
+        return pa.table([pa.array([], t) for t in kinds], names=names)
+
+    return candidates.groupby(*keys).cogroup(queries.groupby(*keys)).applyInArrow(fit, schema)
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """Per query (vec_id divisible by ``every``) and rank: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Vectors that are null or empty, or hold null or non-finite components, and rows
-    with a null id take no part. All vectors have one length; only those of the most frequent one could meet, so a
-    vector of another length raises. Rows with the query's own id are no candidates of it; repeated ids otherwise are
-    candidates each. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows; an empty table none.
+    with a null id take no part; nor do vectors with a component so large that an inner product of its length might
+    not be a 64-bit number. Vectors of different lengths do not meet. Rows with the query's own id are no candidates of
+    it; repeated ids otherwise are candidates each. Ties go to the smaller vec_id. Fewer candidates than k give fewer
+    rows; an empty table none.
     """
-    fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    vectors = embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v"))
-    width = vectors.agg(F.min(F.size("v")), F.max(F.size("v")), F.count("*")).first()
-    if width[0] != width[1]:
-        raise ValueError("vectors differ in length")
-    parts = max(1, -(-(width[2] or 0) // CANDIDATES))
-    dealt = materialize(vectors.repartition(parts, F.xxhash64("vec_id")), "vectors")
-    candidates = _blocks(dealt.coalesce(parts), CANDIDATES, "candidates").withColumnsRenamed({"ids": "c_ids", "vectors": "c_vectors"})
-    queries = _blocks(dealt.where(F.col("vec_id") % every == 0).repartition(max(1, -(-parts * CANDIDATES // every // QUERIES)), F.xxhash64("vec_id", F.lit(1))), QUERIES, "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
-    dims = width[0] or 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x = F.col("embedding")
+    most = F.floor(F.sqrt(F.lit(float(1 << 62)) / F.size(x)) / scale)
+    fine = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < most))
+    vectors = embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
+    vectors = materialize(vectors, "vectors")
+    n, m = vectors.count(), vectors.where(F.col("vec_id") % every == 0).count()
+    dealt = lambda df, rows, size: df.repartition(max(1, -(-rows // size)), F.xxhash64("vec_id", F.lit(size)))
+    candidates = materialize(_numbered(_blocks(dealt(vectors, n, CANDIDATES), CANDIDATES, True), "candidates", "c"), "numbered")
+    queries = _numbered(_blocks(dealt(vectors.where(F.col("vec_id") % every == 0), m, QUERIES), QUERIES, False), "queries", "q")
+    sizes = candidates.groupBy("width").agg(F.count("*").cast("int").alias("blocks"))
+    queries = queries.join(sizes, "width").withColumn("c", (F.col("q") % F.col("blocks")).cast("int"))
+    unknown = F.lit(np.array([-np.inf], "<f8").tobytes().hex())
+    queries = queries.withColumn("kth", F.unhex(F.repeat(unknown, F.expr("int(octet_length(ids) div 8)"))))
+    first = materialize(_meet(candidates, queries.select("width", "c", "q", "ids", "vectors", "kth"), ["width", "c"], k, True), "first")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c_ids, c_vectors, q_ids, q_vectors in zip(*(c for c in b.columns), strict=True):
-                ids, own = np.frombuffer(c_ids.as_buffer(), "<i8"), np.frombuffer(q_ids.as_buffer(), "<i8")
-                v, q = (np.frombuffer(x.as_buffer(), "<i4").reshape(-1, dims) for x in (c_vectors, q_vectors))
-                kind = np.float32 if np.abs(v).max(initial=0) * float(np.abs(q).max(initial=0)) * dims < 1 << 24 else np.float64
-                lists = np.argsort(v, axis=0, kind="stable").T.astype(np.int32).copy()
-                v, q = v.astype(kind), q.astype(kind)
-                cols: list[list[np.ndarray]] = [[], [], []]
-                for one, query in zip(own, q, strict=True):
-                    at, score = threshold_top_k(query, one, ids, v, lists, k)
-                    for c, x in zip(cols, (np.full(len(at), one), ids[at], score.astype(np.int64)), strict=True):
-                        c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
-
-    n = max(1, candidates.count())
-    meet = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(_numbered(candidates), "c")
-    found = meet.select("c_ids", "c_vectors", "q_ids", "q_vectors").repartition(max(1, n * queries.count()), F.xxhash64("q_ids", "c_ids")).mapInArrow(run, "query_id long, vec_id long, score long")
+            for row in zip(*b.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), "<i8")) for x in row], names=["query_id", "vec_id", "score"])
+
+    early = first.select("found_query", "found_vec", "found_score").mapInArrow(unpack, "query_id long, vec_id long, score long")
+    group = (F.col("q") / TOGETHER).cast("int").alias("g")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("c"))
+    later = first.join(sizes, "width").select("width", F.explode(others).alias("c"), "q", group, "ids", "vectors", "kth")
+    groups = first.groupBy("width").agg(F.max("q").alias("last")).select("width", F.explode(F.sequence(F.lit(0), (F.col("last") / TOGETHER).cast("int"))).alias("g"))
+    rest = _meet(candidates.join(groups, "width"), later, ["width", "c", "g"], k, False)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).cast("int")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _numbered(blocks: DataFrame) -> DataFrame:
-    """Blocks with consecutive numbers, in the order of their ids; a row for each block passes the window."""
-    key = blocks.select(F.xxhash64("c_ids").alias("h")).distinct()
-    return blocks.withColumn("h", F.xxhash64("c_ids")).join(key.withColumn("c", F.row_number().over(Window.orderBy("h")) - 1), "h").drop("h")
+    return early.union(rest).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
