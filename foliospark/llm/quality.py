@@ -52,7 +52,8 @@ def _class(code: int) -> int:
     return CLASSES.index(name)
 
 
-_TABLE = np.array([_class(c) for c in range(0x3000)], np.uint8)
+#: Beyond the table are letters of rare scripts and private characters, which count as the last of it.
+_TABLE = np.array([_class(c) for c in range(0x20000)], np.uint8)
 _INDEX = {w.encode(): i for i, w in enumerate(WORDS)}
 _SPACE = " \t\n\r\x0b\x0c"
 
@@ -137,19 +138,22 @@ def rate(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float =
     """Per row: doc_id, the counts, base_failed, kept, and the distances from the nearest language reference.
 
     A null or empty text has no words and fails the base rules. A distance is null where the document is too short
-    for it or there is no reference, and then rejects nothing. The nearest of all references counts, so a null or
-    wrong ``lang`` does no harm. Repeated rows each get a row; only doc_id, lang and text are read.
+    for it, there is no reference, or ``lang`` names a language that has no reference here, and then rejects nothing. The
+    nearest of all references counts, so a null or mistaken ``lang`` does no harm. Repeated rows each get a row; only doc_id, lang and text are read.
     """
     counted = materialize(document_counts(docs), "counts")
     known = references(counted)
 
+    def judged(lang: pa.Array) -> np.ndarray:
+        return np.array([x is None or x in COMMON for x in lang.to_pylist()], bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chars = np.asarray(b.column("chars").flatten(), dtype=float).reshape(b.num_rows, len(CLASSES))
             common = np.asarray(b.column("common").flatten(), dtype=float).reshape(b.num_rows, len(WORDS))
             words = b.column("n_words").to_numpy()
             best = _nearest(known, chars, common, words)
-            enough = np.array([b.column("word_chars").to_numpy() >= min_chars, words >= min_words]) & np.isfinite(best)
+            enough = np.array([b.column("word_chars").to_numpy() >= min_chars, words >= min_words]) & np.isfinite(best) & judged(b.column("lang"))
             out = [pa.array(np.where(ok, x, 0), mask=~ok) for x, ok in zip(best, enough, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", *_FIELDS[:5])), *out], names=["doc_id", *_FIELDS[:5], "char_distance", "word_distance"])
 
@@ -172,7 +176,7 @@ def keep(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float =
                 continue
             n_words, word_chars, _, _, repeat, chars, common = (np.array(x) for x in zip(*(counts(t.as_py()) for t in b.column("text")), strict=True))
             best = _nearest(known, chars.astype(float), common.astype(float), n_words)
-            enough = np.array([word_chars >= min_chars, n_words >= min_words]) & np.isfinite(best)
+            enough = np.array([word_chars >= min_chars, n_words >= min_words]) & np.isfinite(best) & np.array([x is None or x in COMMON for x in b.column("lang").to_pylist()], bool)
             far = (enough & (best > np.array([[max_char], [max_word]]))).any(axis=0)
             yield b.filter(pa.array((n_words >= 50) & (100 * repeat <= 50 * n_words) & ~far))
 

@@ -121,6 +121,48 @@ def test_links_connect_all_within_three_bits(spark, block):
     assert [roots.get(x, x) for x in own] == want
 
 
+def test_links_under_hot_probes(spark):
+    """Many fingerprints share one key, so each of its one-bit neighbours is reached by all of them; some have few owners, most none."""
+    rng = np.random.default_rng(2)
+    low = 0x00F0_1234
+    fps = {int(x) << 32 | low for x in rng.integers(0, 1 << 32, 3000)}
+    some = sorted(fps)[:40]
+    fps |= {x ^ (1 << int(b)) ^ (1 << int(c)) for x, b, c in zip(some, rng.integers(0, 16, 40), rng.integers(32, 64, 40), strict=True)}
+    fps |= {x ^ (1 << int(b)) ^ (1 << int(c)) for x, b, c in zip(some, rng.integers(32, 64, 40), rng.integers(32, 64, 40), strict=True)}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    df = spark.createDataFrame(signed, "fp long")
+    block = 100
+    crowded = {r.key: r.owned for r in simhash._crowded(df, block).collect()}
+    assert sum(not x for x in crowded.values()) > 3 and sum(crowded.values()) >= 3
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, block)).collect()}
+    own = [x[0] for x in signed]
+    arr = np.array([x % (1 << 64) for x in own], np.uint64)
+    par = list(range(len(own)))
+
+    def find(a):
+        while par[a] != a:
+            a = par[a]
+        return a
+
+    for i in range(len(own)):
+        for j in np.flatnonzero(np.bitwise_count(arr[:i] ^ arr[i]) <= 3):
+            par[find(i)] = find(int(j))
+    least = {}
+    for i, x in enumerate(own):
+        least[find(i)] = min(x, least.get(find(i), x))
+    assert [roots.get(x, x) for x in own] == [least[find(i)] for i in range(len(own))]
+    assert len(roots) >= 80
+
+
+def test_join_counted(spark):
+    from foliospark.llm.common import join_counted
+
+    left = spark.range(5000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.col("k") * 2)
+    got = sorted(map(tuple, join_counted(left, right, "k", "n", 5000, least=10).collect()))
+    assert got == sorted((k, i, 2 * k) for k, i in map(tuple, left.collect()))
+
+
 def test_quality(docs, empty):
     def brute(text):
         text = text or ""
@@ -140,6 +182,43 @@ def test_quality(docs, empty):
     assert np.allclose(quality.js_distance(p, np.array([0.5, 0.5])), [0, 0.5579230452841438])
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """References, distances and verdicts in plain Python with math.log2; languages without a reference reject nothing."""
+    import math
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("kept"))
+    junk = " ".join(f"Q{i * 7919 % 10007}!" for i in range(150))
+    docs = docs.union(spark.createDataFrame([(10_001, junk, "en", "x"), (10_002, junk, "it", "x"), (10_003, junk, None, "x"), (10_004, "汉字 " * 120 + junk, "en", "x")], docs.schema))
+    rows = [(r, quality.counts(r.text)) for r in docs.collect()]
+    failed = lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0]
+    refs = {}
+    for lang in quality.COMMON:
+        own = [c for r, c in rows if r.lang == lang and not failed(c)]
+        if own:
+            refs[lang] = ([sum(c[5][k] / sum(c[5]) for c in own) / len(own) for k in range(len(quality.CLASSES))], {w: sum(c[6][quality.WORDS.index(w)] / c[0] for c in own) / len(own) for w in quality.COMMON[lang]})
+
+    def distance(p, q):
+        kl = lambda x, y: sum(a * math.log2(a / b) for a, b in zip(x, y, strict=True) if a > 0)
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+    want = {}
+    for r, c in rows:
+        verdict = not failed(c)
+        if verdict and (r.lang is None or r.lang in quality.COMMON):
+            pairs = []
+            for lang, (chars, words) in refs.items():
+                own = [c[6][quality.WORDS.index(w)] / c[0] for w in quality.COMMON[lang]]
+                ref = [words[w] for w in quality.COMMON[lang]]
+                pairs.append((distance([x / sum(c[5]) for x in c[5]], [x / sum(chars) for x in chars]), distance([*own, max(0, 1 - sum(own))], [*ref, max(0, 1 - sum(ref))])))
+            near = min(pairs, key=sum)
+            verdict = not (c[1] >= quality.MIN_CHARS and near[0] > quality.MAX_CHAR_DISTANCE or c[0] >= quality.MIN_WORDS and near[1] > quality.MAX_WORD_DISTANCE)
+        want[r.doc_id] = verdict
+    assert {r.doc_id: r.kept for r in quality.rate(docs).collect()} == want
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {i for i, v in want.items() if v}
+    assert not want[10_001] and want[10_002] and not want[10_003] and not want[10_004]
+
+
 def test_quality_agrees_with_labels(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.rate(d).where("not base_failed").join(labels, "doc_id").select("kept", "quality").collect()
@@ -199,6 +278,41 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_by_brute_force(spark, docs):
+    """Ranks by md5 order within sources, fractions, and the cut, in plain Python; hot ids and equal rows included."""
+    rows = [(5, "hot id", "en", "s", 1, "x", "y")] * 300 + [(None, f"text {i % 7}", "en", "t", 1, "x", "y") for i in range(200)]
+    df = docs.union(spark.createDataFrame(rows, SCHEMA))
+    each = [(r.source, hashlib.md5(f"{sharding.SEED}:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), r.doc_id if r.doc_id is not None else -(10**18), zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in df.collect()]
+    stratum = lambda s: "n" if s is None else "s" + s
+    placed = []
+    for source in {e[0] for e in each}:
+        own = sorted(e[1:] for e in each if e[0] == source)
+        start = int(hashlib.md5(f"{sharding.SEED}:{'null' if source is None else source}".encode()).hexdigest()[:8], 16) / 2**32
+        placed += [((k + start) / len(own), stratum(source), k, e) for k, e in enumerate(own)]
+    placed.sort()
+    n, want = len(placed), []
+    for at, (_, _, _, (_, doc_id, crc, size)) in enumerate(placed):
+        shard = at * 8 // n
+        want.append((doc_id, size, crc, shard, at - -(-shard * n // 8)))
+    got = [(r.doc_id if r.doc_id is not None else -(10**18), r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("shards", [None, 7])
+def test_token_files_with_a_hot_id(spark, tmp_path, shards):
+    df = spark.range(900).selectExpr("if(id % 3 = 0, 4, if(id % 3 = 1, null, id)) AS doc_id", "concat('word ', id % 5, ' and more') AS text").repartition(5)
+    path = f"file://{tmp_path}/t"
+    from foliospark.llm.common import materialize
+
+    held = materialize(tokenfile.write(df, path, shards=shards), "held")
+    got = sorted(tokenfile.read(path, held).collect(), key=lambda r: r.start)
+    assert len(got) == 900 and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got[:-1]]).tolist()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and Counter(ids)[4] == 301 - (0 if 4 % 3 == 0 else 1) and Counter(ids)[-1] == 300
+    if shards:
+        assert held.count() == 7 and held.agg(F.max("n_docs")).first()[0] < 300
+
+
 def test_warc(spark):
     schema = "page_id long, url string, html string, refers_to string"
     big, odd = "é\r\n\r\nWARC/1.1\r\n" * 200, "x" * 2000
@@ -212,6 +326,22 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_warc_files_are_bounded_and_hot_payloads_resolve(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    hot = "h" * 1500
+    rows = [(i, "u", hot if i % 3 == 0 else "".join(rng.choice(list("abcdefgh"), 3000))) for i in range(150)] + [(149, "u", hot), (None, "u", hot)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    want = sorted(repr((i, len(h), hashlib.sha1(h.encode()).hexdigest(), *(("revisit", 149) if h == hot and i != 149 else ("response", None)))) for i, _, h in rows)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST", most)
+        got = warc.round_trip(df, file_bytes=20_000).collect()
+        assert sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == want
+    path = f"file://{tmp_path}/w"
+    files = warc.write(df, path, file_bytes=20_000).collect()
+    assert len(files) > 4 and all(f.n_bytes < 25_000 for f in files) and sum(f.n_records for f in files) == len(rows)
+    assert warc.read(spark, path).count() == len(rows)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     v = np.round(rng.normal(0, 0.2, (400, 8)), 2)
@@ -232,6 +362,24 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Small blocks, so that k-th scores are carried; lengths differ, ids repeat, components are huge, and many scores tie."""
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
+    monkeypatch.setattr(topk, "DEPTH", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.round(x, 1)) for x in rng.normal(0, 0.3, 4 if i % 5 else 6)]) for i in range(500)]
+    rows += [(7, [0.1] * 4), (7, [0.1] * 4), (20, [0.2] * 4), (2000, [1e30] * 4), (2001, [1e7, 0.0, 0.0, 0.0]), (2020, [-1e7, 1.0, 0.0, 0.0]), (2040, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if v and max(map(abs, v)) < 1e15]
+    want = Counter()
+    for own in {i for i, _ in q if i % 20 == 0}:
+        met = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), j) for i, u in q if i == own for j, v in q if j != own and len(u) == len(v))
+        want.update((own, k, j, -s) for k, (s, j) in enumerate(met[:20], 1))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect()) == want
+
+
 def test_token_files(docs, empty):
     tok = load(vocabulary("word_bpe_49k.json"))
     got = tokenfile.round_trip(docs).collect()
@@ -275,6 +423,56 @@ def test_html_marked_wrappers(name):
     assert html.main_text("<body><div class='cookie-bar'><p>We use cookies and more</p></div></body>") == ""
 
 
+def test_html_clusters_choose():
+    """Nothing is marked here: the ratios alone tell the article from a menu, and constant ratios do not."""
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(12))
+    prose = [f"Paragraph {i} has a good many words, and a second sentence that goes on for a while." for i in range(5)]
+    page = f"<body><div><ul>{menu}</ul></div><div><h1>Title</h1>{''.join(f'<p>{p}</p>' for p in prose)}</div><div><ul>{menu}</ul></div></body>"
+    assert html.main_text(page) == "\n\n".join(["Title", *prose])
+    clusters = html._clusters
+    html._clusters = lambda page: list(range(len(page.lines)))
+    try:
+        assert "Item 3" in html.main_text(page)
+    finally:
+        html._clusters = clusters
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post comments-enabled", "article-with-tags", "page no-header", "search-results-alert body", "sidebar", "ad"])
+def test_html_names_above_an_article_drop_nothing(name):
+    prose = "A long sentence of the article. " * 3
+    inner = f"<h1>T</h1><p>{prose}<label>Lab</label> and <span class='tag notice'>new</span> x</p><section class='related-work'><p>RW</p></section><div id='disclaimer-analysis'>DA</div><span class='notice'>alone</span><div class='ad'>Buy</div>"
+    assert html.main_text(f"<body><nav>M</nav><div class='{name}'><article>{inner}</article></div></body>") == f"T\n\n{prose}Lab and new x\n\nRW\n\nDA"
+
+
+@pytest.mark.parametrize("part", ["<div>", "<span>", "<p><span>", "<b><div>", "<span class=ad>", "<hr>"])
+def test_html_deep_and_long_pages(part):
+    import time
+
+    began = time.process_time()
+    assert html.main_text(part * 30_000 + "deep" + "</b>" * 30_000) in ("deep", "")
+    assert time.process_time() - began < 10
+
+
+def test_html_extract(spark):
+    rows = [(1, "u", "<p>one two</p>", "x", 9), (2, None, None, None, None), (2, None, None, None, None), (None, "v", "", "t", 1), (3, "w", "<nav>m</nav>", "", 0), (4, "w", "<p>" + "word " * 100_000, "", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df).collect())
+    long = ("word " * 100_000).strip()
+    assert got == Counter([(1, "u", "one two", 7), (2, None, "", 0), (2, None, "", 0), (None, "v", "", 0), (3, "w", "", 0), (4, "w", long, len(long))])
+    assert html.extract(df.where("false")).count() == 0
+
+
+def test_html_brute_force(spark):
+    """On the driver's pages the article element is the main text: its blocks by a plain reading of the source."""
+    from html import unescape
+
+    for r in spark.read.parquet(f"{DIR}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(</article>|<footer>)", r.html, re.S)[1]
+        inner = re.sub(r"<!--.*?-->|</?(b|i|em|strong|a)( [^>]*)?>", "", inner, flags=re.S)
+        blocks = [re.sub(r"\s+", " ", unescape(x)).strip() for x in re.split(r"</?(?:p|h1|ul|li|div)(?: [^>]*)?>", inner.replace("<br>", " "))]
+        assert html.main_text(r.html) == "\n\n".join(b for b in blocks if b)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -334,6 +532,57 @@ def test_pii_chains_and_base_overlaps(spark, monkeypatch):
     assert [r.text for r in pii.redact(df).sort("doc_id").collect()] == ["z <ssn><card> z", "call <phone> now"]
 
 
+def test_pii_many_matches_and_clashing_names(spark):
+    import time
+
+    n = 10_000
+    rng = np.random.default_rng(1)
+    text = " ".join(f"call ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)} or mail a{i}@b{i}.com x" for i in range(n))
+    schema = "doc_id long, text string, spans string, base string, candidates string, _base string, row int"
+    df = spark.createDataFrame([(1, text, "s", "b", "c", "d", 5), (2, None, None, None, None, None, None)], schema)
+    began = time.time()
+    one, none = pii.redact(df).sort("doc_id").collect()
+    assert tuple(one)[2:] == ("s", "b", "c", "d", 5)
+    assert one.text.count("or mail <email> x") == n and one.text.count("call <phone> or") > 0.95 * n
+    rest = re.sub(r"call (<phone>|\(\d{3}\) \d{3}-\d{4}) or mail <email> x ?", "", one.text)
+    assert rest == ""
+    assert none.text is None and none.spans is None
+    assert time.time() - began < 120
+    got = pii.find(df).where("doc_id = 1").select("candidates", "_base", "row", F.size("base").alias("n"), F.size("spans").alias("m")).first()
+    assert tuple(got) == ("c", "d", 5, n, n + one.text.count("<phone>"))
+    assert pii.report(df).where("doc_id = 1").first().n_email == n
+
+
+def test_pii_spans_by_brute_force(spark):
+    """Candidates, scores, thresholds and the choice in plain Python; only the features of single spans come from the library."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    extra = ["token = 'a1b2c3d4e5f6a7b8' and (555) 123-4567, 555-12-3456", "key: 0123456789abcdef0123456789abcdef card 4111/1111/1111/1111", "joe [at] site [dot] org. Then", "iban DE89370400440532013000 ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334"]
+    df = docs.union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    trees, limits = pii.model(spark)
+    want = {}
+    for r in df.select("doc_id", "text", F.concat(*pii._candidates(F.col("text"))).alias("c")).collect():
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(r.text))]
+        found = []
+        for g, (kind, _, pattern) in enumerate(pii.GENERATORS):
+            for m in re.finditer(re.sub(r"\(\?:(\(\?<!.*?\))\|\\G\)", r"\1", pattern).replace("\\x20", " "), r.text):
+                tail = re.search("[A-Za-z0-9+/_-]+$", m[0])[0] if kind == "secret" else m[0]
+                found.append((kind, m.end() - len(tail), m.end(), tail))
+        assert Counter(found) == Counter((c.kind, c.start, c.stop, c.value) for c in r.c)
+        scored = []
+        for c in r.c:
+            score = float(sum(pii._apply(t, np.array([c.x]))[0] for t in trees))
+            if score >= limits[c.kind] and not any(a <= c.start and c.stop <= b for _, a, b in base):
+                scored.append((-score, c.start - c.stop, c.start, sorted(pii.KINDS, reverse=True).index(c.kind), c.stop, c.kind))
+        kept = []
+        for s in sorted(scored):
+            if not any(s[2] < o[4] and o[2] < s[4] for o in kept):
+                kept.append(s)
+        spans = {(pii.KINDS.index(k), a, b, k) for k, a, b in base} | {(pii.KINDS.index(s[5]), s[2], s[4], s[5]) for s in kept}
+        want[r.doc_id] = ",".join(f"{k}:{a}:{b}" for _, a, b, k in sorted(spans))
+    assert {r.doc_id: r.spans for r in pii.report(df).collect()} == want
+    assert sum("secret" in w for w in want.values()) > 0
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
