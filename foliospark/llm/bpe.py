@@ -6,23 +6,30 @@ labelled w to where u and then v led. The automaton accepts exactly one token pa
 applying the merges in order gives. All arcs with one label lead to one state, so a state is stored per token, and
 an arc's presence follows from the arcs its target state has lost; looked-up arcs are kept in a transition table.
 
-Encoding runs over the characters of a pre-split word and keeps, for each position, the one token that arrives
-there by an allowed arc; decoding emits the labels of the arcs.
+Encoding follows the arcs of the table over the characters of a pre-split word; decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .encoding import _ODD, load, vocabulary
+from .encoding import _ODD, byte_letters, load, vocabulary
 
-#: Chunks and words held per worker; a memo is emptied when it is full, which costs time only.
-MEMO_SIZE = 600_000
+#: Chunks and words held per worker. A full memo becomes the old one, from which what is used comes back; so size costs
+#: time only.
+MEMO_SIZE = 300_000
+#: Chunks of a text that are looked up together; fewer than a memo holds.
+RUN = 20_000
+#: Looked-up arcs held per worker.
+ARCS = 1_000_000
+#: A chunk of lower-case Latin letters and then stops; its splitter would cut it there and nowhere else.
+_PLAIN = re.compile(r"([a-zà-öø-ɏ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 class MergeAutomaton:
@@ -70,43 +77,46 @@ class MergeAutomaton:
         self.target, self.states = target, len(lost)
         self.inner = {t: vocab[t] for t in target if not suffix or not t.endswith(suffix)}
         self.last = {t[: len(t) - len(suffix)]: vocab[t] for t in target if t.endswith(suffix)} if suffix else self.inner
-        self.prefixes = {t[:k] for t in (*self.inner, *self.last) for k in range(1, len(t) + 1)}
-        self.longest = max(map(len, self.prefixes), default=0)
+        self.reach: dict[str, int] = {}  # by the first four letters: the longest label that begins so
+        for t in (*self.inner, *self.last):
+            if len(t) > 3:
+                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
         self.of = {vocab[t]: s for t, s in target.items()}
         self.table: dict[int, bool] = {}
 
     def encode(self, word: str) -> list[int]:
-        """The ids of one pre-split word, written in the vocabulary's alphabet."""
-        n = len(word)
-        came: list[tuple[int, int] | None] = [None] * (n + 1)
-        state = [0] * (n + 1)
-        table, prefixes, of = self.table, self.prefixes, self.of
-        for j in range(n):
-            if j and came[j] is None:
-                continue
-            p = state[j]
-            for k in range(j + 1, min(n, j + self.longest) + 1):
-                piece = word[j:k]
-                if piece not in prefixes:
-                    break
-                t = (self.last if k == n else self.inner).get(piece)
-                if t is None or came[k] is not None:
+        """The ids of one pre-split word, written in the vocabulary's alphabet.
+
+        From the start state the longest labels are followed first. A prefix has one path only, so each position is
+        met once at most, however often the way leads back.
+        """
+        table, inner, last, of, reach = self.table, self.inner.get, self.last.get, self.of, self.reach.get
+        n, at, state, end = len(word), 0, 0, min(len(word), reach(word[:4], 3))
+        ids: list[int] = []
+        way: list[tuple[int, int, int]] = []
+        while at < n:
+            for k in range(end, at, -1):
+                t = (last if k == n else inner)(word[at:k])
+                if t is None:
                     continue
-                arc = p << 24 | t
+                arc = state << 24 | t
                 ok = table.get(arc)
                 if ok is None:
-                    if len(table) > 500_000:
+                    if len(table) > ARCS:
                         table.clear()
-                    ok = table[arc] = self._present(p, self.labels[t])
+                    ok = table[arc] = self._present(state, self.labels[t])
                 if ok:
-                    came[k], state[k] = (j, t), of[t]
-        ids: list[int] = []
-        while n:
-            if came[n] is None:
-                raise ValueError("the vocabulary does not cover this word")
-            n, t = came[n]
-            ids.append(t)
-        return ids[::-1]
+                    way.append((at, k - 1, state))
+                    ids.append(t)
+                    at, state = k, of[t]
+                    end = min(n, k + reach(word[k : k + 4], 3))
+                    break
+            else:
+                if not way:
+                    raise ValueError("the vocabulary does not cover this word")
+                at, end, state = way.pop()
+                ids.pop()
+        return ids
 
 
 class WordBpe:
@@ -121,25 +131,40 @@ class WordBpe:
         self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
         tok = load(content)
         self.normalizer, self.splitter = tok.normalizer, tok.pre_tokenizer
+        self.letters = byte_letters()
         self.words: dict[str, tuple[str, str]] = {}
         self.ids: dict[str, str] = {}
         self.arcs: dict[str, str] = {}
-
-    def _chunk(self, chunk: str) -> None:
-        if len(self.ids) >= MEMO_SIZE:
-            self.ids.clear()
-            self.arcs.clear()
-        if len(self.words) >= MEMO_SIZE // 2:
-            self.words.clear()
-        got = []
-        for word, _ in self.splitter.pre_tokenize_str(chunk):
-            if (found := self.words.get(word)) is None:
-                ids = self.automaton.encode(word)
-                found = (" ".join(map(str, ids)), " ".join(self.labels[i] for i in ids))
-                if len(word) <= 64:
-                    self.words[word] = found
-            got.append(found)
-        self.ids[chunk], self.arcs[chunk] = (" ".join(x[k] for x in got) for k in (0, 1))
+        self.old: tuple[dict[str, str], dict[str, str]] = ({}, {})
+
+    def _word(self, word: str) -> tuple[str, str]:
+        """Ids and labels of a word in the vocabulary's alphabet."""
+        ids = self.automaton.encode(word)
+        found = (" ".join(map(str, ids)), " ".join(map(self.labels.__getitem__, ids)))
+        if len(word) <= 64:
+            if len(self.words) >= MEMO_SIZE:
+                self.words.clear()
+            self.words[word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        if m := _PLAIN.fullmatch(chunk):
+            parts = [x if x.isascii() else "".join(map(self.letters.__getitem__, x.encode())) for x in m.groups() if x]
+        else:
+            parts = [x for x, _ in self.splitter.pre_tokenize_str(chunk)]
+        got = [self.words.get(x) or self._word(x) for x in parts]
+        return got[0] if len(got) == 1 else tuple(" ".join(x[k] for x in got) for k in (0, 1))
+
+    def _recall(self, missing: set[str], run: set[str]) -> None:
+        if len(self.ids) + len(missing) > MEMO_SIZE:
+            self.old, self.ids, self.arcs = (self.ids, self.arcs), {}, {}
+            missing = run
+        ids, arcs = self.old
+        for c in missing:
+            if c in ids:
+                self.ids[c], self.arcs[c] = ids[c], arcs[c]
+            else:
+                self.ids[c], self.arcs[c] = self._chunk(c)
 
     def _plain(self, text: str) -> tuple[str, str]:
         if _ODD.search(text):
@@ -147,23 +172,14 @@ class WordBpe:
             chunks = [c for c in text.split(" ") if c]
         else:
             chunks = text.lower().split()
-        ids = self.ids
-        while True:
-            for c in chunks:
-                if c not in ids:
-                    self._chunk(c)
-            try:  # a memo emptied on the way lacks the earlier chunks
-                return " ".join(map(ids.__getitem__, chunks)), " ".join(map(self.arcs.__getitem__, chunks))
-            except KeyError:
-                if len(set(chunks)) > MEMO_SIZE // 2:
-                    return self._uncached(chunks)
-
-    def _uncached(self, chunks: list[str]) -> tuple[str, str]:
-        got = []
-        for c in chunks:
-            self._chunk(c)
-            got.append((self.ids[c], self.arcs[c]))
-        return tuple(" ".join(x[k] for x in got) for k in (0, 1))
+        out: tuple[list[str], list[str]] = ([], [])
+        for at in range(0, len(chunks), RUN):
+            run = chunks[at : at + RUN]
+            if missing := set(run).difference(self.ids):
+                self._recall(missing, set(run))
+            out[0].append(" ".join(map(self.ids.__getitem__, run)))
+            out[1].append(" ".join(map(self.arcs.__getitem__, run)))
+        return " ".join(out[0]), " ".join(out[1])
 
     def encode(self, text: str) -> tuple[str, str]:
         """Decimal ids and decoded tokens, each joined by one space."""
