@@ -1,4 +1,4 @@
-"""Exact, memoised use of the tokenizers library on white-space chunks.
+"""Exact, quick use of the tokenizers library: memoised on white-space chunks, or by ranks (below).
 
 Both public vocabularies split a text into words before merging, and no word crosses the chunk borders used
 here, so the ids of a text are the ids of its chunks in order. A chunk is encoded by the library once per
@@ -7,14 +7,17 @@ worker and then looked up; a text for which chunks are not provably independent
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import compress
 from operator import not_
 from pathlib import Path
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Chunks in a worker's memo; a full memo becomes the old one, from which used chunks come back (both some 250 MB).
@@ -139,13 +142,66 @@ class ChunkEncoder:
         self._fill(list(holes - known))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+def byte_letters() -> list[str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones are themselves, the others follow
+    from U+0100 on."""
+    out, spare = [], 0x100
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
 
 
-def encoder(content: str) -> ChunkEncoder:
+#: What a byte-level vocabulary splits at, as its kind does by default.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts that go to the library itself: letters whose class depends on the version of Unicode, and very long words.
+_RARE = re.compile("[Ͱ-\U0010ffff]|[^\\s]{4000}|\\s{4000}")
+
+
+class RankEncoder:
+    """As ChunkEncoder for byte-level vocabularies whose ids follow the order of their merges: tiktoken merges the same
+    pairs, by rank, in a quarter of the time. A text with a special token or rare letters goes to the tokenizers
+    library."""
+
+    def __init__(self, content: str):
+        self.tok = load(content)
+        bytes_of = {c: b for b, c in enumerate(byte_letters())}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        ranks = {bytes(map(bytes_of.__getitem__, t)): i for t, i in json.loads(content)["model"]["vocab"].items() if t not in self.special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def fits(content: str) -> bool:
+        spec = json.loads(content)
+        split = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+            return False
+        model = spec["model"]
+        made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+        return made == sorted(made) and not model.get("ignore_merges") and not model.get("end_of_word_suffix")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if _RARE.search(text) or any(s in text for s in self.special):
+                ids = self.tok.encode(text, add_special_tokens=False).ids
+            else:
+                ids = self.fast.encode_ordinary(text)
+            out.append(array("I", ids).tobytes())
+        return out
+
+
+Encoder = ChunkEncoder | RankEncoder
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(content: str) -> Encoder:
     """This worker's encoder for a vocabulary; its memo lives as long as the worker."""
     if content not in _encoders:
-        _encoders[content] = ChunkEncoder(content)
+        _encoders[content] = RankEncoder(content) if RankEncoder.fits(content) else ChunkEncoder(content)
     return _encoders[content]
 
 
