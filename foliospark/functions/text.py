@@ -5,8 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 #: A word: a letter or digits first, inner hyphens and apostrophes kept.
 WORD = r"\p{L}[\p{L}\p{N}_'’-]*|\p{N}+[\p{L}\p{N}_'’-]*"
@@ -50,11 +50,50 @@ def markdown_filename(source: Column) -> Column:
 
 
 def pdf_filename(url: Column) -> Column:
-    """The last segment of a URL's path, unsafe runs as hyphens, at most 100 characters."""
+    """The last segment of a URL's path with its percent codes read, unsafe runs as hyphens, the stem at most 100 characters."""
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    base = F.regexp_replace(F.substring_index(path, "/", -1), "[^A-Za-z0-9._-]+", "-")
-    base = F.left(F.regexp_replace(base, "^[-.]+|[-.]+$", ""), F.lit(100))
-    return F.when(base == "", "document.pdf").when(F.lower(base).endswith(".pdf"), base).otherwise(F.concat(base, F.lit(".pdf")))
+    last = F.substring_index(path, "/", -1)
+    read = F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+    base = F.regexp_replace(F.regexp_replace(read, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", "")
+    stem = F.regexp_replace(F.left(F.regexp_replace(base, r"(?i)\.pdf$", ""), F.lit(100)), "^[-.]+|[-.]+$", "")
+    return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("document")), F.lit(".pdf"))
+
+
+def unique_names(files: DataFrame) -> DataFrame:
+    """``filename`` of files (batch, ord, name): the first of a name keeps it, later ones get -2, -3 and so on in their
+    order, past names that are taken."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, taken, names, last = pdf.sort_values("ord"), set(), [], {}
+        for name in pdf["name"]:
+            stem, dot, ending = name.rpartition(".")
+            n, made = last.get(name, 1), name
+            while made in taken:
+                n += 1
+                made = f"{stem}-{n}{dot}{ending}"
+            last[name] = n
+            taken.add(made)
+            names.append(made)
+        return pdf.assign(filename=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", filename string"
+    return files.groupBy("batch").applyInPandas(run, schema)
+
+
+def without_fences(text: Column) -> Column:
+    """A text without its fenced code; an open fence runs to the end."""
+    return F.regexp_replace(text, r"(?m)^[ \t]*(?:```|~~~)[^\n]*\n?(?:(?![ \t]*(?:```|~~~))[^\n]*(?:\n|\z))*+(?:[ \t]*(?:```|~~~)[^\n]*\n?)?", "")
+
+
+def shown_title(text: Column, url: Column) -> Column:
+    """A title to show and to name a file by: the first heading of level one outside code, else of level two, else the
+    end of the url's path; characters that file systems reserve become spaces, at most 80 remain."""
+    bare = without_fences(text)
+    h1, h2 = (F.regexp_extract(bare, rf"(?m)^ {{0,3}}#{{{n}}}[ \t]+([^\n]*?)[ \t#]*$", 1) for n in (1, 2))
+    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
+    tail = F.regexp_replace(F.regexp_replace(F.substring_index(path, "/", -1), r"\.[A-Za-z0-9]{1,5}$", ""), "[-_]+", " ")
+    chosen = F.coalesce(F.nullif(F.trim(h1), F.lit("")), F.nullif(F.trim(h2), F.lit("")), tail)
+    return F.trim(F.left(F.trim(F.regexp_replace(F.regexp_replace(chosen, r'[<>:"/\\|?*\x00-\x1f]+', " "), " +", " ")), F.lit(80)))
 
 
 def s_stem(w: Column) -> Column:
@@ -103,9 +142,28 @@ def lower_start(text: Column) -> Column:
     return text.rlike(r"""^[ \t"'‘“(*_]*[a-z]""")
 
 
+@F.pandas_udf(IntegerType())
+def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x, y) -> int | None:
+        if x is None or y is None:
+            return None
+        row = list(range(len(y) + 1))
+        for i, u in enumerate(x, 1):
+            left, row[0] = row[0], i
+            for j, v in enumerate(y, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (u != v))
+        return row[-1]
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+#: Distinct words that have a code point of their own in the private use areas.
+_POINTS = 137_000
+
+
 def word_levenshtein(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words: each distinct word of the pair becomes one code point of the private
-    use areas, so at most 137,000 distinct words of a pair can be told apart."""
+    use areas; a pair with more distinct words than these hold is compared word by word outside the JVM."""
     def distance(p: Column) -> Column:
         def coded(ws: Column) -> Column:
             at = F.transform(ws, lambda w: F.array_position(p["both"], w) + 0xDFFF)
@@ -114,7 +172,9 @@ def word_levenshtein(a: Column, b: Column) -> Column:
 
         return F.levenshtein(coded(p["a"]), coded(p["b"]))
 
-    return let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("both")), distance)
+    many = F.size(F.array_distinct(F.concat(a, b))) > _POINTS
+    few = let(F.struct(F.when(~many, a).alias("a"), F.when(~many, b).alias("b"), F.when(~many, F.array_distinct(F.concat(a, b))).alias("both")), distance)
+    return F.coalesce(few, _word_distance(F.when(many, a), F.when(many, b)))
 
 
 def let(value: Column, body) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from .text import let
 
-#: Words of one or two letters that recognition gives rightly.
-SHORT = "a i an as at be by do go he if in is it me my no of on or so to up us we de la le en et un es el al du au".split()
+#: Short words that recognition gives rightly.
+SHORT = "a i an of to in on by is at or as be it we no mm cm".split()
+_TOKEN = r"[\p{L}\p{N}]+"
 
 
 def even_chunks(text: Column, size: int, limit: int) -> Column:
@@ -19,18 +20,16 @@ def even_chunks(text: Column, size: int, limit: int) -> Column:
 
 
 def plausible(word: Column) -> Column:
-    """Whether a recognised word may be one: a digit, a common short word, or three letters, two of them different,
-    a vowel, and no upper case after lower case."""
-    def made(letters: Column) -> Column:
-        low = F.lower(letters)
-        return low.isin(SHORT) | ((F.length(letters) >= 3) & low.rlike("[aeiouyàáâäæãèéêëìíîïòóôöœøùúûü]") & ~low.rlike(r"^(.)\1*$") & ~letters.rlike(r"\p{Ll}\p{Lu}"))
-
-    return word.rlike("[0-9]") | let(F.regexp_replace(word, r"[^\p{L}]+", ""), made)
+    """Whether a run of letters and digits may be printed text: a digit, a common short word, or three letters or more,
+    two of them different, a vowel, and no capital after a small letter."""
+    low = F.lower(word)
+    varied = ~low.rlike(r"^(.)\1*$")
+    return word.rlike(r"\p{Nd}") | low.isin(SHORT) | ((F.length(word) >= 3) & varied & word.rlike("[aeiouyAEIOUY]") & ~word.rlike("[a-z][A-Z]"))
 
 
 def plausible_words(text: Column) -> Column:
-    """struct(plausible, raw): counts of the words of a text."""
-    return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda ws: F.struct(F.size(F.filter(ws, plausible)).alias("plausible"), F.size(ws).alias("raw")))
+    """struct(plausible, raw): counts of the runs of letters and digits of a text."""
+    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda ws: F.struct(F.size(F.filter(ws, plausible)).alias("plausible"), F.size(ws).alias("raw")))
 
 
 def choose_reading(layout: Column, guard: Column, share: float = 0.85) -> Column:

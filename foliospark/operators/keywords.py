@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import BREAK, s_stem, words
+from ..functions.text import BREAK, let, s_stem, without_fences, words
 
 #: Words that no phrase holds.
 STOP = """
@@ -28,14 +28,19 @@ MAX_WORDS, MIN_WORD, MIN_TEXT, RRF_K = 4, 3, 200, 60
 BONUS = (1.0, 1.4, 1.6, 1.6)
 
 
-def ngrams(docs: DataFrame, sizes: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, key, size, occurrences): stemmed n-grams of one to ``sizes`` words that no break divides.
+def ngrams(docs: DataFrame, sizes: int = MAX_WORDS, phrases: bool = False) -> DataFrame:
+    """(doc_id, key, size, occurrences): stemmed n-grams of one to ``sizes`` words that no break divides; with ``phrases``
+    only those without a boundary word, which are never made: a segment is cut at them first.
 
     The n-grams of a document are made and counted within its row's task (array functions and a partial sum), and
     only counts are shuffled.
     """
     segments = F.split(F.col("text"), BREAK)
     stems = F.transform(segments, lambda s: F.transform(words(s), s_stem))
+    if phrases:
+        cut = lambda ws: F.array_join(F.transform(ws, lambda w: F.when(w.isin(BOUNDARY), "\x01").otherwise(w)), " ")
+        runs = F.filter(F.split(F.array_join(F.transform(stems, cut), " \x01 "), " ?\x01 ?"), lambda r: r != "")
+        stems = F.transform(runs, lambda r: F.split(r, " "))
 
     def of(seg: Column) -> Column:
         return F.flatten(F.array(*(_windows(seg, k) for k in range(1, sizes + 1))))
@@ -50,6 +55,11 @@ def _windows(seg: Column, k: int) -> Column:
     return F.when(F.size(seg) >= k, made).otherwise(none)
 
 
+def substantial(key: Column) -> Column:
+    """Whether a key has a word of three characters that is no number."""
+    return key.rlike(rf"(?:^| )(?!\p{{N}}+(?: |$))[^ ]{{{MIN_WORD},}}")
+
+
 def usable(key: Column) -> Column:
     """A key worth ranking: no boundary word, not digits alone, and a word of three characters that is no number."""
     parts = F.split(key, " ")
@@ -59,13 +69,65 @@ def usable(key: Column) -> Column:
 
 def frequency(docs: DataFrame, top_k: int = 20, min_text: int = MIN_TEXT) -> DataFrame:
     """(doc_id, rank, key, score, occurrences): the structural frequency of prose without headings."""
-    grams = ngrams(docs.where(F.length("text") >= min_text)).where((F.col("occurrences") >= 2) & usable(F.col("key")))
+    grams = ngrams(docs.where(F.length("text") >= min_text), phrases=True).where(F.when(F.col("occurrences") >= 2, substantial(F.col("key"))).otherwise(False))
     bonus = F.element_at(F.array(*map(F.lit, BONUS)), F.col("size"))
     scored = grams.withColumn("score", F.round(F.col("occurrences") * bonus, 6))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "key"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top_k).select("doc_id", "rank", "key", "score", "occurrences")
 
 
+#: Names that documents give their own parts; as keys, lower case and singular.
+SECTION_NAMES = """abstract|acknowledgement|annex|appendix|background|bibliography|conclusion|content|executive summary|figure|finding|foreword|glossary|index|introduction|method|methodology|overview|preface|recommendation|reference|result|scope|summary|table|table of content""".split("|")
+
+
+def _inline(text: Column) -> Column:
+    """A line's words without inline Markdown and tags."""
+    for pattern, kept in ((r"<!--.*?-->", " "), (r"!\[([^\]\n]*)\]\([^)\n]*\)", " $1 "), (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"), (r"`+([^`\n]*)`+", "$1"), (r"</?[A-Za-z][^>\n]*>", " "), (r"(\*{1,3}|_{1,3}|~~)(?=\S)(.+?)(?<=\S)\1", "$2")):
+        text = F.regexp_replace(text, pattern, kept)
+    return F.trim(text)
+
+
+def _ended(line: Column) -> Column:
+    bare = F.rtrim(line)
+    return F.when((bare == "") | bare.rlike(r"""[.!?:;]["')]?$"""), line).otherwise(F.concat(bare, F.lit(".")))
+
+
+def zones(docs: DataFrame) -> DataFrame:
+    """(doc_id, prose, title, headings, emphasis) of Markdown: fenced code, rules and table delimiters go, the words that
+    quotes, lists, links, images, code and emphasis wrap stay; headings, items and last lines of blocks end with a stop."""
+    body = without_fences(F.col("text"))
+    lines = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(r"^ {0,3}((-[ \t]*){3,}|(\*[ \t]*){3,}|(_[ \t]*){3,})$") & ~x.rlike(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"))
+    head = r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t#]*$"
+
+    def shown(x: Column) -> Column:
+        unquoted = F.regexp_replace(x, r"^[ \t]*(>[ \t]?)+", "")
+        listed = unquoted.rlike(r"^[ \t]*([-*+]|[0-9]{1,9}[.)])[ \t]+")
+        words = _inline(F.replace(F.regexp_replace(unquoted, r"^[ \t]*([-*+]|[0-9]{1,9}[.)])[ \t]+", ""), F.lit("|"), F.lit(" . ")))
+        return F.when(x.rlike(head), _ended(_inline(F.regexp_extract(x, head, 2)))).when(listed, _ended(words)).otherwise(words)
+
+    closed = lambda ls: F.transform(ls, lambda x, i: F.when((F.trim(x) != "") & (F.trim(F.coalesce(F.get(ls, i + 1), F.lit(""))) == ""), _ended(x)).otherwise(x))
+    heads = F.transform(F.filter(lines, lambda x: x.rlike(head)), lambda x: _inline(F.regexp_extract(x, head, 2)))
+    bold = F.transform(F.regexp_extract_all("text", F.lit(r"\*\*(?=\S)(.+?)(?<=\S)\*\*"), F.lit(1)), _inline)
+    return docs.select("doc_id", F.array_join(let(F.transform(lines, shown), closed), "\n").alias("prose"), F.coalesce(F.get(heads, F.lit(0)), F.lit("")).alias("title"), F.array_join(heads, " . ").alias("headings"), F.array_join(bold, " . ").alias("emphasis"))
+
+
+def prominent(docs: DataFrame, top_k: int = 20, min_text: int = MIN_TEXT) -> DataFrame:
+    """(doc_id, rank, key, score, occurrences, in_title, in_heading): structural frequency of Markdown. A key of the title
+    counts three times, of a heading twice (of both four times), of bold text 0.3 more; names of sections get no such credit,
+    and a key that occurs once needs to be in the title or a heading."""
+    z = zones(docs).where(F.length("prose") >= min_text)
+    grams = ngrams(z.select("doc_id", F.col("prose").alias("text")), phrases=True)
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(F.flatten(F.transform(F.split(c, r" \. "), lambda s: F.concat(F.transform(words(s), s_stem), F.array(F.lit("."))))), " "), F.lit(" "))
+    places = z.select("doc_id", padded(F.col("title")).alias("_t"), padded(F.col("headings")).alias("_h"), padded(F.col("emphasis")).alias("_e"))
+    key, free = F.concat(F.lit(" "), F.col("key"), F.lit(" ")), ~F.col("key").isin(SECTION_NAMES)
+    met = grams.join(places, "doc_id").withColumns({"in_title": F.contains("_t", key) & free, "in_heading": F.contains("_h", key) & free, "_bold": F.contains("_e", key)})
+    met = met.where(F.when((F.col("occurrences") >= 2) | F.col("in_title") | F.col("in_heading"), substantial(F.col("key"))).otherwise(False))
+    more = 1.0 + F.when(F.col("in_title"), 2.0).otherwise(0.0) + F.when(F.col("in_heading"), 1.0).otherwise(0.0) + F.when(F.col("_bold"), 0.3).otherwise(0.0)
+    scored = met.withColumn("score", F.round(F.col("occurrences") * F.element_at(F.array(*map(F.lit, BONUS)), F.col("size")) * more, 6))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "key"))
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top_k).select("doc_id", "rank", "key", "score", "occurrences", "in_title", "in_heading")
+
+
 def fuse(rankings: dict[str, DataFrame], top_k: int = 20) -> DataFrame:
     """Reciprocal rank fusion of rankings (doc_id, rank, key): one vote per key and method, its best rank."""
     votes = None

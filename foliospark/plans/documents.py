@@ -66,13 +66,14 @@ def even_chunks(spark, sf_dir):
     return d.select("doc_id", step.alias("s"), F.posexplode(K.even_chunks(F.col("text"), 500, 24)).alias("k", "t")).select("doc_id", (F.col("k") * F.col("s")).alias("chunk"), F.sha2("t", 256).alias("digest"))
 
 
-_L = "regexp_replace(w, '[^\\p{L}]+', '', 'g')"
+_RUNS = "regexp_extract_all(text, '[\\p{L}\\p{N}]+')"
+_SHORT = "('a', 'i', 'an', 'of', 'to', 'in', 'on', 'by', 'is', 'at', 'or', 'as', 'be', 'it', 'we', 'no', 'mm', 'cm')"
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)
-    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_raw, CAST(len(list_filter(ws, lambda w: regexp_matches(w, '[0-9]') OR list_contains({K.SHORT!r}, lower({_L})) OR
-      (length({_L}) >= 3 AND replace(lower({_L}), lower({_L})[1], '') <> '' AND regexp_matches(lower({_L}), '[aeiouyàáâäæãèéêëìíîïòóôöœøùúûü]') AND NOT regexp_matches({_L}, '\\p{{Ll}}\\p{{Lu}}')))) AS BIGINT) AS n_plausible FROM w"""
+    f"""WITH w AS (SELECT doc_id, unnest({_RUNS}) AS w FROM documents), n AS (SELECT doc_id, CAST(len({_RUNS}) AS BIGINT) AS n_raw FROM documents)
+    SELECT doc_id, n_raw, count(w) FILTER (regexp_matches(w, '[0-9]') OR lower(w) IN {_SHORT} OR (length(w) >= 3 AND len(list_distinct(string_split(lower(w), ''))) >= 2
+      AND regexp_matches(w, '[aeiouyAEIOUY]') AND NOT regexp_matches(w, '[a-z][A-Z]'))) AS n_plausible FROM n LEFT JOIN w USING (doc_id) GROUP BY ALL"""
 )
 def plausible_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", K.plausible_words(F.col("text")).alias("p")).select("doc_id", F.col("p.raw").cast("long").alias("n_raw"), F.col("p.plausible").cast("long").alias("n_plausible"))

@@ -188,7 +188,6 @@ def conversation_markdown(spark, sf_dir):
     return D.to_markdown(turns, "conv_id", "turn", "line")
 
 
-shared("conversation_ids", "SELECT conv_id, turn, concat('e', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR)) AS id FROM conversations", {"VARCHAR": "STRING"})
 
 
 @query(
@@ -340,8 +339,6 @@ def change_log(spark, sf_dir):
 # --- relational shapes -----------------------------------------------------------------------------------------
 
 shared("budget_cut", "SELECT o_orderkey, running FROM (SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders) x WHERE running <= 500000")
-shared("page_runs", """SELECT o_custkey, o_orderstatus, min(n) AS first, max(n) AS last FROM (SELECT o_custkey, o_orderstatus, n, n - row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY n) AS island
-    FROM (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) x) y GROUP BY o_custkey, o_orderstatus, island""", {"min(n)": "CAST(min(n) AS BIGINT)", "max(n)": "CAST(max(n) AS BIGINT)"})
 shared("best_of_group", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) x WHERE k = 1")
 shared("rollup_revenue", """SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
     JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
@@ -350,9 +347,6 @@ shared("anti_orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT
 shared("dense_levels", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_type) AS level FROM part", {"dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_type)": "CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_type) AS BIGINT)"})
 shared("carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since FROM events", {"END IGNORE NULLS)": "END) IGNORE NULLS"})
 shared("stratified_draw", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('draw', CAST(doc_id AS VARCHAR))), doc_id) AS k FROM documents) x WHERE k <= 7", {"VARCHAR": "STRING"})
-shared("threshold_rules", """SELECT t, count(*) AS n, round(avg(CASE WHEN n_chars >= t THEN quality ELSE 1 - quality END), 6) AS gain FROM (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)) d
-    JOIN (SELECT DISTINCT n_chars AS t FROM documents WHERE source = 'src3') r ON 1 = 1 GROUP BY t ORDER BY gain DESC, t LIMIT 8""")
-shared("first_match_forward", """SELECT a.event_id, min(b.event_id) AS next_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY a.event_id""")
 
 
 @query("SELECT label, round(list_inner_product(m, m), 5) AS norm FROM (SELECT label, list(a ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS a FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label)")
