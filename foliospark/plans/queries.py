@@ -192,11 +192,11 @@ def conversation_markdown(spark, sf_dir):
 
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS b FROM documents),
-    k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(b), '[0-9]+', '#', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS key FROM l WHERE length(b) <= 120)
+    k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(b), '[0-9]+', '#', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS key FROM l)
     SELECT key, count(DISTINCT doc_id) AS n_docs FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 3"""
 )
 def repeated_lines(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("b")).where(F.length("b") <= 120)
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("b"))
     return lines.select("doc_id", T.furniture_key(F.col("b")).alias("key")).where("key <> ''").groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs")).where("n_docs >= 3")
 
 
