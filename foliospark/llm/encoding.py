@@ -12,8 +12,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 from pathlib import Path
 
 import numpy as np
@@ -29,7 +27,8 @@ _ODD = re.compile("[\x1c-\x1fİ̀-\U0010ffff]")
 
 #: In the memo, for a chunk whose text must go to the library whole; no ids are these bytes, as each has four.
 WHOLE = b"whole"
-#: A chunk of at most a line break, a space, a word and stops, which are words of their own.
+#: Stops, and a chunk of at most a line break, a space, a word and stops, which are words of their own.
+_STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD = re.compile("(\n?)( ?)([A-Za-zÀ-ÖØ-öø-ɏ]{1,64})([,.!?;:]{0,4})")
 
 
@@ -59,6 +58,8 @@ class ChunkEncoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.letters = byte_letters()
 
     def chunks(self, text: str) -> list[str] | None:
         """Independent chunks of a text, or None if the whole text must go to the library.
@@ -76,8 +77,36 @@ class ChunkEncoder:
         return out
 
     def _fill(self, missing: list[str]) -> None:
-        """Encode chunks that the memo lacks. Most are a Latin word and stops: such words are encoded many at once, as
-        the words of one text, since the library's cost is mostly by call."""
+        """Encode chunks that the memo lacks; a word and the stops after it apart."""
+        (self._fill_words if self.drops_space else self._fill_spaced)(missing)
+
+    def _fill_words(self, missing: list[str]) -> None:
+        """Here letters are a word and a run of stops is another, whatever stands beside them. Words of plain letters
+        need no normalizing or splitting, so the library's model gets them at once."""
+        memo, parts, four, tokenize, other = self.memo, self.parts, self.four, self.tok.model.tokenize, []
+        for c in missing:
+            word = c.rstrip(_STOPS)
+            if not word.isalpha() or len(word) > 64:
+                other.append(c)
+                continue
+            ids = memo.get(word)
+            if ids is None:
+                letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+                ids = memo[word] = b"".join([four[t.id] for t in tokenize(letters)])
+            if len(c) > len(word):
+                stop = c[len(word) :]
+                if stop not in parts:
+                    self._part(stop)
+                memo[c] = ids + parts[stop]
+        for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            memo[c] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _part(self, stop: str) -> None:
+        if len(self.parts) > MEMO_SIZE:
+            self.parts.clear()
+        self.parts[stop] = np.asarray(self.tok.encode(stop, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _fill_spaced(self, missing: list[str]) -> None:
         memo, other, plain = self.memo, [], []
         for c in missing:
             if m := _WORD.fullmatch(c):
@@ -86,7 +115,7 @@ class ChunkEncoder:
                 other.append(c)
         for spaced in (False, True):
             fresh = list({word for _, _, space, word, _ in plain if bool(space) == spaced and f"{space}{word}" not in memo})
-            gap = " " if spaced or self.drops_space else "\n"
+            gap = " " if spaced else "\n"
             e = self.tok.encode((gap if spaced else "") + gap.join(fresh), add_special_tokens=False)
             ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids, np.int64)
             if gap == "\n":  # the line breaks between are words too
@@ -97,49 +126,42 @@ class ChunkEncoder:
             for word, end in zip(fresh, ends, strict=True):
                 memo[f" {word}" if spaced else word] = raw[4 * at : 4 * end]
                 at = end
-        stops = {x for _, line, _, _, stop in plain for x in (line, stop) if x and x not in self.parts}
-        for x in stops:
-            self.parts[x] = np.asarray(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        for x in {x for _, line, _, _, stop in plain for x in ("", line, stop)} - self.parts.keys():
+            self._part(x)
         for c, line, space, word, stop in plain:
             memo[c] = self.parts[line] + memo[f"{space}{word}"] + self.parts[stop]
         for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
             memo[c] = np.asarray(e.ids, "<u4").tobytes()
-        if not self.drops_space:
-            for c in other:  # a chunk that ends with white space, or has it twice in front, depends on its neighbours
-                if c[-1:].isspace() or c[:2].isspace() and len(c) > 1 or c == "":
-                    memo[c] = WHOLE
+        for c in other:  # a chunk that ends with white space, or has it twice in front, depends on its neighbours
+            if c[-1:].isspace() or c[:2].isspace() and len(c) > 1 or c == "":
+                memo[c] = WHOLE
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        found = [None if c is None else list(map(self.memo.get, c)) for c in cut]
-        holes: set[str] = set()
-        for c, got in zip(cut, found, strict=True):
-            if got is not None and None in got:
-                holes.update(compress(c, map(not_, got)))
-        if holes:
-            self._recall(holes)
+        self._know(set().union(*(c for c in cut if c is not None)))
         out = []
-        for text, c, got in zip(texts, cut, found, strict=True):
+        for text, c in zip(texts, cut, strict=True):
             ids = None
             if not text:
                 ids = b""
-            elif got is not None:
-                if None in got:
-                    late = map(self.memo.__getitem__, compress(c, map(not_, got)))
-                    got = [x or next(late) for x in got]
-                if WHOLE not in got:
+            elif c is not None:
+                got = list(map(self.memo.__getitem__, c))
+                if self.drops_space or WHOLE not in got:
                     ids = b"".join(got)
             if ids is None:
                 ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             out.append(ids)
         return out
 
-    def _recall(self, holes: set[str]) -> None:
-        if len(self.memo) + len(holes) > MEMO_SIZE:
-            self.old, self.memo = self.memo, {}
-        known = self.old.keys() & holes
+    def _know(self, chunks: set[str]) -> None:
+        """Afterwards the memo holds all these chunks."""
+        missing = chunks.difference(self.memo)
+        if len(self.memo) + len(missing) > MEMO_SIZE and self.memo:
+            self.old, self.memo, missing = self.memo, {}, chunks
+        known = self.old.keys() & missing
         self.memo.update((c, self.old[c]) for c in known)
-        self._fill(list(holes - known))
+        if fresh := missing - known:
+            self._fill(list(fresh))
 
 
 def byte_letters() -> list[str]:

@@ -657,3 +657,18 @@ def test_near_duplicates_by_jaccard(spark, block):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in shingles.representatives(df, block=block).collect()} == want
     assert far > 50 and 20 < len(want) < len(texts) - 20
+
+
+def test_chunk_encoder_with_a_full_memo(monkeypatch):
+    from foliospark.llm import encoding
+
+    monkeypatch.setattr(encoding, "MEMO_SIZE", 50)
+    rng = np.random.default_rng(11)
+    letters = list("abcABéßøɐʰ''.,!?:_-&#$()  \n\t019²½ªº\"/\\`|<>\x85sıſ¡")
+    texts = ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 60, 3000)]
+    texts += ["it's he'll don't' x's' 's 'S a'S.", "a" * 100 + "...", "word" * 30 + "!!", "''s", "ª. º, ʰ!", "x</w> </w> w</w>.", "a¡! a¡", ""]
+    content = vocabulary("word_bpe_49k.json")
+    enc, tok = encoding.ChunkEncoder(content), load(content)
+    for at, some in encoding.grouped(texts):
+        for text, ids in zip(some, enc.encode(some), strict=True):
+            assert ids == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
