@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 #: A word: a letter or digits first, inner hyphens and apostrophes kept.
 WORD = r"\p{L}[\p{L}\p{N}_'’-]*|\p{N}+[\p{L}\p{N}_'’-]*"
@@ -157,6 +158,23 @@ def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+@F.pandas_udf(BooleanType())
+def _alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    def one(x: str, y: str, r: float) -> bool:
+        m = SequenceMatcher(None, x, y)
+        return m.quick_ratio() >= r and m.ratio() >= r
+
+    return pd.Series([None if x is None or y is None else one(x, y, r) for x, y, r in zip(a, b, least, strict=True)], dtype=object)
+
+
+def similar_titles(a: Column, b: Column, least: float = 0.86) -> Column:
+    """Two normalized titles of six characters or more whose share of matching characters is ``least``. Twice the
+    shorter length over both lengths bounds that share, so pairs beyond the bound stay in the JVM."""
+    short, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    near = (short >= 6) & (2.0 * short / both >= least)
+    return F.when(a.isNull() | b.isNull(), None).when(~near, False).when(a == b, True).otherwise(_alike(F.when(near & (a != b), a), F.when(near & (a != b), b), F.lit(least)))
+
+
 #: Distinct words that have a code point of their own in the private use areas.
 _POINTS = 137_000
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as T, tokens as K
 from ..operators import align, chapters, layout
-from ..streaming import windows
+from ..streaming import monitor, windows
 from .queries import query, read
 
 _BARE = "regexp_replace(text, '[#`~]+', '', 'g')"
@@ -141,3 +141,14 @@ def punctuation_stream(spark, sf_dir):
 def name_distance(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey").select("p_partkey", F.round(K.normalized_distance(F.col("p_name"), F.col("other")), 4).alias("distance"))
+
+
+@query(
+    """WITH c AS (SELECT 'u' || user_id AS url, event_id AS seq, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS line FROM events WHERE event_type <> 'error'),
+    w AS (SELECT *, lag(line) OVER (PARTITION BY url ORDER BY seq) AS old FROM c)
+    SELECT url, seq, concat_ws(chr(10), '--- ' || url || ' (previous)', '+++ ' || url || ' (current)', '@@ -1,3 +1,3 @@', ' # ' || url, '-' || old, '+' || line, ' end') AS diff FROM w WHERE old <> line"""
+)
+def change_diffs(spark, sf_dir):
+    url, line = F.concat(F.lit("u"), F.col("user_id")), F.floor(F.col("value") / 50).cast("long").cast("string")
+    text = F.when(F.col("event_type") != "error", F.concat(F.lit("# "), url, F.lit("\n"), line, F.lit("\nend")))
+    return monitor.diffs(read(spark, sf_dir, "events").select(url.alias("url"), F.col("event_id").alias("seq"), text.alias("markdown")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
 
 
 def changes(checks: DataFrame) -> DataFrame:
@@ -17,6 +19,22 @@ def changes(checks: DataFrame) -> DataFrame:
     return checks.withColumn("status", status).select("url", "seq", "status")
 
 
+@F.pandas_udf(StringType())
+def _line_diff(old: pd.Series, new: pd.Series, name: pd.Series) -> pd.Series:
+    def one(a: str, b: str, url: str) -> str:
+        return "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), f"{url} (previous)", f"{url} (current)", lineterm=""))
+
+    return pd.Series([None if a is None or b is None else one(a, b, url) for a, b, url in zip(old, new, name, strict=True)], dtype=object)
+
+
+def diffs(checks: DataFrame) -> DataFrame:
+    """(url, seq, diff) of the checks that found a change: a unified diff by lines against the last good text, without
+    dates, so equal texts give equal diffs. Only texts that differ leave the JVM."""
+    good = checks.where(F.col("markdown").isNotNull()).withColumn("_old", F.lag("markdown").over(Window.partitionBy("url").orderBy("seq")))
+    changed = good.where(F.col("_old") != F.col("markdown"))
+    return changed.select("url", "seq", _line_diff("_old", "markdown", F.coalesce("url", F.lit(""))).alias("diff"))
+
+
 def watch(checks: DataFrame) -> DataFrame:
     """The same over a stream; the state of a url is its last good hash."""
 
