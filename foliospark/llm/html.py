@@ -3,9 +3,11 @@
 The standard library's parser streams a page's tags and text. Text between block tags is a line with its ratio of
 text to tags, which falls with the share of link text and below elements that seldom hold article text (menus, forms,
 names such as "sidebar"); ratios are smoothed by a Gaussian, and lines above a threshold form clusters of content. The
-region is the article or main element that holds most clustered text or else, with the headings right before it, the
-smallest container that holds all of it. Every block of the region is kept, short ones too, but for elements inside the
-region that are set apart in this way; what encloses the region drops nothing, whatever its name.
+region is the article or main element that holds most clustered text or else the smallest container that holds all of
+it. Of an article or main element every block is kept, short ones too. Elsewhere the clusters choose: kept are their lines,
+blocks beside these in the same container that are no links, and headings right before what is kept. Elements inside the
+region that are set apart are dropped, but for an article's headings in its header; what encloses the region drops
+nothing, whatever its name, nor does a form around the whole page.
 """
 
 from __future__ import annotations
@@ -34,8 +36,15 @@ MARKS = frozenset(
     " promotions related recommended recommendations replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe"
     " subscription tags toolbar topbar widget widgets complementary contentinfo alert".split()
 )
+#: Those that mark readers' comments, of an article element too, and what may stand beside them.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+BESIDE_COMMENTS = frozenset("author authors body container content entry new post posts reader readers thread threads user users wrap wrapper".split())
+#: A paragraph with this name is a remark of the article.
+REMARKS = frozenset({"alert"})
 #: Words that may stand beside a mark in a name ("cookie-bar"); with any other word the name is no mark ("has-sidebar").
 BESIDE = frozenset("area bar block box button buttons form inner item items left link links list message page panel right section site slot text unit".split())
+#: Containers whose lines belong to what stands around them.
+PARTS = frozenset("ul ol dl table tbody thead tfoot tr blockquote figure details hgroup span li".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Containers too small to be a region.
 SMALL = HEADINGS | frozenset("p li td tr tbody blockquote pre dd dt".split())
@@ -43,6 +52,10 @@ SPACE = re.compile(r"\s+")
 SIGMA, THRESHOLD, HOLD = 1.0, 0.5, 0.7
 #: What is left of the ratio of a line that an element sets apart, and of text that is all links.
 WEIGHT = 0.1
+#: How a line of the page's owner begins; outside articles its ratio is lowered as if an element set it apart.
+RIGHTS = re.compile(r"(?i)(©|\(c\)|copyright\b)")
+#: A line is links if so much of it is.
+LINKED = 0.5
 #: Share of the threshold that a cluster's first and last line reach without smoothing, if they are no headings.
 OWN = 0.25
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-2, 3)]
@@ -55,13 +68,16 @@ def is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
     return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value.lower()) for name, value in attrs)
 
 
-def is_marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """A name is a mark as a whole: a word of MARKS and besides it only such words and those of BESIDE."""
+def is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """A name is a mark as a whole: a word of MARKS and besides it only such words and those of BESIDE. For an article
+    element only the names of comments count."""
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for whole in value.lower().split():
                 parts = set(re.split(r"[^a-z]+", whole)) - {""}
-                if not MARKS.isdisjoint(parts) and parts <= MARKS | BESIDE:
+                if not COMMENTS.isdisjoint(parts) and parts <= MARKS | BESIDE | BESIDE_COMMENTS:
+                    return True
+                if tag != "article" and not MARKS.isdisjoint(parts) and parts <= MARKS | BESIDE and not (tag == "p" and parts <= REMARKS):
                     return True
     return False
 
@@ -125,9 +141,9 @@ class _Page(HTMLParser):
             while (top := self.blocks[-1][0]) == "p" or top in closed:
                 self.pop()
             if tag not in VOID:
-                free = tag in ("html", "body", "article", "main")
-                none = self.blocks[-1][2] or bool(self.special[-1] and any(x in NO_TEXT for x in self.special[-1])) or tag in NO_TEXT or not free and is_hidden(attrs)
-                node = self.node(tag, not free and (tag in APART or is_marked(attrs)))
+                free = tag in ("html", "body", "main")
+                none = self.blocks[-1][2] or bool(self.special[-1] and any(x in NO_TEXT for x in self.special[-1])) or tag in NO_TEXT or not free and tag != "article" and is_hidden(attrs)
+                node = self.node(tag, not free and (tag in APART or is_marked(tag, attrs)))
                 self.blocks.append((tag, node, none))
                 self.inline.append({})
                 self.special.append([])
@@ -137,7 +153,7 @@ class _Page(HTMLParser):
             here[tag] = here.get(tag, 0) + 1
             if tag in NO_TEXT or is_hidden(attrs):
                 self.special[-1].append(tag if tag in NO_TEXT else "script:" + tag)
-            elif tag in APART or is_marked(attrs):
+            elif tag in APART or is_marked(tag, attrs):
                 self.special[-1].append(tag)
 
     handle_startendtag = handle_starttag  # as browsers do, the slash is ignored
@@ -175,6 +191,29 @@ class _Page(HTMLParser):
             self.pop()
         self.flush()
         self.end[0] = len(self.names)
+        self.unwrap()
+
+    def unwrap(self) -> None:
+        """A form around most of the page's text, with headings or paragraphs, is a part of its layout."""
+        chars, prose = [0] * len(self.names), [False] * len(self.names)
+        for text, _, _, node in self.lines:
+            chars[node] += len(text)
+        for node in range(len(self.names) - 1, 0, -1):
+            up = self.parent[node]
+            chars[up] += chars[node]
+            prose[up] |= prose[node] or self.names[node] == "p" or self.names[node] in HEADINGS
+        for node in range(1, len(self.names)):
+            own = self.apart[node] == node and not (self.names[node] == "form" and prose[node] and chars[node] >= HOLD * chars[0])
+            self.apart[node] = node if own else self.apart[self.parent[node]]
+
+    def titled(self, node: int) -> bool:
+        """Whether a heading is in the header of an article, or is the chief one in that of a main element."""
+        above = self.apart[node]
+        if above < 0 or self.names[node] not in HEADINGS or self.names[above] != "header":
+            return False
+        while above >= 0 and self.names[above] not in ("article", "main"):
+            above = self.parent[above]
+        return above >= 0 and (self.names[above] == "article" or self.names[node] == "h1") and self.apart[above] < 0
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -191,7 +230,7 @@ def _clusters(page: _Page) -> list[int]:
     ratio = []
     for text, tags, links, node in page.lines:
         own = len(text) / max(tags, 1) * (1 - (1 - WEIGHT) * min(1.0, links / len(text)))
-        ratio.append(own * (WEIGHT if page.apart[node] >= 0 else 1))
+        ratio.append(own * (WEIGHT if page.apart[node] >= 0 or RIGHTS.match(text) else 1))
     smooth = _smooth(ratio)
     free = [i for i, x in enumerate(page.lines) if page.apart[x[3]] < 0]
     if not free or max(ratio) > max(ratio[i] for i in free):
@@ -206,7 +245,7 @@ def _clusters(page: _Page) -> list[int]:
                 runs.append([i])
     out = []
     for run in runs:  # at its ends a run has lines that only smoothing lifted
-        own = [i for i in run if ratio[i] >= OWN * limit or page.names[page.lines[i][3]] in HEADINGS]
+        own = [i for i in run if page.names[page.lines[i][3]] in HEADINGS or ratio[i] >= OWN * limit and not RIGHTS.match(page.lines[i][0])]
         out += run[run.index(own[0]) : run.index(own[-1]) + 1] if own else []
     return out
 
@@ -244,19 +283,44 @@ def main_text(html: str | None) -> str:
     body = [i for i in content if not heading(i)]
     content = [i for i in content if i >= body[0]] if body else content  # headings before it are added below
     region, article = _region(page, content)
-    inside = lambda node: region <= node < page.end[region]
     # what is set apart within the region is dropped; what encloses it, or is it, is not
-    kept = [i for i, x in enumerate(lines) if inside(x[3]) and not page.apart[x[3]] > region]
+    free = [page.apart[x[3]] <= region or article and page.titled(x[3]) for x in lines]
+    kept = [i for i, x in enumerate(lines) if region <= x[3] < page.end[region] and free[i]]
     around = page.apart[region]
     if not kept or not article and around >= 0 and (names[around] in APART or not any(map(heading, kept))):
         return ""  # a menu or notice alone is no article; with a heading, a name was part of the layout
-    before = kept[0] - 1
-    while not article and before >= 0 and heading(before) and page.apart[lines[before][3]] <= region:
-        kept.insert(0, before)  # the headings right before the region are its own
-        before -= 1
+    if not article:
+        kept = _chosen(page, content, kept)
+        before = kept[0] - 1
+        while before >= 0 and heading(before) and page.apart[lines[before][3]] <= region:
+            kept.insert(0, before)  # the headings right before the region are its own
+            before -= 1
     return "\n\n".join(lines[i][0] for i in kept)
 
 
+def _home(page: _Page, node: int) -> int:
+    """The container that a line's block stands in, seen from outside lists, tables and quotes."""
+    while node > 0 and (page.names[node] in SMALL or page.names[node] in PARTS):
+        node = page.parent[node]
+    return node
+
+
+def _chosen(page: _Page, content: list[int], lines: list[int]) -> list[int]:
+    """Of the region's lines those that clusters choose: in a cluster, or in a container that lines of clusters stand in and
+    no links, and the headings right before such lines."""
+    inside = set(content)
+    homes = {_home(page, page.lines[i][3]) for i in content}
+    out: list[int] = []
+    follows = False  # whether the line after this one is kept
+    for i in reversed(lines):
+        text, _, links, node = page.lines[i]
+        beside = _home(page, node) in homes and links < LINKED * len(text)
+        follows = i in inside or beside or follows and page.names[node] in HEADINGS
+        if follows:
+            out.append(i)
+    return out[::-1]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars (code points). Null or empty html, or a page without article text, has an
     empty text. Repeated rows each get a row; only page_id, url and html are read. No shuffle."""

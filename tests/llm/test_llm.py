@@ -462,6 +462,41 @@ def test_html_extract(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+PROSE = "A paragraph with a good many words, and a second sentence that goes on."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<form id=aspnet><div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div></form>", ["T", PROSE, PROSE]),
+    (f"<form id=aspnet><nav>M</nav><p>{PROSE}</p><p>{PROSE}</p><form><p>Name</p></form></form>", [PROSE, PROSE]),
+    (f"<article><header><h1>Title</h1><p>by me</p><nav>M</nav></header><p>{PROSE}</p></article>", ["Title", PROSE]),
+    (f"<main><header><h2>Site</h2><h1>Title</h1></header><p>{PROSE}</p></main>", ["Title", PROSE]),
+    (f"<main><article><h1>T</h1><p>{PROSE}</p></article><article class='comment'><p>{PROSE} I like it</p></article></main>", ["T", PROSE]),
+    (f"<main><p>{PROSE}</p><div class='comment-body'><p>c {PROSE}</p></div><div class='user-comments'>c</div><ol class='commentlist'><li>c</li></ol></main>", [PROSE]),
+    (f"<article><p>{PROSE}</p><p class='alert'>Mind the gap</p><div class='alert'>Site down</div></article>", [PROSE, "Mind the gap"]),
+    (f"<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>{f'<p>{PROSE}</p>' * 5}<ul><li>one</li></ul><div>&copy; all rights are with the owner of this page and nobody else</div>", [PROSE] * 5 + ["one"]),
+    (f"<div><p>{PROSE}</p><ul><li><a href=/>More</a></li></ul><h2>Next</h2><p>{PROSE}</p><p>Sh.</p></div><div><h2>Links</h2><a href=/>A</a></div>", [PROSE, "More", "Next", PROSE, "Sh."]),  # a line between those of a cluster is in it
+])
+def test_html_regions(page, want):
+    assert html.main_text(f"<body>{page}</body>") == "\n\n".join(want)
+
+
+def test_html_without_names(spark):
+    """On the driver's pages without tags and names that tell, clusters find the article: exactly on most, and no part of
+    it is lost on any. With every line in a cluster they find it on hardly any."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html.main_text(h) for h in pages]
+    bare = [re.sub(r"<(/?)(article|main|nav|header|footer|aside)\b", r"<\1div", re.sub(r' (class|id|role)="[^"]*"', "", h)) for h in pages]
+    got = [html.main_text(h) for h in bare]
+    assert all(set(w.split("\n\n")) <= set(g.split("\n\n")) for w, g in zip(want, got, strict=True))
+    assert sum(w == g for w, g in zip(want, got, strict=True)) >= 0.8 * len(pages)
+    clusters = html._clusters
+    html._clusters = lambda page: list(range(len(page.lines)))
+    try:
+        assert sum(w == html.main_text(h) for w, h in zip(want, bare, strict=True)) < 0.1 * len(pages)
+    finally:
+        html._clusters = clusters
+
+
 def test_html_brute_force(spark):
     """On the driver's pages the article element is the main text: its blocks by a plain reading of the source."""
     from html import unescape
