@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 from statistics import median
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.text import let
 
 Line = tuple[float, float, float, float]
 MIN_GUTTER, CROSSING, MIN_SHARE, MIN_LINES, MIN_DENSITY, LEAST = 8.0, 0.05, 0.25, 3, 0.7, 6
@@ -173,30 +174,51 @@ def tabular(cells: DataFrame, most: float = 2.5) -> DataFrame:
     return found.where((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("mean_words") <= most))
 
 
-def write_table(cells: Sequence[dict]) -> str:
-    """A pipe table where no cell (row, col, text, rowspan, colspan, header) spans, the first row is all header and
-    there are two rows; else HTML, in which covered cells are left out."""
-    if not cells:
-        return ""
-    n_rows, n_cols = max(c["row"] + c.get("rowspan", 1) for c in cells), max(c["col"] + c.get("colspan", 1) for c in cells)
-    at = {(c["row"], c["col"]): c for c in cells}
-    spans = any(c.get("rowspan", 1) > 1 or c.get("colspan", 1) > 1 for c in cells)
-    if not spans and n_rows >= 2 and all(at.get((0, k), {}).get("header") for k in range(n_cols)):
-        cell = lambda r, k: " ".join(at.get((r, k), {}).get("text", "").replace("|", "\\|").split())
-        out = ["| " + " | ".join(cell(r, k) for k in range(n_cols)) + " |" for r in range(n_rows)]
-        return "\n".join([out[0], "|" + " --- |" * n_cols, *out[1:]])
-    covered: set[tuple[int, int]] = set()
-    out = ["<table>"]
-    for r in range(n_rows):
-        row = ""
-        for k in range(n_cols):
-            if (r, k) in covered:
-                continue
-            c = at.get((r, k), {})
-            down, right = c.get("rowspan", 1), c.get("colspan", 1)
-            covered |= {(r + i, k + j) for i in range(down) for j in range(right)}
-            tag = "th" if c.get("header") else "td"
-            span = f' rowspan="{down}"' * (down > 1) + f' colspan="{right}"' * (right > 1)
-            row += f"<{tag}{span}>{html.escape(c.get('text', ''), quote=False)}</{tag}>"
-        out.append(f"<tr>{row}</tr>")
-    return "\n".join([*out, "</table>"])
+def write_table(rows: Column) -> Column:
+    """Rows (array of arrays of struct(text, header, row_span, col_span)) as Markdown: a pipe table where no cell spans, the
+    first row is all header and there are two rows, else HTML. Empty rows are left out; an HTML row leaves out the cells that one above
+    or to the left covers, whose places its array holds. Runs of white space in a cell are one blank; an absent span is one."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c["text"], F.lit("")), r"(?U)\s+", " "))
+    span = lambda c, side: F.coalesce(c[f"{side}_span"], F.lit(1))
+    head = lambda c: F.coalesce(c["header"], F.lit(False))
+
+    def pipes(rs: Column) -> Column:
+        width = F.array_max(F.transform(rs, F.size))
+
+        def line(r: Column) -> Column:
+            cells = F.concat(F.transform(r, lambda c: F.replace(flat(c), F.lit("|"), F.lit("\\|"))), F.array_repeat(F.lit(""), width - F.size(r)))
+            return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+        lines = F.transform(rs, line)
+        return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+
+    def cell(c: Column) -> Column:
+        tag = F.when(head(c), "th").otherwise("td")
+        sides = [F.when(span(c, s) > 1, F.concat(F.lit(f' {s}span="'), span(c, s).cast("string"), F.lit('"'))).otherwise("") for s in ("row", "col")]
+        text = F.replace(F.replace(F.replace(flat(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.concat(F.lit("<"), tag, *sides, F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
+
+    def html(rs: Column) -> Column:
+        cells = F.flatten(F.transform(rs, lambda r, i: F.transform(r, lambda c, k: F.struct(i.alias("r"), k.alias("k"), c.alias("c")))))
+        start = F.struct(F.array().cast("array<struct<r:int,k:int,down:int,right:int>>").alias("spans"), F.array().cast("array<struct<r:int,html:string>>").alias("out"))
+
+        def put(at: Column, x: Column) -> Column:
+            covered = F.exists(at["spans"], lambda s: (s["r"] <= x["r"]) & (x["r"] < s["r"] + s["down"]) & (s["k"] <= x["k"]) & (x["k"] < s["k"] + s["right"]))
+            down, right = span(x["c"], "row"), span(x["c"], "col")
+            wide = ~covered & ((down > 1) | (right > 1))
+            spans = F.when(wide, F.concat(at["spans"], F.array(F.struct(x["r"].alias("r"), x["k"].alias("k"), down.alias("down"), right.alias("right"))))).otherwise(at["spans"])
+            out = F.when(covered, at["out"]).otherwise(F.concat(at["out"], F.array(F.struct(x["r"].alias("r"), cell(x["c"]).alias("html")))))
+            return F.struct(spans.alias("spans"), out.alias("out"))
+
+        def lines(out: Column) -> Column:
+            row = lambda i: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(out, lambda o: o["r"] == i), lambda o: o["html"]), ""), F.lit("</tr>"))
+            return F.concat(F.lit("<table>\n"), F.array_join(F.transform(rs, lambda r, i: row(i)), "\n"), F.lit("\n</table>"))
+
+        return let(F.aggregate(cells, start, put)["out"], lines)
+
+    def written(rs: Column) -> Column:
+        spans = F.exists(F.flatten(rs), lambda c: (span(c, "row") > 1) | (span(c, "col") > 1))
+        plain = ~spans & (F.size(rs) > 1) & F.forall(F.get(rs, F.lit(0)), head)
+        return F.when(F.size(rs) == 0, "").when(plain, pipes(rs)).otherwise(html(rs))
+
+    return let(F.filter(rows, lambda r: F.size(r) > 0), written)

@@ -33,11 +33,15 @@ def rounded(value: Column, kind: str) -> Column:
 
 def within_spend(requests: DataFrame, budget: float) -> DataFrame:
     """Requests (ledger, ord, worst, cost or null if it failed) that are sent: before each, what is spent so far and its
-    worst case must fit ``budget``; a failed one is booked at its worst case; the first that does not fit ends the ledger."""
-    spent = F.coalesce("cost", "worst")
-    before = F.coalesce(F.sum(spent).over(Window.partitionBy("ledger").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    over = F.max(F.when(F.col("_before") + F.col("worst") > budget, 1).otherwise(0)).over(Window.partitionBy("ledger").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("_before", before).withColumn("_over", over).where("_over = 0").drop("_over").withColumnRenamed("_before", "spent_before")
+    worst case must fit ``budget``. The first that does not fit ends the ledger unsent; a failed one is booked at its worst
+    case and is the last."""
+    upto = Window.partitionBy("ledger").orderBy("ord")
+    earlier = upto.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.coalesce("cost", "worst")).over(earlier), F.lit(0.0))
+    over = F.max(F.col("_before") + F.col("worst") > budget).over(upto)
+    failed = F.coalesce(F.max(F.col("cost").isNull()).over(earlier), F.lit(False))
+    sent = requests.withColumn("_before", before).withColumn("_over", over | failed).where("NOT _over")
+    return sent.drop("_over").withColumnRenamed("_before", "spent_before")
 
 
 def strict_regions(text: Column, finish: Column) -> Column:
@@ -86,11 +90,38 @@ def refusal(n_pages: Column, size: Column, kind: Column, most_pages: int = 20, m
     return F.when(~F.coalesce(kind, F.lit("")).isin(*kinds), "type").when(size > most_bytes, "size").when(n_pages > most_pages, "pages")
 
 
-def stages(kind: Column, scanned: Column, engine: Column, keywords: Column) -> Column:
-    """The stages that a request will run, in order."""
-    fetch = F.when(kind == "url", F.array(F.lit("fetch"), F.lit("extract"))).when(kind == "pdf", F.when(scanned & (engine != "off"), F.array(F.lit("probe"), F.lit("ocr"))).otherwise(F.array(F.lit("probe"), F.lit("text"))))
-    fetch = fetch.when(kind == "image", F.array(F.lit("ocr"))).otherwise(F.array(F.lit("convert")))
-    return F.concat(fetch, F.array(F.lit("clean")), F.when(keywords, F.array(F.lit("keywords"))).otherwise(F.array().cast("array<string>")))
+def _document_stages(kind: Column, probe: Column, engine: Column, reader: Column) -> Column:
+    """Stages for a document of one kind; ``probe`` is what its bytes look like (scan, text, or null and mixed)."""
+    of = lambda *names: F.array(*map(F.lit, names))
+    none = F.array().cast("array<string>")
+    remote = F.when(engine == "docling", "docling").when(engine == "glm-ocr", "glm")
+    fast = engine == "fast"
+    scan = F.concat(F.when(fast, of("ocrFast")).otherwise(of("ocr")), F.when(fast, none).otherwise(of("layout")))
+    local = F.when(kind == "image", scan).when(probe == "scan", F.concat(of("inspect"), scan)).when(probe == "text", of("inspect", "textLayer")).otherwise(of("inspect", "read"))
+    word = F.when(engine == "docling", of("docling")).otherwise(of("mammoth"))
+    made = F.when(kind == "docx", word).otherwise(F.concat(F.when(remote.isNotNull(), F.array(remote)).otherwise(local), of("structure")))
+    return F.concat(made, F.when(reader, of("reader")).otherwise(none))
+
+
+def stages(url: Column, kinds: Column, probes: Column, engine: Column, chapters: Column, reader: Column) -> Column:
+    """The stages that a request will run, in order: of a link (``url``), or of files of the given kinds and probes.
+
+    A link to a PDF is opened and downloaded, any other page is rendered and its main text extracted. Files of several
+    kinds are one mixed stage. Chapters are split for one document only.
+    """
+    of = lambda *names: F.array(*map(F.lit, names))
+    none = F.array().cast("array<string>")
+    asked = F.coalesce(engine, F.lit("pymupdf"))
+    link = F.when(url.rlike(r"(?i)\.pdf($|[?#])"), F.concat(of("render", "fetchPdf"), _document_stages(F.lit("pdf"), F.lit(None), asked, F.lit(False)))).otherwise(of("render", "extract"))
+    found = F.filter(probes, lambda p: p.isNotNull())
+    some = lambda name: F.exists(found, lambda p: p == name)
+    merged = F.when(F.size(found) == 0, None).when(some("scan") & some("text"), "mixed").when(some("scan"), "scan").otherwise("text")
+    probe = F.when(F.size(kinds) == 1, F.get(probes, F.lit(0))).otherwise(merged)
+    several = F.concat(of("mixed"), F.when(asked == "pymupdf", of("structure")).otherwise(none), F.when(reader, of("reader")).otherwise(none))
+    one = _document_stages(F.coalesce(F.get(kinds, F.lit(0)), F.lit("pdf")), F.when(F.size(kinds) > 0, probe), asked, reader)
+    files = F.concat(of("upload"), F.when(F.size(F.array_distinct(kinds)) > 1, several).otherwise(one))
+    single = url.isNotNull() | (F.size(kinds) <= 1)
+    return F.concat(F.when(url.isNotNull(), link).otherwise(files), F.when(chapters & single, of("chapters")).otherwise(none), of("normalize", "markdown"))
 
 
 def progress(done: Column, total: Column) -> Column:
@@ -160,19 +191,46 @@ def latest(checks: DataFrame) -> DataFrame:
     return good.select("url", F.left(F.sha2("url", 256), F.lit(16)).alias("file_key"), "seq", "markdown")
 
 
+#: The methods in the order that a table names them.
+METHODS = ("frequency", "yake", "spacy", "keybert")
+#: Marks around a keyword table in a document.
+OPEN, CLOSE = "<!-- keywords -->", "<!-- /keywords -->"
+
+
 def keyword_table(ranked: DataFrame, key: str) -> DataFrame:
-    """(key, markdown): a table of the keywords (rank, keyword, weight) between comment marks."""
-    row = F.concat(F.lit("| "), F.col("rank").cast("string"), F.lit(" | "), F.replace("keyword", F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("weight").cast("string"), F.lit(" |"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))), lambda x: x["row"]), "\n")
-    head = "<!-- keywords -->\n| # | Keyword | Weight |\n| --- | --- | --- |\n"
-    return ranked.groupBy(key).agg(F.concat(F.lit(head), rows, F.lit("\n<!-- /keywords -->")).alias("markdown"))
+    """(key, markdown): the keywords (rank, keyword, weight, methods; rows without a keyword count for nothing) of each key
+    as a table with a caption that names the methods used; ``note`` follows it, or stands for it where there are none."""
+    known = F.array(*map(F.lit, METHODS))
+    named = lambda of: F.array_join(F.filter(known, lambda m: F.array_contains(of, m)), ", ")
+    cell = F.trim(F.replace(F.replace("keyword", F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
+    row = F.concat(F.lit("| "), cell, F.lit(" | "), F.format_string("%.2f", F.col("weight").cast("double")), F.lit(" | "), named(F.col("methods")), F.lit(" |"))
+    has = F.col("keyword").isNotNull()
+    made = ranked.groupBy(key).agg(
+        F.count_if(has).alias("n"), F.sort_array(F.collect_list(F.when(has, F.struct("rank", row.alias("row"))))).alias("rows"), F.flatten(F.collect_list(F.when(has, F.col("methods")))).alias("used"), F.max("note").alias("note")
+    )
+    lines = F.array_join(F.transform("rows", lambda x: x["row"]), "\n")
+    many = F.when(F.col("n") == 1, "").otherwise("s")
+    used = F.coalesce(F.nullif(named(F.col("used")), F.lit("")), F.lit("no method"))
+    caption = F.concat(F.lit("*"), F.col("n").cast("string"), F.lit(" keyword"), many, F.lit(" extracted by "), used, F.lit(". Weight is relative to the top-ranked term (1.00), fused across methods by rank.*"))
+    table = F.concat(F.lit("| Keyword | Weight | Found by |\n| --- | ---: | --- |\n"), lines, F.lit("\n\n"), caption, F.coalesce(F.concat(F.lit("\n\n*"), "note", F.lit("*")), F.lit("")))
+    reason = F.concat(F.lit("*"), F.coalesce("note", F.lit("No keywords were extracted.")), F.lit("*"))
+    return made.select(key, F.concat(F.lit("## Keywords\n\n"), F.when(F.col("n") > 0, table).otherwise(reason), F.lit("\n")).alias("markdown"))
+
+
+def without_table(markdown: Column) -> Column:
+    """A document without the keyword table put into it."""
+    bare = F.regexp_replace(markdown, f"(?s)^(.*?){OPEN}.*?{CLOSE}\\n*", "$1")
+    return F.when(F.contains(markdown, F.lit(OPEN)), F.regexp_replace(bare, r"^\n+", "")).otherwise(markdown)
 
 
 def with_table(markdown: Column, table: Column) -> Column:
-    """A document with its keyword table: it replaces an earlier one, else stands under the opening heading or on top. Twice is as once."""
-    bare = F.regexp_replace(markdown, r"(?s)<!-- keywords -->.*?<!-- /keywords -->\n*", "")
-    head = F.regexp_extract(bare, r"^(#[^\n]*\n*)", 1)
-    return F.concat(F.rtrim(F.regexp_replace(head, r"\n+$", "")), F.when(head == "", "").otherwise("\n\n"), table, F.lit("\n\n"), F.substring(bare, F.length(head) + 1, F.length(bare)))
+    """A document with its keyword table between marks, in the place of an earlier one: below the heading that opens it,
+    else on top. Twice is as once, but that line feeds that lead the document go with the earlier one."""
+    bare = without_table(markdown)
+    head = F.regexp_extract(bare, r"^((?:[^\S\n]*\n)*#{1,6}\s+[^\n]+)", 1)
+    tail = F.regexp_replace(F.substring(bare, F.length(head) + 1, F.length(bare)), r"^\n+|\n+$", "")
+    block = F.concat(F.lit(f"{OPEN}\n\n"), table, F.lit(f"\n{CLOSE}"))
+    return F.concat(F.array_join(F.filter(F.array(F.regexp_replace(head, r"\n+$", ""), block, tail), lambda p: p != ""), "\n\n"), F.lit("\n"))
 
 
 def pooled_votes(rankings: DataFrame) -> DataFrame:

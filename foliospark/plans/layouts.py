@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import order as O, stitch as S
+from ..operators import layout as L, order as O, stitch as S
 from .elements import made
 from .queries import query
 
@@ -68,3 +68,25 @@ def line_order_errors(spark, sf_dir):
     joined = lambda *by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*by, "text"))), lambda x: x["text"]), "\n")
     pairs = t.withColumn("at", (F.col("turn") * 3 + 1) % 7).groupBy(F.col("conv_id").alias("id")).agg(joined("turn").alias("reference"), joined("at", "turn").alias("output"))
     return O.line_order_errors(pairs).withColumnRenamed("id", "conv_id")
+
+
+# A table for each order of up to five items: a header of two or three cells; where the order key allows, the first item's
+# status spans two rows or its key two columns, and the covered places hold empty cells.
+_TABLED = f"SELECT l_orderkey, l_linenumber AS n, concat(' a <b>  ', l_partkey, chr(10), '|') AS one, CAST(l_suppkey AS STRING) AS two, count(*) OVER (PARTITION BY l_orderkey) AS rows FROM {_ITEMS}"
+
+
+@query(f"""WITH t AS ({_TABLED.replace('STRING', 'VARCHAR')}), c AS (SELECT *, l_orderkey % 4 AS form FROM t)
+    SELECT l_orderkey, CASE WHEN form IN (0, 1) THEN CASE form WHEN 0 THEN '| Part \\| key | Supplier |' || chr(10) || '|---|---|' ELSE '| Part \\| key | Supplier |  |' || chr(10) || '|---|---|---|' END || chr(10) || string_agg('| a <b> ' || replace(one[9:], chr(10) || '|', ' \\|') || ' | ' || two || CASE form WHEN 1 THEN ' | n |' ELSE ' |' END, chr(10) ORDER BY n)
+    ELSE '<table>' || chr(10) || string_agg('<tr>' || CASE WHEN one IS NULL THEN '' ELSE '<td' || CASE WHEN form = 2 AND n = 1 AND rows > 1 THEN ' rowspan="2"' WHEN form = 3 AND n = 1 THEN ' colspan="2"' ELSE '' END || '>a &lt;b&gt; ' || replace(one[9:], chr(10), ' ') || '</td>' END || CASE WHEN form = 3 AND n = 1 THEN '' ELSE '<td>' || two || '</td>' END || '</tr>', chr(10) ORDER BY n) || chr(10) || '</table>' END AS markdown
+    FROM (SELECT * REPLACE (CASE WHEN form = 2 AND n = 2 AND rows > 1 THEN NULL ELSE one END AS one) FROM c) GROUP BY l_orderkey, form""")
+def written_tables(spark, sf_dir):
+    """Tables of every order's items as Markdown, in pipes or HTML."""
+    t = made(spark, sf_dir, _TABLED).withColumn("form", F.col("l_orderkey") % 4)
+    cell = lambda text, header=False, down=1, right=1: F.struct(text.alias("text"), F.lit(header).alias("header"), F.lit(down).cast("int").alias("row_span") if isinstance(down, int) else down.alias("row_span"), F.lit(right).cast("int").alias("col_span") if isinstance(right, int) else right.alias("col_span"))
+    first = F.col("n") == 1
+    down = F.when((F.col("form") == 2) & first & (F.col("rows") > 1), 2).otherwise(1)
+    right = F.when((F.col("form") == 3) & first, 2).otherwise(1)
+    row = F.concat(F.array(cell(F.col("one"), False, down, right), cell(F.col("two"))), F.when(F.col("form") == 1, F.array(cell(F.lit("n")))).otherwise(F.array().cast("array<struct<text:string,header:boolean,row_span:int,col_span:int>>")))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n", row.alias("row")))), lambda x: x["row"])
+    head = F.when(F.col("form") < 2, F.array(F.array(cell(F.lit("Part | key"), True), cell(F.lit("Supplier"), True)))).otherwise(F.array().cast("array<array<struct<text:string,header:boolean,row_span:int,col_span:int>>>"))
+    return t.groupBy("l_orderkey", "form").agg(rows.alias("rows")).select("l_orderkey", L.write_table(F.concat(head, F.col("rows"))).alias("markdown"))

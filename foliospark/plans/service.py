@@ -32,7 +32,8 @@ _SPEND = "SELECT o_custkey AS ledger, o_orderkey AS ord, 50000.0 AS worst, CASE
 
 
 @query(f"""WITH s AS ({_SPEND}), b AS (SELECT *, coalesce(sum(coalesce(cost, worst)) OVER (PARTITION BY ledger ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
-    f AS (SELECT ledger, min(ord) AS stop FROM b WHERE before + worst > 150000 GROUP BY ledger) SELECT b.ledger, b.ord, CAST(before AS DOUBLE) AS spent_before FROM b LEFT JOIN f USING (ledger) WHERE stop IS NULL OR ord < stop""")
+    f AS (SELECT ledger, min(ord) FILTER (before + worst > 150000) AS stop, min(ord) FILTER (cost IS NULL) AS failed FROM b GROUP BY ledger)
+    SELECT b.ledger, b.ord, CAST(before AS DOUBLE) AS spent_before FROM b JOIN f USING (ledger) WHERE (stop IS NULL OR ord < stop) AND (failed IS NULL OR ord <= failed)""")
 def spend_ledger(spark, sf_dir):
     s = made(spark, sf_dir, _SPEND).withColumns({"worst": F.col("worst").cast("double"), "cost": F.col("cost").cast("double")})
     return S.within_spend(s, 150_000.0).select("ledger", "ord", F.col("spent_before").cast("double").alias("spent_before"))
@@ -84,11 +85,25 @@ def refused_files(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", S.refusal(F.col("p_size"), F.col("p_retailprice"), kind, most_bytes=1500).alias("refused"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'fetch,extract' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 > 0 THEN 'probe,ocr' ELSE 'probe,text' END WHEN 2 THEN 'ocr' ELSE 'convert' END || ',clean' || CASE WHEN p_partkey % 3 = 0 THEN ',keywords' ELSE '' END AS stages FROM part""")
+# Links to pages and to PDF files, one file or two of a kind, or of two kinds, by every engine.
+_ASKED = """SELECT p_partkey, p_size % 7 AS form, CASE p_size % 7 WHEN 0 THEN 'https://x.test/a.html' WHEN 1 THEN 'https://x.test/A.PDF?page=2' END AS url, CASE p_partkey % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'docling' WHEN 2 THEN 'glm-ocr' END AS engine,
+    p_partkey % 3 = 0 AS chapters, p_partkey % 5 < 2 AS reader, CASE p_partkey % 11 % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'text' END AS probe FROM part"""
+
+
+@query(f"""WITH a AS ({_ASKED}), d AS (SELECT *, CASE engine WHEN 'docling' THEN 'docling,structure' WHEN 'glm-ocr' THEN 'glm,structure' END AS remote, CASE WHEN engine = 'fast' THEN 'ocrFast' ELSE 'ocr,layout' END AS scan, CASE WHEN reader THEN ',reader' ELSE '' END AS read FROM a),
+    s AS (SELECT *, CASE form WHEN 0 THEN 'render,extract' WHEN 1 THEN 'render,fetchPdf,' || coalesce(remote, 'inspect,read,structure')
+        WHEN 2 THEN 'upload,' || coalesce(remote, CASE probe WHEN 'scan' THEN 'inspect,' || scan WHEN 'text' THEN 'inspect,textLayer' ELSE 'inspect,read' END || ',structure') || read
+        WHEN 3 THEN 'upload,' || CASE WHEN engine = 'docling' THEN 'docling' ELSE 'mammoth' END || read WHEN 4 THEN 'upload,' || coalesce(remote, scan || ',structure') || read
+        WHEN 5 THEN 'upload,' || coalesce(remote, CASE WHEN probe = 'scan' THEN 'inspect,' || scan WHEN probe = 'text' THEN 'inspect,read' ELSE 'inspect,' || scan END || ',structure') || read
+        ELSE 'upload,mixed' || CASE WHEN engine IS NULL THEN ',structure' ELSE '' END || read END AS made FROM d)
+    SELECT p_partkey, made || CASE WHEN chapters AND form < 5 THEN ',chapters' ELSE '' END || ',normalize,markdown' AS stages FROM s""")
 def request_stages(spark, sf_dir):
-    kind = F.element_at(F.array(*map(F.lit, ("url", "pdf", "image", "docx"))), (F.col("p_size") % 4 + 1).cast("int"))
-    found = S.stages(kind, F.col("p_partkey") % 2 == 0, F.when(F.col("p_partkey") % 5 == 0, "off").otherwise("auto"), F.col("p_partkey") % 3 == 0)
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("stages"))
+    a, lit = made(spark, sf_dir, _ASKED), lambda *x: F.array(*map(F.lit, x))
+    kinds = F.when(F.col("form") == 2, lit("pdf")).when(F.col("form") == 3, lit("docx")).when(F.col("form") == 4, lit("image")).when(F.col("form") == 5, lit("pdf", "pdf")).when(F.col("form") == 6, lit("pdf", "docx")).otherwise(F.array().cast("array<string>"))
+    # the second of two PDF files is a scan
+    probes = F.when(F.col("form") == 5, F.array("probe", F.lit("scan"))).when(F.col("form") == 2, F.array("probe")).otherwise(F.transform(kinds, lambda k: F.lit(None).cast("string")))
+    found = S.stages(F.col("url"), kinds, probes, F.col("engine"), F.col("chapters"), F.col("reader"))
+    return a.select("p_partkey", F.array_join(found, ",").alias("stages"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN 10 * x <= 9 THEN x ELSE 0.9 + 0.08 * (1 - exp(-2.5 * (x - 0.9))) END, 9) AS shown FROM (SELECT *, l_quantity / 50.0 AS x FROM lineitem)")
@@ -151,14 +166,23 @@ def snapshots(spark, sf_dir):
     return S.latest(e.select(F.concat(F.lit("u"), F.col("user_id")).alias("url"), F.col("event_id").alias("seq"), text.alias("markdown")))
 
 
-_RANKED = "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, concat(p_type, '|', CAST(p_size AS STRING)) AS keyword, p_size AS weight FROM part"
+# Ten keywords a brand, none for some; found by one to three methods. Brands' documents open with a heading, with blank lines
+# and a heading, with text, and with an old table.
+_RANKED = """SELECT p_brand, rank, CASE WHEN kind = 3 THEN NULL ELSE concat(p_type, '|', p_size) END AS keyword, p_size / 50.0 AS weight, p_size % 3 AS found, CASE WHEN kind > 1 THEN 'Only the text was read.' END AS note FROM
+    (SELECT p_brand, p_type, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank, ascii(right(p_brand, 1)) % 4 AS kind FROM part) AS p WHERE rank <= CASE WHEN kind = 2 THEN 1 ELSE 10 END"""
+_BRANDED = "CASE ascii(right(p_brand, 1)) % 4 WHEN 0 THEN concat('# ', p_brand, chr(10), chr(10), 'text', chr(10)) WHEN 1 THEN concat(chr(10), ' ', chr(10), '## ', p_brand, chr(10), 'text', chr(10), '# more') WHEN 2 THEN concat('text', chr(10), '# ', p_brand) ELSE concat('# ', p_brand, chr(10), '<!-- keywords -->', chr(10), 'old', chr(10), '<!-- /keywords -->', chr(10), chr(10), 'text') END"
 
 
-@query(f"""WITH r AS ({_RANKED.replace('STRING', 'VARCHAR')}) SELECT p_brand, '# Brand' || chr(10) || chr(10) || '<!-- keywords -->' || chr(10) || '| # | Keyword | Weight |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
-    string_agg('| ' || rank || ' | ' || replace(keyword, '|', '\\|') || ' | ' || weight || ' |', chr(10) ORDER BY rank) || chr(10) || '<!-- /keywords -->' || chr(10) || chr(10) || 'text' AS markdown FROM r GROUP BY p_brand""")
+@query(f"""WITH r AS ({_RANKED}), t AS (SELECT p_brand, CASE WHEN count(keyword) = 0 THEN '## Keywords' || chr(10) || chr(10) || '*Only the text was read.*' || chr(10) ELSE '## Keywords' || chr(10) || chr(10) || '| Keyword | Weight | Found by |' || chr(10) || '| --- | ---: | --- |' || chr(10) ||
+    string_agg('| ' || replace(keyword, '|', '\\|') || ' | ' || format('{{:.2f}}', weight) || ' | ' || CASE found WHEN 0 THEN 'frequency' WHEN 1 THEN 'frequency, yake' ELSE 'yake, keybert' END || ' |', chr(10) ORDER BY rank) || chr(10) || chr(10) || '*' || count(*) || CASE WHEN count(*) = 1 THEN ' keyword' ELSE ' keywords' END || ' extracted by ' ||
+    concat_ws(', ', CASE WHEN bool_or(found < 2) THEN 'frequency' END, CASE WHEN bool_or(found > 0) THEN 'yake' END, CASE WHEN bool_or(found = 2) THEN 'keybert' END) || '. Weight is relative to the top-ranked term (1.00), fused across methods by rank.*' || coalesce(chr(10) || chr(10) || '*' || max(note) || '*', '') || chr(10) END AS t FROM r GROUP BY p_brand),
+    b AS (SELECT p_brand, ascii(right(p_brand, 1)) % 4 AS kind, '<!-- keywords -->' || chr(10) || chr(10) || t || chr(10) || '<!-- /keywords -->' AS block FROM t)
+    SELECT p_brand, CASE kind WHEN 1 THEN ' ' || chr(10) || '## ' || p_brand WHEN 2 THEN '' ELSE '# ' || p_brand END || CASE WHEN kind = 2 THEN '' ELSE chr(10) || chr(10) END || block || chr(10) || chr(10) || CASE kind WHEN 1 THEN 'text' || chr(10) || '# more' WHEN 2 THEN 'text' || chr(10) || '# ' || p_brand ELSE 'text' END || chr(10) AS markdown FROM b""")
 def keyword_tables(spark, sf_dir):
-    table = S.keyword_table(made(spark, sf_dir, _RANKED), "p_brand").withColumnRenamed("markdown", "t")
-    once = table.withColumn("markdown", S.with_table(F.lit("# Brand\n\n\ntext"), F.col("t")))
+    """Documents with their keyword tables, put in twice; taking out the first also takes line feeds that lead the document."""
+    methods = F.when(F.col("found") == 0, F.array(F.lit("frequency"))).when(F.col("found") == 1, F.array(F.lit("yake"), F.lit("frequency"))).otherwise(F.array(F.lit("keybert"), F.lit("yake")))
+    table = S.keyword_table(made(spark, sf_dir, _RANKED).withColumn("methods", methods), "p_brand").withColumnRenamed("markdown", "t")
+    once = table.withColumn("markdown", S.with_table(F.expr(_BRANDED), F.col("t")))
     return once.select("p_brand", S.with_table(F.col("markdown"), F.col("t")).alias("markdown"))
 
 

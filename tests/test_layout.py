@@ -43,8 +43,15 @@ def test_detections_and_cells(spark):
     assert (t.n_rows, t.n_cols, t.filled, t.mean_words, t.numeric_share) == (2, 2, 4, 1.25, 0.25)
 
 
-def test_write_table():
-    head = [{"row": 0, "col": k, "text": x, "header": True} for k, x in enumerate("ab")]
-    assert L.write_table([*head, {"row": 1, "col": 0, "text": "x|y"}]) == "| a | b |\n| --- | --- |\n| x\\|y |  |"
-    assert L.write_table([{"row": 0, "col": 0, "text": "a<", "colspan": 2}, {"row": 1, "col": 1, "text": "b"}]) == '<table>\n<tr><td colspan="2">a&lt;</td></tr>\n<tr><td></td><td>b</td></tr>\n</table>'
-    assert L.write_table([]) == ""
+def test_write_table(spark):
+    cell = lambda text, header=False, down=None, right=None: (text, header, down, right)
+    rows = [
+        ([[cell("a", True), cell("b\n c", True)], [], [cell("x|y")]], "| a | b c |\n|---|---|\n| x\\|y |  |"),
+        ([[cell("a", True), cell("b", True)]], "<table>\n<tr><th>a</th><th>b</th></tr>\n</table>"),
+        ([[cell("a", True), cell("b")], [cell("c"), cell("d")]], "<table>\n<tr><th>a</th><td>b</td></tr>\n<tr><td>c</td><td>d</td></tr>\n</table>"),
+        ([[cell("a<  &", False, 2, 2), cell(""), cell("e")], [cell("x"), cell("x"), cell("f")], [cell(None)]], '<table>\n<tr><td rowspan="2" colspan="2">a&lt; &amp;</td><td>e</td></tr>\n<tr><td>f</td></tr>\n<tr><td></td></tr>\n</table>'),
+        ([], ""),
+        ([[]], ""),
+    ]
+    df = spark.createDataFrame(rows, "rows array<array<struct<text:string,header:boolean,row_span:int,col_span:int>>>, want string")
+    assert [r.got for r in df.select(L.write_table(F.col("rows")).alias("got")).collect()] == [w for _, w in rows]
