@@ -73,3 +73,9 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int
     if total <= limit:
         return left.join(rest, key)
     return left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key).unionByName(left.join(hot, key))
+
+
+def floored(x: Column) -> Column:
+    """The whole number at or below a double, as a double, which holds it exactly whatever its size."""
+    near = F.rint(x)
+    return near - F.when(near > x, F.lit(1.0)).otherwise(F.lit(0.0))

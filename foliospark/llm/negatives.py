@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import floored, materialize
 
 EVERY, POSITIVES, NEGATIVES, SCALE = 100, 5, 5, 256
 #: A negative has between LOW / 100 of the positive's score and all of it.
@@ -101,7 +101,7 @@ class Index:
         if len(at) > 4 * k:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             at, score = at[keep], score[keep]
-        order = np.lexsort((self.ids[at], -score))[:k]
+        order = np.lexsort((self.ids[at], ~score))[:k]  # not minus: the least number has no opposite
         return self.ids[at[order]], score[order]
 
     def windows(self, own: int, label: int, same: bool, query: np.ndarray, spans: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -194,8 +194,7 @@ def mine(embeddings: DataFrame, every: int = EVERY, positives: int = POSITIVES,
     x = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
     label = F.when(F.col("vec_id") % RELABELLED == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label")).cast("int")
-    # rint of doubles: floor() of a large double would have to fit 64 bits
-    whole = F.transform(x, lambda e: _floor(e.cast("double") * scale))
+    whole = F.transform(x, lambda e: floored(e.cast("double") * scale))
     vectors = materialize(embeddings.where(fine).select(F.size(x).alias("width"), label.alias("label"), F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")), "vectors")
     candidates = _blocks(vectors, CANDIDATES, "candidates")
     asking = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("label", "v", "width")).alias("one")).select("one.width", "one.label", "vec_id", "one.v")
@@ -214,9 +213,3 @@ def mine(embeddings: DataFrame, every: int = EVERY, positives: int = POSITIVES,
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     of = near.select("anchor_id", (F.col("at") - 1).cast("long").alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return ranked.join(of, ["anchor_id", "positive"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
-
-
-def _floor(x: Column) -> Column:
-    """The whole number at or below a double, as a double, which holds it exactly."""
-    near = F.rint(x)
-    return near - F.when(near > x, F.lit(1.0)).otherwise(F.lit(0.0))

@@ -9,6 +9,9 @@ would win the tie. The bound falls with the depth, so the depth where a query st
 A query's first block gives it a k-th score, and it carries that to all other blocks, so most of them it leaves early.
 Where the entries up to that depth outnumber the block's vectors, the block is scored as a whole, many queries at once.
 Blocks of queries go to the blocks of candidates, and each pair gives at most k rows a query.
+
+Vectors so large that an inner product may not be a 64-bit number have blocks of their own, which are scored as a whole
+with Python's integers.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import floored, materialize
 
 K, EVERY, SCALE = 20, 20, 64
 #: Vectors in a block of candidates, and in a block of queries.
@@ -36,6 +39,20 @@ def _below(score: float) -> float:
     return near if abs(near) < 1 << 53 else float(np.nextafter(near, -np.inf))
 
 
+_ENDS = (-(1 << 63), (1 << 63) - 1)
+
+
+def _exact(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``Block.top_k`` for any doubles that are whole numbers; a score beyond 64 bits is the nearest such number."""
+    whole = [[int(x) for x in v] for v in vectors.tolist()]
+    for i, q in enumerate(queries.tolist()):
+        q = [int(x) for x in q]
+        score = np.array([min(max(sum(map(int.__mul__, v, q)), _ENDS[0]), _ENDS[1]) for v in whole], np.int64)
+        keep = np.flatnonzero(ids != own[i])
+        order = keep[np.lexsort((ids[keep], ~score[keep]))[:k]]  # not minus: the least number has no opposite
+        yield i, ids[order], score[order]
+
+
 class Block:
     """Candidates of one length: ids, components (whole numbers held as floats where these are exact) and sorted lists."""
 
@@ -94,29 +111,31 @@ class Block:
 
 
 def _blocks(rows: DataFrame, size: int, lists: bool) -> DataFrame:
-    """Rows (vec_id, v) packed into blocks of one length: ``width``, ``ids``, ``vectors`` and, with ``lists``, ``lists``, as bytes."""
+    """Rows (vec_id, v, large) packed into blocks of one length and kind: ``width``, ``ids``, ``vectors`` and, with ``lists``,
+    ``lists``, as bytes."""
     names = ["width", "ids", "vectors", *(["lists"] if lists else [])]
 
     def out(width: int, ids: list[np.ndarray], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         i, v = np.concatenate(ids), np.concatenate(parts)
         for at in range(0, len(i), size):
-            cols = [pa.array([width], pa.int32()), pa.array([i[at : at + size].astype("<i8").tobytes()]), pa.array([v[at : at + size].astype("<i8").tobytes()])]
+            cols = [pa.array([width], pa.int32()), pa.array([i[at : at + size].astype("<i8").tobytes()]), pa.array([v[at : at + size].astype("<f8").tobytes()])]
             if lists:
                 cols.append(pa.array([np.argsort(v[at : at + size], axis=0, kind="stable").T.astype("<i4").tobytes()]))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        held: dict[tuple[int, bool], tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for b in batches:
             width = np.diff(b.column(1).offsets.to_numpy())
-            for w in np.unique(width).tolist():
-                part = b.filter(pa.array(width == w))
-                ids, parts = held.setdefault(w, ([], []))
+            large = b.column(2).to_numpy(zero_copy_only=False)
+            for w, kind in {*zip(width.tolist(), large.tolist(), strict=True)}:
+                part = b.filter(pa.array((width == w) & (large == kind)))
+                ids, parts = held.setdefault((w, kind), ([], []))
                 ids.append(part.column(0).to_numpy())
-                parts.append(np.asarray(part.column(1).flatten(), "<i8").reshape(-1, w))
+                parts.append(np.asarray(part.column(1).flatten(), "<f8").reshape(-1, w))
                 if sum(map(len, ids)) >= size:
-                    yield from out(w, *held.pop(w))
-        for w, (ids, parts) in held.items():
+                    yield from out(w, *held.pop((w, kind)))
+        for (w, _), (ids, parts) in held.items():
             yield from out(w, ids, parts)
 
     return rows.mapInArrow(run, "width int, ids binary, vectors binary" + (", lists binary" if lists else ""))
@@ -140,19 +159,19 @@ def _meet(candidates: DataFrame, queries: DataFrame, keys: list[str], k: int, bl
             return pa.Table.from_batches([], pa.schema([]))
         cand = left.slice(0, 1).to_pylist()[0]
         dims = cand["width"]
-        ids, v = np.frombuffer(cand["ids"], "<i8"), np.frombuffer(cand["vectors"], "<i8").reshape(-1, dims)
+        ids, v = np.frombuffer(cand["ids"], "<i8"), np.frombuffer(cand["vectors"], "<f8").reshape(-1, dims)
         lists = np.frombuffer(cand["lists"], "<i4").reshape(dims, -1)
         held: dict[type, Block] = {}
         rows: list[tuple] = []
         found: list[list[np.ndarray]] = [[], [], []]
         for r in right.select(["c", "q", "ids", "vectors", "kth"]).to_pylist():
-            own, q, kth = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<i8").reshape(-1, dims), np.frombuffer(r["kth"], "<f8")
-            most = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * dims
+            own, q, kth = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(-1, dims), np.frombuffer(r["kth"], "<f8")
+            most = float(np.abs(v).max(initial=1)) * float(np.abs(q).max(initial=1)) * dims
             kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-            if kind not in held:
+            if most < 1 << 62 and kind not in held:
                 held[kind] = Block(ids, v, lists, kind)
             new, mine = kth.copy(), [[np.zeros(0, np.int64)] for _ in range(3)]
-            for i, vec, score in held[kind].top_k(own, q, kth, k):
+            for i, vec, score in held[kind].top_k(own, q, kth, k) if most < 1 << 62 else _exact(ids, v, own, q, k):
                 for c, x in zip(mine, (np.full(len(vec), own[i]), vec, score.astype(np.int64)), strict=True):
                     c.append(x)
                 if len(score) == k:
@@ -182,15 +201,17 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SC
     """Per query (vec_id divisible by ``every``) and rank: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Vectors that are null or empty, or hold null or non-finite components, and rows
-    with a null id take no part; nor do vectors with a component so large that an inner product of its length might
-    not be a 64-bit number. Vectors of different lengths do not meet. Rows with the query's own id are no candidates of
+    with a null id take no part. Scores are exact, whatever the size of the components; one that does not fit 64 bits counts as
+    the nearest number that does. Vectors of different lengths do not meet. Rows with the query's own id are no candidates of
     it; repeated ids otherwise are candidates each. Ties go to the smaller vec_id. Fewer candidates than k give fewer
     rows; an empty table none.
     """
     x = F.col("embedding")
-    most = F.floor(F.sqrt(F.lit(float(1 << 62)) / F.size(x)) / scale)
-    fine = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < most))
-    vectors = embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
+    most = F.sqrt(F.lit(float(1 << 61)) / F.size(x)) / scale
+    fine = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    large = F.exists(x, lambda e: F.abs(e.cast("double")) >= most)
+    whole = F.transform(x, lambda e: floored(e.cast("double") * scale))
+    vectors = embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), large.alias("large"))
     vectors = materialize(vectors, "vectors")
     n, m = vectors.count(), vectors.where(F.col("vec_id") % every == 0).count()
     dealt = lambda df, rows, size: df.repartition(max(1, -(-rows // size)), F.xxhash64("vec_id", F.lit(size)))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small fixtures with nulls, empty and odd texts, ties and repeats."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -362,6 +363,37 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_of_huge_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(100, 6))
+    v[::3] *= 1e7  # scores beyond doubles
+    v[::7] *= 1e13  # and beyond 64 bits
+    v[40] = 1e300
+    v[41] = -1e300
+    whole = [[math.floor(64 * x) for x in r] for r in v.tolist()]
+    want = set()
+    for q in range(0, 100, 20):
+        scores = sorted((-min(max(sum(map(int.__mul__, whole[q], w)), -(1 << 63)), (1 << 63) - 1), i) for i, w in enumerate(whole) if i != q)
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(scores[:20], 1)}
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect()} == want
+
+
+def test_top_k_stops_early_where_few_dimensions_carry_the_score():
+    """With dimensions that fall off, over half of the queries stop before the entries read outnumber the vectors; with 64
+    alike none does."""
+
+    def share(decay):
+        rng = np.random.default_rng(4)
+        v = np.floor(64 * rng.normal(size=(4000, 64)) * decay ** np.arange(64))
+        block = topk.Block(np.arange(4000), v, np.argsort(v, axis=0, kind="stable").T.astype(np.int32), np.float64)
+        kth = np.array([np.sort(np.delete(v @ q, i))[-20] for i, q in enumerate(v[:100])])
+        return (block.stops(v[:100], kth) * np.count_nonzero(v[:100], axis=1) < 4000).mean()
+
+    assert share(0.3) > 0.5 and share(1.0) == 0
+
+
 def test_top_k_over_many_blocks(spark, monkeypatch):
     """Small blocks, so that k-th scores are carried; lengths differ, ids repeat, components are huge, and many scores tie."""
     monkeypatch.setattr(topk, "CANDIDATES", 64)
@@ -372,10 +404,11 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
     rows = [(i, [float(np.round(x, 1)) for x in rng.normal(0, 0.3, 4 if i % 5 else 6)]) for i in range(500)]
     rows += [(7, [0.1] * 4), (7, [0.1] * 4), (20, [0.2] * 4), (2000, [1e30] * 4), (2001, [1e7, 0.0, 0.0, 0.0]), (2020, [-1e7, 1.0, 0.0, 0.0]), (2040, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    q = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if v and max(map(abs, v)) < 1e15]
+    q = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if v]
+    fit = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
     want = Counter()
     for own in {i for i, _ in q if i % 20 == 0}:
-        met = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), j) for i, u in q if i == own for j, v in q if j != own and len(u) == len(v))
+        met = sorted((-fit(sum(a * b for a, b in zip(u, v, strict=True))), j) for i, u in q if i == own for j, v in q if j != own and len(u) == len(v))
         want.update((own, k, j, -s) for k, (s, j) in enumerate(met[:20], 1))
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect()) == want
 
