@@ -63,30 +63,49 @@ def neighbours(found: DataFrame) -> DataFrame:
     return met.select(*PAGE, F.least("l_block", "r_block").alias("a"), F.greatest("l_block", "r_block").alias("b")).distinct()
 
 
+def rows_within(lines: Column, reach: Column) -> Column:
+    """Texts of lines (sorted structs of centre, x0, text) as rows from top to bottom, each from left to right: a line belongs to
+    a row if its centre is within ``reach`` of that of the row's first line."""
+    start = F.struct(F.lit(-1).alias("row"), F.lit(float("-inf")).alias("first"), F.array().cast("array<int>").alias("rows"))
+
+    def put(at: Column, l: Column) -> Column:
+        new = l["centre"] - at["first"] > reach
+        row = at["row"] + new.cast("int")
+        return F.struct(row.alias("row"), F.when(new, l["centre"]).otherwise(at["first"]).alias("first"), F.concat(at["rows"], F.array(row)).alias("rows"))
+
+    numbered = F.zip_with(F.aggregate(lines, start, put)["rows"], lines, lambda r, l: F.struct(r.alias("row"), l["x0"].alias("x0"), l["text"].alias("text")))
+    split = lambda all_: F.transform(F.sequence(F.lit(0), F.element_at(all_, -1)["row"]), lambda r: F.transform(F.filter(all_, lambda l: l["row"] == r), lambda l: l["text"]))
+    return F.when(F.size(lines) > 0, T.let(F.array_sort(numbered), split)).otherwise(F.array().cast("array<array<string>>"))
+
+
 def table_rows(lines: Column) -> Column:
-    """The lines of a stitched table as rows from top to bottom, each from left to right: a line belongs to a row if its
-    centre is within half the median height of that of the row's first line."""
+    """The lines of a stitched table as rows: within half the median height of a line."""
     centred = F.array_sort(F.transform(lines, lambda l: F.struct(((l["y0"] + l["y1"]) / 2).alias("centre"), l["x0"].alias("x0"), l["text"].alias("text"), (l["y1"] - l["y0"]).alias("height"))))
-    heights = lambda ls: F.array_sort(F.transform(ls, lambda l: l["height"]))
     middle = lambda h: (F.get(h, F.floor((F.size(h) - 1) / 2).cast("int")) + F.get(h, F.floor(F.size(h) / 2).cast("int"))) / 2
-    start = F.struct(F.lit(-1).alias("row"), F.lit(float("-inf")).alias("first"), F.array().cast("array<int>").alias("rows"))
+    reach = lambda ls: T.let(F.array_sort(F.transform(ls, lambda l: l["height"])), lambda h: 0.5 * middle(h))
+    return T.let(centred, lambda ls: T.let(reach(ls), lambda r: rows_within(ls, r)))
 
-    def numbered(ls: Column) -> Column:
-        def step(half: Column):
-            def put(at: Column, l: Column) -> Column:
-                new = l["centre"] - at["first"] > half
-                row = at["row"] + new.cast("int")
-                return F.struct(row.alias("row"), F.when(new, l["centre"]).otherwise(at["first"]).alias("first"), F.concat(at["rows"], F.array(row)).alias("rows"))
 
-            return put
+#: Points between the centres of words of one printed line.
+LINE_REACH = 2.5
 
-        return T.let(T.let(heights(ls), lambda h: 0.5 * middle(h)), lambda half: F.aggregate(ls, start, step(half))["rows"])
 
-    def rows(ls: Column) -> Column:
-        of = T.let(numbered(ls), lambda n: F.zip_with(n, ls, lambda r, l: F.struct(r.alias("row"), l["x0"].alias("x0"), l["text"].alias("text"))))
-        return T.let(F.array_sort(of), lambda all_: F.transform(F.sequence(F.lit(0), F.element_at(all_, -1)["row"]), lambda r: F.transform(F.filter(all_, lambda l: l["row"] == r), lambda l: l["text"])))
+def references(words: DataFrame, regions: DataFrame) -> DataFrame:
+    """(doc_id, page, text, missed): a page's reference text from its printed words and the regions drawn on it, in their order.
 
-    return T.let(centred, rows)
+    ``words``: doc_id, page, word, x0, y0, x1, y1, text; ``regions``: doc_id, page, region, width, height (of the page) and x0,
+    y0, x1, y1 as shares of it. A word belongs to the first region that holds its centre, upper and left edge included; words
+    that none holds are missed.
+    """
+    box = regions.select(*PAGE, "region", *((F.col(c) * F.col(side)).alias(f"r_{c}") for c, side in (("x0", "width"), ("y0", "height"), ("x1", "width"), ("y1", "height"))))
+    centred = words.select(*PAGE, "word", "x0", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
+    held = centred.join(box, PAGE).where("cx >= r_x0 AND cx < r_x1 AND centre >= r_y0 AND centre < r_y1").groupBy(*PAGE, "word").agg(F.min("region").alias("region"))
+    own = centred.join(held, [*PAGE, "word"], "left")
+    missed = own.groupBy(*PAGE).agg(F.count_if(F.col("region").isNull()).alias("missed"))
+    part = own.where("region IS NOT NULL").groupBy(*PAGE, "region").agg(F.sort_array(F.collect_list(F.struct("centre", "x0", "text"))).alias("lines"))
+    part = part.withColumn("text", F.array_join(F.transform(rows_within(F.col("lines"), F.lit(LINE_REACH)), lambda r: F.array_join(r, " ")), "\n"))
+    text = part.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("region", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return missed.join(text, PAGE, "left").select(*PAGE, F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"), "missed")
 
 
 def stitched(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T, tokens as K
 from ..operators import compare as C, elements as E, keywords as W, structure as D
+from . import queries as Q
 from .queries import TABLES, query, read
 
 
@@ -236,10 +237,17 @@ def prose_zones(spark, sf_dir):
     return W.zones(made(spark, sf_dir, _MARKS))
 
 
-_ZONED = """SELECT doc_id, concat('# ', regexp_extract(text, '^([A-Za-z]+)', 1), ' summary', chr(10), chr(10), text) AS text FROM documents WHERE lang = 'en' AND length(text) >= 400"""
+# Every document, without the signs and digits that are Markdown, below a title of its first word.
+_ZONED = """SELECT doc_id, concat('# ', CASE WHEN regexp_extract(text, '([A-Za-z]{3,})', 1) > '' THEN regexp_extract(text, '([A-Za-z]{3,})', 1) ELSE 'plain' END, ' summary', chr(10), chr(10), translate(text, '#*_`|<>[](){}!~-+=:$0123456789', '                              ')) AS text FROM documents"""
+_PROSE = f"""SELECT doc_id, string_split(text, chr(10))[1][3:] AS title, concat(string_split(text, chr(10))[1][3:], '.', chr(10), chr(10), array_to_string(list_transform(string_split(text, chr(10))[3:], lambda x: trim(x)), chr(10))) AS text FROM ({_ZONED})"""
+_ENDED = "CASE WHEN regexp_matches(text, '[.!?:;][\"'')\\]]?$') OR suffix(text, chr(10)) THEN text ELSE text || '.' END"
 
 
-@query()
+@query(f"""WITH prose AS (SELECT doc_id, title, {_ENDED} AS text FROM ({_PROSE})), {Q._GRAMS.replace('@least', '200').replace('FROM documents', 'FROM prose')},
+    t AS (SELECT doc_id, concat(' ', array_to_string(list_transform(regexp_extract_all(lower(title), {Q._W}), lambda w: {Q._STEM}), ' '), ' . ') AS title FROM prose),
+    s AS (SELECT doc_id, key, occurrences, size, contains(title, concat(' ', key, ' ')) AND key NOT IN ({', '.join(repr(n) for n in W.SECTION_NAMES)}) AS named FROM counted JOIN t USING (doc_id)),
+    r AS (SELECT doc_id, key, occurrences, named, round(occurrences * [1.0, 1.4, 1.6, 1.6][size]::DOUBLE * CASE WHEN named THEN 4 ELSE 1 END, 6) AS score FROM s WHERE (occurrences >= 2 OR named) AND {Q._USABLE})
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, key) AS rank, key, score, occurrences, named AS in_title, named AS in_heading FROM r QUALIFY rank <= 20""")
 def keyword_zones(spark, sf_dir):
     """Keywords of Markdown with a title, in which the title's words count more."""
     return W.prominent(made(spark, sf_dir, _ZONED))

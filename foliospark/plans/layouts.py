@@ -90,3 +90,20 @@ def written_tables(spark, sf_dir):
     rows = F.transform(F.sort_array(F.collect_list(F.struct("n", row.alias("row")))), lambda x: x["row"])
     head = F.when(F.col("form") < 2, F.array(F.array(cell(F.lit("Part | key"), True), cell(F.lit("Supplier"), True)))).otherwise(F.array().cast("array<array<struct<text:string,header:boolean,row_span:int,col_span:int>>>"))
     return t.groupBy("l_orderkey", "form").agg(rows.alias("rows")).select("l_orderkey", L.write_table(F.concat(head, F.col("rows"))).alias("markdown"))
+
+
+# Three words an item; the first region holds the first words of four items, the second, which overlaps it, the rest of these
+# and all second words, which stand two points lower; third words are outside.
+_PRINTED = f"""SELECT l_orderkey AS doc_id, 1 AS page, 3 * l_linenumber + w AS word, CAST(CASE w WHEN 1 THEN 10 WHEN 2 THEN 60 ELSE 150 END AS DOUBLE) AS x0, CAST(10 * l_linenumber + CASE w WHEN 2 THEN 2 ELSE 0 END AS DOUBLE) AS y0,
+    CASE w WHEN 1 THEN concat('p', l_partkey) WHEN 2 THEN concat('s', l_suppkey) ELSE 'x' END AS text FROM {_ITEMS}"""
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber AS n, concat('p', l_partkey) AS p, concat('s', l_suppkey) AS s FROM {_ITEMS})
+    SELECT l_orderkey AS doc_id, concat(coalesce(string_agg(p, chr(10) ORDER BY n) FILTER (n <= 4), ''), chr(10), string_agg(CASE WHEN n <= 4 THEN s ELSE concat(p, ' ', s) END, chr(10) ORDER BY n), chr(10)) AS text, count(*) AS missed FROM i GROUP BY l_orderkey""")
+def reference_texts(spark, sf_dir):
+    """Reference texts of every order's page, each word claimed by the first region that holds it."""
+    words = made(spark, sf_dir, _PRINTED + " LATERAL VIEW explode(array(1, 2, 3)) u AS w").withColumn("x1", F.col("x0") + 20).withColumn("y1", F.col("y0") + 8)
+    pages = words.select("doc_id", "page").distinct()
+    boxes = F.array(*(F.struct(F.lit(k).alias("region"), *(F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), at, strict=True))) for k, at in ((1, (0.0, 0.0, 0.25, 0.0005)), (2, (0.0, 0.0, 0.5, 1.0)))))
+    regions = pages.withColumn("r", F.explode(boxes)).select("doc_id", "page", "r.*", F.lit(200.0).alias("width"), F.lit(100_000.0).alias("height"))
+    return S.references(words, regions).select("doc_id", "text", "missed")

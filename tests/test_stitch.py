@@ -60,3 +60,12 @@ def test_line_order(spark):
     rows = [("same", ref, ref), ("swapped", ref, "five six seven\none two three four\neight nine ten eleven twelve thirteen"), ("one", ref, "five six seven"), ("none", ref, ""), ("null", ref, None)]
     got = {r.id: (r.located, r.order_error) for r in order.line_order_errors(spark.createDataFrame(rows, "id string, reference string, output string")).collect()}
     assert got == {"same": (4, 0.0), "swapped": (4, 0.5), "one": (1, None), "none": (0, None), "null": (0, None)}
+
+
+def test_references(spark):
+    w = [("d", 1, k, x, y, x + 10, y + 10, t) for k, (x, y, t) in enumerate([(50.0, 0.0, "b"), (0.0, 2.0, "a"), (0.0, 20.0, "c"), (90.0, 20.0, "edge"), (95.0, 50.0, "out"), (0.0, 60.0, "second")])]
+    words = spark.createDataFrame(w, "doc_id string, page int, word int, x0 double, y0 double, x1 double, y1 double, text string")
+    r = [("d", 1, 2, 100.0, 200.0, 0.0, 0.0, 0.95, 1.0), ("d", 1, 1, 100.0, 200.0, 0.0, 0.325, 0.5, 0.5)]  # the second holds a centre on its upper edge, the first none on its right one
+    regions = spark.createDataFrame(r, "doc_id string, page int, region int, width double, height double, x0 double, y0 double, x1 double, y1 double")
+    got = stitch.references(words, regions).first()
+    assert (got.text, got.missed) == ("second\na b\nc\n", 2)
