@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import gold as G
+from ..sources import gold as G, pdf as P
 from .elements import made
 from .queries import query
 
@@ -41,3 +41,19 @@ def emphasis_scores(spark, sf_dir):
     every = lambda n, marks: F.array_join(F.transform("ws", lambda w, i: F.when(i % n == 0, F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w)), " ")
     pairs = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("# **A heading** with 0 emphasis\n\n"), every(3, ("**", "**"))).alias("gold"), every(4, ("<em>", "</em>")).alias("output"))
     return G.emphasis_scores(pairs).withColumnRenamed("id", "doc_id")
+
+
+# A file for each part: pages by its size, fonts and images by its key, some by a scanner, some no PDF or without pages.
+_PDFS = """SELECT p_partkey, p_size % 6 AS n, p_partkey % 4 AS fonts, p_partkey % 7 AS images, CASE WHEN p_partkey % 5 = 0 THEN 'ScanSnap' ELSE 'Writer' END AS maker FROM part"""
+
+
+@query(f"""WITH p AS ({_PDFS}), k AS (SELECT *, CASE WHEN n = 0 OR p_partkey % 11 = 0 THEN NULL WHEN fonts = 0 THEN 1 WHEN images >= 0.8 * n AND maker = 'ScanSnap' THEN 2 ELSE 3 END AS rule FROM p)
+    SELECT p_partkey, CASE WHEN rule > 0 THEN n END AS pages, CASE WHEN rule < 3 THEN 'scan' WHEN rule = 3 THEN 'text' END AS kind, CASE rule WHEN 1 THEN 'high' WHEN 2 THEN 'low' WHEN 3 THEN CASE WHEN images > n THEN 'low' ELSE 'high' END END AS confidence FROM k""")
+def probed_pdfs(spark, sf_dir):
+    """What the bytes of a made PDF file for every part tell."""
+    p = made(spark, sf_dir, _PDFS)
+    many = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    tree = F.when(F.col("n") > 0, F.concat(F.lit("<< /Type /Pages /Count "), F.col("n").cast("string"), F.lit(" >>\n"))).otherwise("")
+    text = F.concat(F.when(F.col("p_partkey") % 11 == 0, "%PNG\n").otherwise("%PDF-1.4\n"), tree, many("<< /Type /Font >>\n", F.col("fonts")), many("<< /Subtype /Image >>\n", F.col("images")), F.lit("<< /Producer ("), "maker", F.lit(") >>\n"))
+    found = p.select("p_partkey", P.probed(F.encode(text, "UTF-8")).alias("p"))
+    return found.select("p_partkey", F.col("p.pages").alias("pages"), F.col("p.kind").alias("kind"), F.col("p.confidence").alias("confidence"))
