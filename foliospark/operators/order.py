@@ -10,9 +10,11 @@ LEAST, WORDS = 2, 3
 
 
 def _trigrams(words: Column) -> Column:
-    n = F.size(words)
-    starts = F.when(n >= WORDS, F.sequence(F.lit(0), n - WORDS)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, WORDS), " "))
+    def of(ws: Column) -> Column:
+        starts = F.when(F.size(ws) >= WORDS, F.sequence(F.lit(0), F.size(ws) - WORDS)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, WORDS), " "))
+
+    return T.let(words, of)  # a text's words are taken once, not for every trigram
 
 
 def line_places(pairs: DataFrame) -> DataFrame:
