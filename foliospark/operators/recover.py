@@ -1,63 +1,11 @@
-"""Links between elements: footnotes and the blocks that cite them, tables that go on, copies of a page's blocks."""
+"""Copies of a page's blocks."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import tokens as K
-
-#: A line that starts a note: its number, as printed or raised.
-NOTE = r"^\s*(?:<sup>)?\s*([0-9]{1,3})\s*(?:</sup>)?[.)]?\s+\S"
-
-
-def footnotes(elements: DataFrame) -> DataFrame:
-    """(doc_id, page, source, note, number, text, target): each note of a page's notes block and every block citing it.
-
-    Elements are (doc_id, page, ord, text). The notes block of a page is its last element that cites nothing and whose
-    first line starts a cited number; there must be two such starts with increasing numbers. A start with a number
-    that is cited nowhere on the page, or is no larger than the one before, is part of the note above.
-    """
-    key = ["doc_id", "page"]
-    cited = elements.select(*key, F.col("ord").alias("target"), F.explode(F.array_distinct(K.superscripts(F.col("text")))).alias("number"))
-    numbers = cited.select(*key, "number").distinct()
-    plain = elements.where(F.size(K.superscripts(F.regexp_replace("text", r"(?m)^\s*<sup>\s*[0-9]+\s*</sup>", ""))) == 0)
-    lines = plain.select(*key, "ord", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    lines = lines.withColumn("number", F.expr(f"try_cast(nullif(regexp_extract(t, r'{NOTE}', 1), '') AS int)"))
-    lines = lines.join(numbers.withColumn("known", F.lit(True)), [*key, "number"], "left")
-    before = Window.partitionBy(*key, "ord").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.when(F.col("known"), F.col("number"))
-    lines = lines.withColumn("begins", F.col("known").isNotNull() & (F.col("number") > F.coalesce(F.max(known).over(before), F.lit(-1))))
-    block = Window.partitionBy(*key, "ord")
-    fit = lines.withColumn("n", F.count_if("begins").over(block)).withColumn("opens", F.max((F.col("begins") & (F.col("line") == 0)).cast("int")).over(block))
-    fit = fit.where("n >= 2 AND opens = 1").withColumn("last", F.max("ord").over(Window.partitionBy(*key))).where("ord = last")
-    upto = block.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    fit = fit.withColumn("note", F.sum(F.col("begins").cast("int")).over(upto))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")
-    notes = fit.groupBy(*key, F.col("ord").alias("source"), "note").agg(F.min(F.when(F.col("begins"), F.col("number"))).alias("number"), text.alias("text"))
-    return notes.join(cited, [*key, "number"]).where("target <> source").select(*key, "source", "note", "number", "text", "target")
-
-
-def continued_tables(elements: DataFrame, share: float = 0.8) -> DataFrame:
-    """(doc_id, source, target): a page's first block, a table, goes on with the last one of the page before, a table
-    with as many columns and like header cells, or any table if a caption before it says so.
-
-    Elements are (doc_id, page, ord, type, text, header: array of cells). Furniture, figures and captions are no edge.
-    """
-    aside = F.col("type").isin("page_header", "page_footer", "page_number", "figure", "caption")
-    page = Window.partitionBy("doc_id", "page")
-    body = elements.where(~aside).withColumn("first", F.min("ord").over(page)).withColumn("last", F.max("ord").over(page)).where("type = 'table'")
-    said = elements.where((F.col("type") == "caption") & K.says_continued(F.col("text"))).select("doc_id", "page", F.col("ord").alias("caption"))
-    above = body.where("ord = last").select("doc_id", (F.col("page") + 1).alias("page"), F.col("ord").alias("target"), F.col("header").alias("h"))
-    below = body.where("ord = first").select("doc_id", "page", F.col("ord").alias("source"), "header")
-    cell = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
-    both = F.filter(F.zip_with(F.transform("h", cell), F.transform("header", cell), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: (p["a"] != "") | (p["b"] != ""))
-    alike = (F.size("h") == F.size("header")) & (F.size(both) >= 2) & (F.size(F.filter(both, lambda p: p["a"] == p["b"])) >= share * F.size(both))
-    told = below.join(said, ["doc_id", "page"]).where("caption < source").select("doc_id", "source").distinct().withColumn("told", F.lit(True))
-    met = below.join(above, ["doc_id", "page"]).join(told, ["doc_id", "source"], "left")
-    return met.where(F.coalesce("told", F.lit(False)) | F.coalesce(alike, F.lit(False))).select("doc_id", "source", "target")
-
 
 def without_repeat(blocks: list[str], low: int = 40, high: int = 250, most: int = 60) -> list[str]:
     """The blocks without the second copy of the longest run that is repeated at once and has ``low`` to ``high``

@@ -1,4 +1,4 @@
-"""Document structure: blocks, furniture, continuation, outline levels, captions, regrouping. Elements carry ``ord``."""
+"""Document structure: blocks, continuation, regrouping. Elements carry ``ord``."""
 
 from __future__ import annotations
 
@@ -70,28 +70,6 @@ def element_ids(elements: DataFrame, key: str, order: str) -> DataFrame:
     return elements.withColumn("id", F.concat(F.lit("e"), F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("string")))
 
 
-def furniture(elements: DataFrame, pages: DataFrame, band: float = 0.10, least: int = 3) -> DataFrame:
-    """Elements (doc_id, page, ord, type, text, bbox) with the type that repetition in a page's margin bands shows.
-
-    A page number in a band, and a text that repeats (digits masked) in the same band on at least ``least`` pages and
-    a quarter of them, are furniture; headings, tables, figures, captions, footnotes, code and equations never are.
-    """
-    never = ["heading", "title", "table", "figure", "caption", "footnote", "code", "equation"]
-    counted = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
-    e = elements.join(pages.select("doc_id", "page", "height"), ["doc_id", "page"], "left").join(counted, "doc_id", "left")
-    where = F.when(F.col("bbox.y1") <= band * F.col("height"), "header").when(F.col("bbox.y0") >= (1 - band) * F.col("height"), "footer")
-    e = e.withColumn("_band", where).withColumn("_key", T.furniture_key(F.col("text")))
-    repeats = e.where("_band IS NOT NULL AND n_pages >= 2").groupBy("doc_id", "_band", "_key").agg(F.countDistinct("page").alias("_on"))
-    e = e.join(repeats, ["doc_id", "_band", "_key"], "left")
-    typed = (
-        F.when(F.col("type").isin(never) | F.col("_band").isNull(), F.col("type"))
-        .when(T.is_page_number(F.col("text")), "page_number")
-        .when(F.col("_on") >= F.greatest(F.lit(least), F.ceil(F.col("n_pages") / 4)), F.concat(F.lit("page_"), F.col("_band")))
-        .otherwise(F.col("type"))
-    )
-    return e.withColumn("type", typed).select(*elements.columns)
-
-
 def continuations(elements: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """(key, source, target): prose with an open end, and the next prose that starts in lower case."""
     w = Window.partitionBy(key).orderBy(order)
@@ -100,28 +78,6 @@ def continuations(elements: DataFrame, key: str, order: str, text: str) -> DataF
     return pairs.where(T.open_end(F.col("a")) & T.lower_start(F.col("b"))).select(key, "source", "target")
 
 
-def outline_levels(elements: DataFrame, outline: DataFrame) -> DataFrame:
-    """(doc_id, ord, level): the first element of an outline entry's page whose words are the entry's title."""
-    norm = lambda c: F.array_join(T.plain_words(c), " ")
-    e = elements.where(F.size(F.split("text", "\n")) <= 3).select("doc_id", "page", "ord", norm(F.col("text")).alias("n"))
-    o = outline.select("doc_id", "page", F.col("ord").alias("entry"), "level", norm(F.col("title")).alias("n"))
-    nth = lambda order: F.row_number().over(Window.partitionBy("doc_id", "page", "n").orderBy(order))
-    return e.withColumn("k", nth("ord")).join(o.withColumn("k", nth("entry")), ["doc_id", "page", "n", "k"]).select("doc_id", "ord", "level")
-
-
-def captions(elements: DataFrame, pages: DataFrame, gap: float = 0.08, share: float = 0.3) -> DataFrame:
-    """(doc_id, source, target): each caption's nearest table or figure above or below it on its page."""
-    start = F.col("text").rlike(r"(?i)^[\s*_]*(table|figure|fig\.|chart|plate|map)\s*[0-9ivx]+")
-    c = elements.where((F.col("type") == "caption") | F.col("type").isin("text", "paragraph", "heading") & start).select("doc_id", "page", F.col("ord").alias("source"), F.col("bbox").alias("cb"), F.lower("text").alias("ct"))
-    t = elements.where(F.col("type").isin("table", "figure")).select("doc_id", "page", F.col("ord").alias("target"), F.col("type").alias("tt"), F.col("bbox").alias("tb"))
-    apart = F.greatest(F.col("cb.y0") - F.col("tb.y1"), F.col("tb.y0") - F.col("cb.y1"))
-    met = c.join(t, ["doc_id", "page"]).join(pages.select("doc_id", "page", "height"), ["doc_id", "page"])
-    met = met.withColumn("gap", apart).where((F.col("gap") >= -1) & (F.col("gap") <= gap * F.col("height")) & (G.narrow_share(F.col("cb"), F.col("tb")) >= share))
-    other = F.when(F.col("ct").startswith("table") == (F.col("tt") == "table"), 0).otherwise(1)
-    best = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("gap", other, "target"))
-    return met.withColumn("k", best).where("k = 1").select("doc_id", "source", "target")
-
-
 def regroup(lines: DataFrame, regions: DataFrame, share: float = 0.5) -> DataFrame:
     """Each line (doc_id, page, ord, box) with the region that holds most of its area, at least ``share``; else the
     last region used before it in reading order (null before the first). Lines are partitioned exactly."""

@@ -3,25 +3,6 @@ from pyspark.sql import functions as F
 from foliospark.operators import recover as R
 
 
-def test_footnotes(spark):
-    rows = [
-        (1, 1, 0, "Moss<sup>1</sup> and fern<sup>2</sup>"), (1, 1, 1, "More moss<sup>1,2</sup>"), (1, 1, 2, "1 On moss\ngoes on\n9 no note\n2. On fern"),
-        (1, 2, 0, "Bark<sup>1</sup>"), (1, 2, 1, "1 One note only"), (2, 1, 0, None), (2, 1, 1, ""),
-    ]
-    got = R.footnotes(spark.createDataFrame(rows, "doc_id long, page int, ord int, text string")).collect()
-    assert sorted((r.page, r.source, r.number, r.text, r.target) for r in got) == [(1, 2, n, t, k) for n, t in ((1, "1 On moss\ngoes on\n9 no note"), (2, "2. On fern")) for k in (0, 1)]
-
-
-def test_continued_tables(spark):
-    rows = [
-        (1, 1, 0, "text", "a", None), (1, 1, 1, "table", "", ["Site", "Count"]), (1, 1, 2, "page_number", "1", None),
-        (1, 2, 3, "table", "", ["site", "count"]), (1, 3, 4, "caption", "Table 1 (continued)", None), (1, 3, 5, "table", "", ["x", "y", "z"]),
-        (1, 4, 6, "table", "", ["p", "q", "r"]),
-    ]
-    got = R.continued_tables(spark.createDataFrame(rows, "doc_id long, page int, ord int, type string, text string, header array<string>")).collect()
-    assert sorted((r.source, r.target) for r in got) == [(3, 1), (5, 3)]
-
-
 def test_repeats(spark):
     a, b = "x" * 30, "y" * 30
     assert R.without_repeat([a, b, a, b, "end"]) == [a, b, "end"]

@@ -5,31 +5,12 @@ def box(x0, y0, x1, y1):
     return (float(x0), float(y0), float(x1), float(y1))
 
 
-ELEMENTS = "doc_id long, page int, ord int, type string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>"
-
-
 def test_blocks():
     assert D.blocks("# a\n\nb\nc\n \n```\nx\n\ny\n```\n\nd") == ["# a", "b\nc", "```\nx\n\ny\n```", "d"]
     assert D.blocks(None) == D.blocks(" \n\n ") == []
     assert D.blocks("````\na\n```\n\nb") == ["````\na\n```\n\nb"]
 
 
-def test_furniture(spark):
-    rows = [(1, p, 1, "text", f"Gazette No {p}", box(50, 20, 300, 40)) for p in (1, 2, 3)] + [(1, 1, 2, "heading", "Gazette No 9", box(50, 20, 300, 40)), (1, 1, 3, "text", "7", box(290, 810, 300, 825)), (1, 1, 4, "text", "body text", box(50, 300, 300, 340))]
-    pages = spark.createDataFrame([(1, p, 842.0) for p in (1, 2, 3)], "doc_id long, page int, height double")
-    got = {(r.page, r.ord): r.type for r in D.furniture(spark.createDataFrame(rows, ELEMENTS), pages).collect()}
-    assert got == {(1, 1): "page_header", (2, 1): "page_header", (3, 1): "page_header", (1, 2): "heading", (1, 3): "page_number", (1, 4): "text"}
-
-
-def test_captions_and_levels(spark):
-    pages = spark.createDataFrame([(1, 1, 842.0)], "doc_id long, page int, height double")
-    rows = [(1, 1, 1, "heading", "PART 2 Lichens", box(50, 90, 300, 115)), (1, 1, 2, "table", "", box(50, 200, 400, 300)), (1, 1, 3, "text", "Table 4 Counts by site", box(50, 310, 300, 325)), (1, 1, 4, "text", "Table 5 far away", box(50, 700, 300, 715))]
-    elements = spark.createDataFrame(rows, ELEMENTS)
-    assert [tuple(r) for r in D.captions(elements, pages).collect()] == [(1, 3, 2)]
-    outline = spark.createDataFrame([(1, 1, 2, "Part 2: lichens", 1)], "doc_id long, ord int, level int, title string, page int")
-    assert [tuple(r) for r in D.outline_levels(elements, outline).collect()] == [(1, 1, 2)]
-
-
 def test_continuations(spark):
     rows = [(1, 1, "the survey began in the"), (1, 2, "northern valleys and went on."), (1, 3, "A new one")]
     df = spark.createDataFrame(rows, "doc long, ord int, text string")
