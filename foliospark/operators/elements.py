@@ -1,6 +1,6 @@
 """Elements of a document as Markdown and JSON, and the relations among them.
 
-An element is a row (doc_id, page, ord, type, text, text_format, level, level_signal, rows, asset); a relation is a row
+An element is a row (doc_id, page, ord, type, text, text_format, level, level_signal, role_signal, signal, rows, asset); a relation is a row
 (doc_id, type, source, target) between the ids of elements.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .layout import write_table
 
 FURNITURE = ("page_header", "page_footer", "page_number")
 
@@ -25,25 +26,41 @@ def rows_text(rows: Column) -> Column:
 
 
 def _one_line(text: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != ""), " ")
 
 
-def render(e: DataFrame, assets: bool = False) -> Column:
-    """One element as Markdown: a level that a pass assigned writes the heading's marks, a table's rows are text, a
-    split-out footnote's number becomes its label, and a figure or table with an asset links its image."""
+def heading_words(text: Column, text_format: Column) -> Column:
+    """A heading's or caption's words on one line, without the marks that its Markdown starts with."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"^\n+", ""), r"^ {0,3}#{1,6}(?:[ \t]+|$)", "")
+    return _one_line(F.when(text_format == "markdown", bare).otherwise(text))
+
+
+# Whose headings are written with marks, whose cells are columns, whose notes become labels.
+HEADING_SIGNALS, CELL_SIGNALS, NOTE_SIGNAL = ("pp-doclayoutv3",), ("tatr",), "footnote-marker"
+NOTE_NUMBER = r"^(\s*)([0-9]{1,2})[.)]?[ \t]+"
+
+
+def render(e: DataFrame, assets: bool = False, alt: Column | None = None, rows: Column | None = None) -> Column:
+    """One element as Markdown. A level that a pass assigned, or a heading of the layout model, writes the heading's marks; a
+    table's cells (``rows``, arrays of struct(text, header, row_span, col_span)) are a table where the signal says that they are columns, else text; the number of a
+    note that the pass split out becomes its label; a figure or table with an asset links its image, a figure's with ``alt``."""
     c = {n: F.col(n) for n in e.columns}
+    rows = c["rows"] if rows is None else rows
     heading = c["type"].isin("heading", "title")
-    words = F.when(c["text_format"] == "markdown", F.regexp_replace(F.regexp_replace(c["text"], r"^\n+", ""), r"^ {0,3}#{1,6}[ \t]+", "")).otherwise(c["text"])
-    marked = F.concat(F.repeat(F.lit("#"), F.coalesce(c["level"], F.lit(2))), F.lit(" "), _one_line(words))
-    body = F.when(F.size(F.coalesce(c["rows"], F.array().cast("array<array<string>>"))) > 0, rows_text(c["rows"])).otherwise(c["text"])
+    marks = F.concat(F.repeat(F.lit("#"), F.coalesce(F.nullif(c["level"], F.lit(0)), F.lit(2))), F.lit(" "))
+    text = F.coalesce(c["text"], F.lit(""))
+    cells = F.when(c["signal"].isin(*CELL_SIGNALS), write_table(rows)).otherwise(rows_text(F.transform(rows, lambda r: F.transform(r, lambda x: x["text"]))))
+    body = F.when(F.size(F.coalesce(rows, F.array().cast("array<array<struct<text:string,header:boolean,row_span:int,col_span:int>>>"))) > 0, cells).otherwise(text)
     linked = c["asset"].isNotNull() & F.lit(assets)
-    table = F.when(linked, F.concat(body, F.when(body == "", "").otherwise("\n\n"), F.lit("![Table image]("), c["asset"], F.lit(")"))).otherwise(body)
+    words = F.translate(F.trim(F.regexp_replace(F.coalesce(F.lit("") if alt is None else alt, F.lit("")), r"(?U)\s+", " ")), "[]", "()")
     return (
-        F.when(heading & c["level_signal"].isNotNull(), marked)
-        .when(c["type"] == "table", table)
-        .when((c["type"] == "footnote"), F.regexp_replace(c["text"], r"^(\s*)([0-9]{1,2})[.)]?[ \t]+", "$1[^$2]: "))
-        .when((c["type"] == "figure") & linked, F.concat(F.lit("![]("), c["asset"], F.lit(")")))
-        .otherwise(c["text"])
+        F.when(heading & c["level_signal"].isNotNull(), F.concat(marks, heading_words(text, c["text_format"])))
+        .when(heading & c["signal"].isin(*HEADING_SIGNALS), F.concat(marks, F.replace(text, F.lit("\n"), F.lit(" "))))
+        .when((c["type"] == "table") & linked, F.concat(body, F.when(body == "", "").otherwise("\n\n"), F.lit("![Table image]("), c["asset"], F.lit(")")))
+        .when(c["type"] == "table", body)
+        .when((c["type"] == "footnote") & (c["role_signal"] == NOTE_SIGNAL), F.regexp_replace(text, NOTE_NUMBER, "$1[^$2]: "))
+        .when((c["type"] == "figure") & linked, F.concat(F.lit("!["), words, F.lit("]("), c["asset"], F.lit(")")))
+        .otherwise(text)
     )
 
 

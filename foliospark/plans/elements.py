@@ -26,21 +26,25 @@ _ELEMENTS = """SELECT p_partkey % 50 AS doc_id, CAST(floor(p_partkey / 100) AS B
     CASE p_size % 8 WHEN 0 THEN 'heading' WHEN 1 THEN 'title' WHEN 2 THEN 'table' WHEN 3 THEN 'footnote' WHEN 4 THEN 'figure' WHEN 5 THEN 'page_header' ELSE 'text' END AS type,
     CASE WHEN p_size % 8 = 3 THEN concat(CAST(p_size AS STRING), '. ', p_name) WHEN p_size % 16 = 0 THEN concat('## ', p_name, chr(10), ' ', p_brand) WHEN p_size % 16 = 6 THEN '' ELSE concat('<i>', p_name, '</i> **', p_brand, '**') END AS text,
     CASE WHEN p_size % 3 = 0 THEN 'plain' ELSE 'markdown' END AS text_format, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS level, CASE WHEN p_size % 7 > 1 THEN 'pass' END AS level_signal,
+    CASE WHEN p_size % 8 = 3 AND p_partkey % 3 > 0 THEN 'footnote-marker' END AS role_signal, CASE WHEN p_partkey % 8 = 0 THEN 'tatr' WHEN p_partkey % 5 = 0 THEN 'pp-doclayoutv3' END AS signal,
     p_brand, p_type, CASE WHEN p_partkey % 2 = 0 THEN concat('assets/', CAST(p_partkey AS STRING), '.png') END AS asset FROM part"""
 _E = "e AS (" + _ELEMENTS.replace("STRING", "VARCHAR") + ")"
 
 
 def _elements(spark, sf_dir):
-    cells = F.when((F.col("type") == "table") & (F.col("ord") % 4 == 0), F.array(F.array("p_brand", "p_type"), F.array(F.col("ord").cast("string"), F.lit("x"))))
+    cell = lambda text, header: F.struct(text.alias("text"), F.lit(header).alias("header"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+    two = F.array(F.array(cell(F.col("p_brand"), True), cell(F.col("p_type"), True)), F.array(cell(F.col("ord").cast("string"), False), cell(F.lit("x"), False)))
+    cells = F.when((F.col("type") == "table") & (F.col("ord") % 4 == 0), two)
     return made(spark, sf_dir, _ELEMENTS).withColumn("rows", cells)
 
 
 _LINE = "array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ')"
 _HEADING = _LINE.format(x="CASE WHEN text_format = 'markdown' THEN regexp_replace(ltrim(text, chr(10)), '^ {0,3}#{1,6}[ \\t]+', '') ELSE text END")
-_BODY = "CASE WHEN ord % 4 = 0 THEN p_brand || ' ' || p_type || chr(10) || ord || ' x' ELSE text END"
+_BODY = "CASE WHEN ord % 8 = 0 THEN '| ' || p_brand || ' | ' || p_type || ' |' || chr(10) || '|---|---|' || chr(10) || '| ' || ord || ' | x |' WHEN ord % 4 = 0 THEN p_brand || ' ' || p_type || chr(10) || ord || ' x' ELSE text END"
 _UNIT = f"""CASE WHEN type IN ('heading', 'title') AND level_signal IS NOT NULL THEN repeat('#', coalesce(level, 2)) || ' ' || {_HEADING}
+    WHEN type IN ('heading', 'title') AND signal = 'pp-doclayoutv3' THEN repeat('#', coalesce(level, 2)) || ' ' || replace(text, chr(10), ' ')
     WHEN type = 'table' AND asset IS NOT NULL THEN ({_BODY}) || CASE WHEN ({_BODY}) = '' THEN '' ELSE chr(10) || chr(10) END || '![Table image](' || asset || ')' WHEN type = 'table' THEN {_BODY}
-    WHEN type = 'footnote' THEN regexp_replace(text, '^(\\s*)([0-9]{{1,2}})[.)]?[ \\t]+', '\\1[^\\2]: ') WHEN type = 'figure' AND asset IS NOT NULL THEN '![](' || asset || ')' ELSE text END"""
+    WHEN role_signal IS NOT NULL THEN regexp_replace(text, '^(\\s*)([0-9]{{1,2}})[.)]?[ \\t]+', '\\1[^\\2]: ') WHEN type = 'figure' AND asset IS NOT NULL THEN '![](' || asset || ')' ELSE text END"""
 
 
 @query(f"WITH {_E} SELECT ord, {_UNIT} AS unit FROM e")

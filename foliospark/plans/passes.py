@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import passes as P
+from ..operators import passes as P, units as U
 from .elements import made
 from .queries import query
 
@@ -140,3 +140,55 @@ def footnotes(spark, sf_dir):
     note = lambda k: F.concat(F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(". "))).otherwise(F.concat(F.lit(" "), k.cast("string"), F.lit(" "))), F.lit("On moss\n99 more"))
     notes = F.array_join(F.transform(F.filter(every, lambda k: k > F.col("page") % 3), note), "\n")
     return P.split_notes(e.withColumn("text", F.when(F.col("n") == F.col("of"), notes).otherwise(cites))).select("doc_id", "page", "ord", F.col("note"), "number", "text", F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited"))
+
+
+# Elements by their place in sevens of a page's items: a heading or page header, a text that cites a note, one that goes on from it
+# where the supplier is even, a figure, its caption or a further part of the text, a table like that before, and the note.
+_SEVENS = f"SELECT doc_id, page * 1000 + CAST(floor((n - 1) / 7) AS BIGINT) AS page, ord, (n - 1) % 7 + 1 AS k, p, s FROM {_ITEMS}"
+_UNITS = f"""WITH i AS ({_SEVENS}), g AS (SELECT doc_id, page, count(*) AS of, {", ".join(f"max({c}) FILTER (k = {k}) AS {c}{k}" for c in "ps" for k in range(1, 8))} FROM i GROUP BY doc_id, page),
+    h AS (SELECT *, of >= 6 AND count(*) FILTER (of >= 6) OVER (PARTITION BY doc_id ORDER BY page) > 1 AS again, 'goes on ' || p3 || CASE WHEN of >= 5 AND p5 % 3 = 0 THEN chr(10) || 'last of it ' || p5 ELSE '' END AS rest FROM g),
+    u AS (SELECT doc_id, page, list_filter([CASE WHEN p1 % 6 = 0 THEN {{header}} ELSE repeat('#', CAST(1 + p1 % 3 AS INTEGER)) || ' Part ' || p1 || ' two' END,
+        CASE WHEN of >= 2 THEN 'Moss' || CASE WHEN of >= 7 THEN '[^1]' ELSE '<sup>1</sup>' END || ' of<sup>1, 2</sup>' || CASE WHEN of >= 3 AND s3 % 2 = 0 THEN chr(10) || rest ELSE '' END END, CASE WHEN of >= 3 AND s3 % 2 = 1 THEN chr(10) || rest END,
+        CASE WHEN of >= 4 THEN '![' || CASE WHEN of >= 5 AND p5 % 3 > 0 THEN 'Fig. (1) of ' || p5 ELSE '' END || '](assets/' || p4 || '.png)' END, CASE WHEN of >= 5 AND p5 % 3 > 0 THEN 'Fig.  [1] of ' || p5 END,
+        CASE WHEN of >= 6 AND s6 % 2 = 0 THEN CASE WHEN {{reader}} AND again THEN '<table>' || chr(10) || '<tr><td>' || p6 || '</td><td>' || s6 || '</td></tr>' || chr(10) || '</table>' ELSE '| Name | No |' || chr(10) || '|---|---|' || chr(10) || '| ' || p6 || ' | ' || s6 || ' |' END
+            WHEN of >= 6 THEN CASE WHEN {{reader}} AND again THEN '' ELSE 'Name No' || chr(10) END || p6 || ' ' || s6 END, CASE WHEN of >= 7 THEN CASE WHEN p7 % 2 = 0 THEN '[^1]: note ' ELSE '1. note ' END || p7 END], lambda x: x IS NOT NULL) AS units FROM h),
+    m AS (SELECT doc_id, page, regexp_replace(array_to_string(units, chr(10) || chr(10)), '^\\s+|\\s+$', '', 'g') AS part FROM u) SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY page) AS markdown FROM m WHERE part <> '' GROUP BY doc_id"""
+
+
+def _related(spark, sf_dir):
+    """The elements of every customer's document and their relations."""
+    e = made(spark, sf_dir, _SEVENS)
+    k, p, s = F.col("k"), F.col("p").cast("string"), F.col("s").cast("string")
+    w = P.Window.partitionBy("doc_id").orderBy("ord")
+    part = (k == 5) & (F.col("p") % 3 == 0)
+    kind = F.when(k == 1, F.when(F.col("p") % 6 == 0, "page_header").otherwise("heading")).when(part | k.isin(2, 3), "text").when(k == 4, "figure").when(k == 5, "caption").when(k == 6, "table").otherwise("footnote")
+    text = (
+        F.when(k == 1, F.concat(F.lit("## Part "), p, F.lit("\n two"))).when(k == 2, "Moss<sup>1</sup> of<sup>1, 2</sup>").when(k == 3, F.concat(F.lit("\ngoes on "), p)).when(part, F.concat(F.lit("last of it "), p))
+        .when(k == 5, F.concat(F.lit("Fig.  [1] of "), p)).when(k == 7, F.concat(F.lit("1. note "), p)).otherwise("")
+    )
+    cell = lambda t, header: F.struct(t.alias("text"), F.lit(header).alias("header"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+    rows = F.array(F.array(cell(F.lit("Name"), True), cell(F.lit("No"), True)), F.array(cell(p, False), cell(s, False)))
+    elements = e.select(
+        "doc_id", "page", "ord", kind.alias("type"), text.alias("text"), F.lit("markdown").alias("text_format"), F.when(k == 1, (1 + F.col("p") % 3).cast("int")).alias("level"), F.when((k == 1) & (kind == "heading"), "pass").alias("level_signal"),
+        F.when((k == 7) & (F.col("p") % 2 == 0), "footnote-marker").alias("role_signal"), F.when((k == 6) & (F.col("s") % 2 == 0), "tatr").alias("signal"), F.when(k == 6, rows).alias("rows"), F.when(k == 4, F.concat(F.lit("assets/"), p, F.lit(".png"))).alias("asset"),
+    )
+    to = lambda name, target, signal=None: F.struct(F.lit(name).alias("type"), target.alias("target"), (F.lit("rule") if signal is None else signal).alias("signal"))
+    at = F.col("ord")
+    rel = (
+        F.when(k == 3, to("continues_from", at - 1, F.when(F.col("s") % 2 == 0, "continuation-column").otherwise("continuation-page"))).when(part, to("continues_from", at - 2, F.lit("continuation-column")))
+        .when(k == 5, to("caption_of", at - 1)).when(k == 6, to("continues_table", F.max(F.when(k == 6, at)).over(w.rowsBetween(P.Window.unboundedPreceding, -1)))).when(k == 7, to("footnote_for", at - 5, F.lit("footnote-marker")))
+    )
+    relations = e.select("doc_id", at.alias("source"), rel.alias("r")).where("r.target IS NOT NULL").select("doc_id", "r.type", "source", "r.target", "r.signal")
+    return elements, relations
+
+
+@query(_UNITS.format(header="'## Part ' || p1 || chr(10) || ' two'", reader="false"))
+def document_markdown(spark, sf_dir):
+    """Every customer's document as Markdown, with its relations written out."""
+    return U.document_markdown(*_related(spark, sf_dir), assets=True)
+
+
+@query(_UNITS.format(header="NULL", reader="true"))
+def reader_edition(spark, sf_dir):
+    """The same without page furniture and repeated header rows."""
+    return U.document_markdown(*_related(spark, sf_dir), reader=True, assets=True)
