@@ -740,21 +740,3 @@ def test_chunk_encoder_with_a_full_memo(monkeypatch):
     for at, some in encoding.grouped(texts):
         for text, ids in zip(some, enc.encode(some), strict=True):
             assert ids == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
-
-
-def test_near_duplicates_in_a_group_of_thousands(spark):
-    """Copies of a text that are near it but not each other, beside texts that share a passage with it and are near none."""
-    from foliospark.llm import shingles
-
-    rng = np.random.default_rng(5)
-    base = [f"w{k}" for k in rng.integers(0, 5000, 60)]
-    texts = [" ".join(base)]
-    for k in range(2000):
-        words = list(base)
-        words[int(rng.integers(5, 55))] = f"x{k}"
-        texts.append(" ".join(words))
-    own = [[f"y{k}n{i}" for i in range(50)] for k in range(300)]
-    texts += [" ".join(base[:20] + w) for w in own] + [" ".join(base[:20] + w[:-1]) for w in own[:50]]
-    want = {0, *range(2001, 2301)}
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(9)
-    assert {r.doc_id for r in shingles.representatives(df, block=64).collect()} == want
