@@ -693,8 +693,8 @@ def brute_set(text):
     return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_near_duplicates_by_jaccard(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(512, 1_000_000), (7, 1_000_000), (7, 3)])
+def test_near_duplicates_by_jaccard(spark, block, few):
     from foliospark.llm import shingles
 
     rng = np.random.default_rng(3)
@@ -723,7 +723,8 @@ def test_near_duplicates_by_jaccard(spark, block):
                 far += (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3
     want = {i for i in range(len(texts)) if find(i) == i}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id for r in shingles.representatives(df, block=block).collect()} == want
+    got = [r.doc_id for r in shingles.representatives(df.union(df.where("doc_id % 3 = 0")), block=block, few=few).collect()]
+    assert set(got) == want and len(got) == len(want)
     assert far > 50 and 20 < len(want) < len(texts) - 20
 
 
