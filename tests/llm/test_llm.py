@@ -728,6 +728,37 @@ def test_near_duplicates_by_jaccard(spark, block, few):
     assert far > 50 and 20 < len(want) < len(texts) - 20
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_ship_texts_that_may_be_near(spark, monkeypatch, block):
+    """Texts that share shingles, so that they form a coarse group, but are not near each other are told apart by their fingerprints."""
+    from foliospark.llm import shingles
+
+    rng, asked, told = np.random.default_rng(5), [], shingles._told
+    monkeypatch.setattr(shingles, "_told", lambda rows, key, keys, few: asked.append(keys.count()) or told(rows, key, keys, few))
+    monkeypatch.setattr(shingles, "_common", lambda docs, width: np.zeros(0, np.uint64))  # shared shingles are not put last
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join([passage, *(f"w{k}" for k in rng.integers(0, 90_000, 60 + i % 50))]) for i in range(150)]
+    texts += [texts[0] + " more", texts[1] + " more words", texts[1] + " some more words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in shingles.representatives(df, block=block).collect()} == set(range(150))
+    assert 5 <= asked[0] <= 25  # texts to compare, of 153 in one coarse group
+
+
+def test_prints_bound_the_difference():
+    from foliospark.llm import shingles
+
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 5, 40, 64, 65, 300, 5000, 40_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(n) < 0.95], rng.integers(0, 1 << 64, n // 20, dtype=np.uint64)])
+        if len(b) * 5 < n * 4:
+            continue
+        power = min(shingles._buckets(len(a)), shingles._buckets(len(b)))
+        assert abs(shingles._buckets(len(a)) - shingles._buckets(len(b))) <= 1
+        x, y = (np.frombuffer(shingles._print(s, power), np.uint8) for s in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_chunk_encoder_with_a_full_memo(monkeypatch):
     from foliospark.llm import encoding
 
