@@ -118,3 +118,24 @@ def test_canonical(spark):
     rows = [(1, 1, "harbour walls"), (1, 2, "harbour wall"), (1, 3, "boards")]
     got = Y.canonical(spark.createDataFrame(rows, "doc_id int, rank int, key string")).select("key", "rank").orderBy("rank").collect()
     assert [tuple(r) for r in got] == [("harbour wall", 1), ("board", 3)]
+
+
+def test_only_texts_are_shuffled(spark):
+    """What is counted within a document is counted where its text was dealt to."""
+    import re as regex
+
+    docs = spark.createDataFrame([(k, f"# Harbour walls\n\nThe walls number {k} of harbours. Walls of harbours!") for k in range(40)], "doc_id long, text string")
+    for df in (K.ngrams(docs), K.frequency(docs, min_text=1), K.prominent(docs, min_text=1), K.drop_subsumed(K.frequency(docs, min_text=1).drop("score")), Y.term_features(docs), Y.statistical(docs)):
+        dealt = regex.findall(r"Exchange hashpartitioning\((.*?)\), (\w+)", df._jdf.queryExecution().executedPlan().toString())
+        assert dealt and all(by.startswith("doc_id#") and by.count("#") == 1 and how == "REPARTITION_BY_NUM" for by, how in dealt), dealt
+        assert df.count() > 0
+
+
+def test_stemmed_words(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.functions import text as T
+
+    texts = ["Walls' walls -boxes x_abcs _dogs 'cats ties cities gases buses classes dress Basis os ios xs as2s 3s bieses ies aies \u00c4ngstes dishes churches quizzes men's \u2019tis \u2019dogs houses--cats", "", "s es ses axes \u0130les\u0130es"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.stemmed_words(F.col("t")).alias("a"), F.transform(T.words(F.col("t")), T.s_stem).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len(got[0].a) > 25, got
