@@ -97,7 +97,16 @@ def _emphasis(gold: pd.Series, output: pd.Series) -> pd.DataFrame:
     def one(a: str, b: str) -> tuple[int, int, int, int]:
         wanted = [(w, e, bool(re.match(r" {0,3}#{1,6}\s", x))) for x in blocks(a) for w, e in tokens_of(x)]
         got = tokens_of(b or "")
-        met = [(wanted[i][1], got[j][1]) for i, j in enumerate(align_tokens([w for w, _, _ in wanted], [w for w, _ in got])) if j >= 0 and not wanted[i][2]]
+        partner = align_tokens([w for w, _, _ in wanted], [w for w, _ in got])
+        # an output's token outside its headings that met a heading is given back to a text that has no partner
+        titled = [bool(re.match(r" {0,3}#{1,6}\s", x)) for x in blocks(b) for _ in tokens_of(x)]
+        rest = [i for i, j in enumerate(partner) if j < 0 and not wanted[i][2]]
+        spare = sorted(j for i, j in enumerate(partner) if j >= 0 and wanted[i][2] and not (len(titled) == len(got) and titled[j]))
+        if rest and spare:
+            for k, j in enumerate(align_tokens([wanted[i][0] for i in rest], [got[j][0] for j in spare])):
+                if j >= 0:
+                    partner[rest[k]] = spare[j]
+        met = [(wanted[i][1], got[j][1]) for i, j in enumerate(partner) if j >= 0 and not wanted[i][2]]
         return len(met), sum(x for x, _ in met), sum(y for _, y in met), sum(x and y for x, y in met)
 
     return pd.DataFrame([one(a or "", b or "") for a, b in zip(gold, output, strict=True)], columns=["aligned", "gold", "output", "both"], dtype="int64")

@@ -72,3 +72,11 @@ def test_emphasis_scores(spark):
     assert got == {"a": (4, 3, 3, 2, 0.666667, 0.666667), "none": (2, 0, 0, 0, None, None), "null": (0, 0, 0, 0, None, None), "apart": (6, 3, 1, 1, 0.333333, 1.0)}
     tokens = spark.createDataFrame([("a **b**",), (None,)], "t string").select(G.emphasis_tokens(G.F.col("t")).alias("x")).collect()
     assert [[tuple(y) for y in r.x] if r.x else None for r in tokens] == [[("a", False), ("b", True)], None]
+
+
+def test_emphasis_of_a_word_that_is_in_the_heading_too(spark):
+    from foliospark.sources import gold as G
+
+    rows = [(1, "# A heading\n\n**A**", "<em>A</em>."), (2, "# A heading\n\n**B**", "# A heading\n\nC"), (3, "# A heading\n\n**A**", "# A heading")]
+    got = {r.id: (r.aligned, r.gold, r.output, r.both) for r in G.emphasis_scores(spark.createDataFrame(rows, "id int, gold string, output string")).collect()}
+    assert got == {1: (1, 1, 1, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)}
