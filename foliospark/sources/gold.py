@@ -99,8 +99,8 @@ def _emphasis(gold: pd.Series, output: pd.Series) -> pd.DataFrame:
         got = tokens_of(b or "")
         partner = align_tokens([w for w, _, _ in wanted], [w for w, _ in got])
         # an output's token outside its headings that met a heading is given back to a text that has no partner
-        titled = [bool(re.match(r" {0,3}#{1,6}\s", x)) for x in blocks(b) for _ in tokens_of(x)]
         rest = [i for i, j in enumerate(partner) if j < 0 and not wanted[i][2]]
+        titled = [bool(re.match(r" {0,3}#{1,6}\s", x)) for x in blocks(b) for _ in tokens_of(x)] if rest else []
         spare = sorted(j for i, j in enumerate(partner) if j >= 0 and wanted[i][2] and not (len(titled) == len(got) and titled[j]))
         if rest and spare:
             for k, j in enumerate(align_tokens([wanted[i][0] for i in rest], [got[j][0] for j in spare])):
