@@ -759,6 +759,45 @@ def test_prints_bound_the_difference():
         assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("rows", [10_000, 7])
+def test_meetings_by_chance_make_no_pairs(rows):
+    """Sets that share a shingle only are told apart where they meet; near ones, also in chains and across sizes of sketches, stay connected."""
+    import pyarrow as pa
+
+    from foliospark.llm import shingles
+
+    rng = np.random.default_rng(17)
+    some = lambda n: np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    near, chance, entries = [], [], []
+    for n in (30, 120, 380, 410, 790, 830, 1580, 1650):
+        base, shared = some(n), rng.integers(0, 1 << 64, 1, dtype=np.uint64)
+        near.append([np.unique(np.r_[base[rng.random(len(base)) < 0.97], some(n // 50)]) for _ in range(40 if n == 120 else 5)])
+        chance += [[np.r_[some(n), shared] for _ in range(20)]]
+    for key, group in enumerate(near + chance):  # all sets of a group meet under one key
+        rows_of = sorted((len(s), shingles._name(s), shingles._sketch(s)) for s in group)
+        entries += [(key, *row) for row in rows_of for _ in range(2)]
+    cols = [pa.array(x, t) for x, t in zip(zip(*entries, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+    batch = pa.RecordBatch.from_arrays(cols, names=["key", "n", "fp", "sketch"])
+    pairs = [tuple(p) for b in shingles._meetings(iter(batch.slice(k, rows) for k in range(0, len(entries), rows))) for p in zip(*b.to_pydict().values(), strict=True)]
+    root = {row[2]: row[2] for row in entries}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    for group in near:
+        for x in group:
+            for y in group:
+                same = len(np.intersect1d(x, y))
+                assert same * 9 < 4 * (len(x) + len(y)) or find(shingles._name(x)) == find(shingles._name(y))
+    own = {shingles._name(s) for group in chance for s in group}
+    assert sum(a in own for a, _ in pairs) < 0.02 * 8 * 190
+    assert len(pairs) < 200
+
+
 def test_chunk_encoder_with_a_full_memo(monkeypatch):
     from foliospark.llm import encoding
 
