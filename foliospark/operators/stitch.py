@@ -8,6 +8,8 @@ from ..functions import text as T
 from .graph import components, written
 
 PAGE = ["doc_id", "page"]
+#: Pairs of neighbours up to which a page's tables are found within its row; pages with more are contracted over tables.
+FOLDED = 200
 #: A cell has at most so many words a line (median) and so much of the text's width; neighbours are at most GAP of it apart,
 #: and ALIGNED of the shorter one's lines lie in a row with one of the other.
 CELL_WORDS, CELL_WIDTH, GAP, ALIGNED, HEIGHTS, EDGE = 4, 0.40, 0.20, 0.6, 1.6, 0.9
@@ -44,23 +46,25 @@ def neighbours(found: DataFrame) -> DataFrame:
     """Pairs (doc_id, page, a, b) of cells beside each other whose lines are in rows.
 
     Cells meet by buckets: a step across is the widest gap, so a left cell's right edge and a right cell's left edge are
-    in one or in following buckets, and a step down is the page's mean height of a cell, so a cell is in about two.
+    in one or in following buckets, and a step down is the page's mean height of a cell, so a cell is in about two. A pair
+    counts in the first step that both are in, so each is looked at once.
     """
     cells = found.where("cell")
     band = cells.groupBy(*PAGE).agg(F.greatest(F.avg(F.col("y1") - F.col("y0")), F.lit(1e-6)).alias("band"))
     cells = cells.join(band, PAGE).withColumn("across", GAP * F.col("width"))
     step = lambda x, by: F.floor(F.col(x) / F.col(by))
     cells = cells.withColumn("down", F.explode(F.sequence(step("y0", "band"), step("y1", "band"))))
-    kept = ["block", "x0", "y0", "x1", "y1", "lines"]
+    cells = cells.withColumn("step", step("y0", "band"))
+    kept = ["block", "x0", "y0", "x1", "y1", "lines", "step"]
     left = cells.select(*PAGE, "down", "width", step("x1", "across").alias("bucket"), *(F.col(c).alias(f"l_{c}") for c in kept))
     right = cells.select(*PAGE, "down", F.explode(F.array(step("x0", "across") - 1, step("x0", "across"))).alias("bucket"), *(F.col(c).alias(f"r_{c}") for c in kept))
-    met = left.join(right, [*PAGE, "down", "bucket"])
+    met = left.join(right, [*PAGE, "down", "bucket"]).where(F.col("down") == F.greatest("l_step", "r_step"))
     gap = F.col("r_x0") - F.col("l_x1")
     met = met.where((F.col("l_block") != F.col("r_block")) & (F.least("l_y1", "r_y1") > F.greatest("l_y0", "r_y0")) & (gap >= 0) & (gap / F.col("width") <= GAP))
     first = F.col("l_block") < F.col("r_block")
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
     met = met.where(_row_aligned(pick("l_lines", "r_lines"), pick("r_lines", "l_lines")))
-    return met.select(*PAGE, F.least("l_block", "r_block").alias("a"), F.greatest("l_block", "r_block").alias("b")).distinct()
+    return met.select(*PAGE, F.least("l_block", "r_block").alias("a"), F.greatest("l_block", "r_block").alias("b"))
 
 
 def rows_within(lines: Column, reach: Column) -> Column:
@@ -108,13 +112,35 @@ def references(words: DataFrame, regions: DataFrame) -> DataFrame:
     return missed.join(text, PAGE, "left").select(*PAGE, F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"), "missed")
 
 
+def _tables(pairs: Column) -> Column:
+    """Pairs of blocks as arrays of the blocks that they connect."""
+
+    def put(sets: Column, pair: Column) -> Column:
+        both = F.array(pair["a"], pair["b"])
+        met = F.filter(sets, lambda s: F.arrays_overlap(s, both))
+        return F.concat(F.filter(sets, lambda s: ~F.arrays_overlap(s, both)), F.array(F.array_distinct(F.concat(F.flatten(met), both))))
+
+    return F.aggregate(pairs, F.array(F.slice(F.array(pairs[0]["a"]), 1, 0)), put)
+
+
+def firsts(pairs: DataFrame) -> DataFrame:
+    """(doc_id, page, block, first): for each block of the pairs (doc_id, page, a, b) the first one that they connect it with."""
+    paged = written(pairs.groupBy(*PAGE).agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "pairs")
+    few = paged.where(F.size("pairs") <= FOLDED).select(*PAGE, F.explode(_tables(F.col("pairs"))).alias("set"))
+    few = few.select(*PAGE, F.explode("set").alias("block"), F.array_min("set").alias("first"))
+    many = paged.where(F.size("pairs") > FOLDED)
+    if many.isEmpty():
+        return few
+    node = lambda c: F.struct(*(F.col(p).alias(p) for p in PAGE), F.col(f"x.{c}").alias("block")).alias(c)
+    of = components(many.select(*PAGE, F.explode("pairs").alias("x")).select(node("a"), node("b")))
+    return few.union(of.select("node.*", F.col("root.block").alias("first")))
+
+
 def stitched(lines: DataFrame) -> DataFrame:
     """(doc_id, page, ord, n_blocks, text): a page's blocks in their order, those of a table as one at its first block's place,
     read row by row; other blocks line by line."""
     found = written(blocks(lines), "blocks")
-    node = lambda c: F.struct(*(F.col(p).alias(p) for p in PAGE), F.col(c).alias("block"))
-    of = components(neighbours(found).select(node("a").alias("a"), node("b").alias("b")))
-    of = of.select("node.*", F.col("root.block").alias("first"))
+    of = firsts(neighbours(found))
     grouped = found.join(of, [*PAGE, "block"], "left").withColumn("first", F.coalesce("first", "block")).groupBy(*PAGE, "first")
     made = grouped.agg(F.count("*").alias("n_blocks"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "lines"))), lambda b: b["lines"])).alias("lines"))
     as_table = F.array_join(F.transform(table_rows(F.col("lines")), lambda r: F.array_join(r, " ")), "\n")
