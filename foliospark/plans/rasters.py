@@ -31,6 +31,9 @@ def scanner_bands(spark, sf_dir):
     return R.band_boxes(bars.select("page_id", F.unhex(drawn).alias("grey"), F.lit(60).alias("width"), F.lit(90).alias("height")).repartition("page_id"))
 
 
+#: Pages that one task draws.
+DRAWN = 500
+
 # A page of 96 by 80 pixels for each supplier: lines of four rows on a paper with grain, and as many specks as its key tells between them.
 _PAGES = "SELECT s_suppkey AS page_id, s_suppkey % 20 AS n_specks, 20 + s_suppkey % 40 AS dark, 190 + s_suppkey % 31 AS light FROM supplier"
 _GREY = "CASE WHEN y % 16 BETWEEN 4 AND 7 THEN dark WHEN x % 6 <= page_id % 2 AND y % 16 = 12 AND CAST(floor(x / 6) AS BIGINT) + 16 * CAST(floor(y / 16) AS BIGINT) < n_specks THEN dark + 5 ELSE light + (x * page_id + y) % 11 END"
@@ -40,7 +43,8 @@ _PIXELS = f"p AS (SELECT page_id, n_specks, x, y, {_GREY} AS g FROM ({_PAGES}) C
 def _drawn(spark, sf_dir):
     pages = made(spark, sf_dir, _PAGES)
     rows = F.expr(f"array_join(flatten(transform(sequence(0, 79), y -> transform(sequence(0, 95), x -> lpad(hex({_GREY}), 2, '0')))), '')")
-    # drawing is dealt over all cores; a function in Python takes no lambda as its input, so it may not be drawn within one
+    # keys are dealt before they are drawn, in tasks of about DRAWN pages; a function in Python takes no lambda as its input, so the drawing ends in a shuffle
+    pages = pages.repartition(max(spark.sparkContext.defaultParallelism, -(-pages.count() // DRAWN)), "page_id")
     return pages.select("page_id", F.unhex(rows).alias("grey"), F.lit(96).alias("width"), F.lit(80).alias("height")).repartition("page_id")
 
 
