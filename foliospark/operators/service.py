@@ -141,12 +141,17 @@ def probe_kind(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.when(scan & text, "mixed").when(scan, "scan").otherwise("text").alias("kind"))
 
 
+#: Requests, about, that one task asks for.
+ASKED = 150_000
+
+
 def ladder(requests: DataFrame, *engines: DataFrame) -> DataFrame:
     """Requests (id) with the first engine's (id, text or null for a failure) that has a text: each engine gets what all
-    before it failed on. ``engine`` is its number from 1, null where all failed."""
-    left, out = requests.select("id"), None
+    before it failed on. ``engine`` is its number from 1, null where all failed. All are dealt by id to tasks of about ASKED requests."""
+    parts = max(requests.sparkSession.sparkContext.defaultParallelism, -(-requests.count() // ASKED))
+    left, out = requests.select("id").repartition(parts, "id"), None
     for n, engine in enumerate(engines, 1):
-        good = engine.where("text IS NOT NULL").select("id", "text")
+        good = engine.where("text IS NOT NULL").select("id", "text").repartition(parts, "id")
         got = left.join(good, "id").withColumn("engine", F.lit(n))
         out = got if out is None else out.union(got)
         left = left.join(good, "id", "left_anti")

@@ -99,17 +99,18 @@ def references(words: DataFrame, regions: DataFrame) -> DataFrame:
 
     ``words``: doc_id, page, word, x0, y0, x1, y1, text; ``regions``: doc_id, page, region, width, height (of the page) and x0,
     y0, x1, y1 as shares of it. A word belongs to the first region that holds its centre, upper and left edge included; words
-    that none holds are missed.
+    that none holds are missed. A page's regions meet each of its words in one row.
     """
     box = regions.select(*PAGE, "region", *((F.col(c) * F.col(side)).alias(f"r_{c}") for c, side in (("x0", "width"), ("y0", "height"), ("x1", "width"), ("y1", "height"))))
     centred = words.select(*PAGE, "word", "x0", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
-    held = centred.join(box, PAGE).where("cx >= r_x0 AND cx < r_x1 AND centre >= r_y0 AND centre < r_y1").groupBy(*PAGE, "word").agg(F.min("region").alias("region"))
-    own = centred.join(held, [*PAGE, "word"], "left")
-    missed = own.groupBy(*PAGE).agg(F.count_if(F.col("region").isNull()).alias("missed"))
-    part = own.where("region IS NOT NULL").groupBy(*PAGE, "region").agg(F.sort_array(F.collect_list(F.struct("centre", "x0", "text"))).alias("lines"))
+    drawn = box.groupBy(*PAGE).agg(F.collect_list(F.struct("region", "r_x0", "r_y0", "r_x1", "r_y1")).alias("drawn"))
+    holds = lambda r: (F.col("cx") >= r["r_x0"]) & (F.col("cx") < r["r_x1"]) & (F.col("centre") >= r["r_y0"]) & (F.col("centre") < r["r_y1"])
+    own = centred.join(drawn, PAGE, "left").withColumn("region", F.array_min(F.transform(F.filter("drawn", holds), lambda r: r["region"]))).drop("drawn")
+    part = own.groupBy(*PAGE, "region").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("region").isNotNull(), F.struct("centre", "x0", "text")))).alias("lines"))
     part = part.withColumn("text", F.array_join(F.transform(rows_within(F.col("lines"), F.lit(LINE_REACH)), lambda r: F.array_join(r, " ")), "\n"))
-    text = part.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("region", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return missed.join(text, PAGE, "left").select(*PAGE, F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"), "missed")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("region").isNotNull(), F.struct("region", "text")))), lambda x: x["text"]), "\n")
+    made = part.groupBy(*PAGE).agg(F.coalesce(F.sum(F.when(F.col("region").isNull(), F.col("n"))), F.lit(0)).alias("missed"), text.alias("text"))
+    return made.select(*PAGE, F.concat("text", F.lit("\n")).alias("text"), "missed")
 
 
 def _tables(pairs: Column) -> Column:
@@ -155,21 +156,27 @@ def spliced(words: DataFrame, tables: DataFrame) -> DataFrame:
     ``words``: doc_id, page, elem, line, word, y0, y1, text, table (what claims it, or null); ``tables``: doc_id, page, table,
     y0, text. A line keeps the words that no table took, and goes if there are none. A table stands where the first element
     is that it took from; what is left of an element whose centre is above its tables' top comes before them, the rest after.
-    Each word is in one place, and those left keep their order.
+    Each word is in one place, and those left keep their order. Words are summed up within their page alone.
     """
-    line = [*PAGE, "elem", "line"]
-    taken = words.where("table IS NOT NULL")
-    hits = taken.groupBy(*PAGE, "elem", "table").agg(F.min(F.struct("line", "word")).alias("at"))
-    top = hits.join(tables, [*PAGE, "table"]).groupBy(*PAGE, "elem").agg(F.min("y0").alias("top"))
-    left = words.where("table IS NULL").groupBy(*line).agg(
-        F.min("y0").alias("low"), F.max("y1").alias("high"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ").alias("text")
+    free = F.col("table").isNull()
+    line = words.groupBy(*PAGE, "elem", "line").agg(
+        F.min(F.when(free, F.col("y0"))).alias("low"), F.max(F.when(free, F.col("y1"))).alias("high"), F.sort_array(F.collect_list(F.when(free, F.struct("word", "text")))).alias("left"),
+        F.collect_list(F.when(~free, F.struct("table", "line", "word"))).alias("hits"),
     )
-    left = left.join(top, [*PAGE, "elem"], "left").withColumn("part", F.when(F.col("top").isNull() | ((F.col("low") + F.col("high")) / 2 < F.col("top")), 0).otherwise(2))
-    kept = left.groupBy(*PAGE, "elem", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda l: l["text"]), "\n").alias("text"))
-    place = Window.partitionBy(*PAGE, "table").orderBy("elem")
-    put = hits.withColumn("k", F.row_number().over(place)).where("k = 1").join(tables.select(*PAGE, "table", "text"), [*PAGE, "table"])
-    none = F.lit(None).cast(dict(tables.dtypes)["table"])
-    parts = kept.select(*PAGE, "elem", "part", F.lit(None).cast(hits.schema["at"].dataType).alias("at"), F.lit("text").alias("kind"), none.alias("table"), "text")
-    parts = parts.union(put.select(*PAGE, "elem", F.lit(1), "at", F.lit("table"), "table", "text"))
+    left = F.when(F.size("left") > 0, F.struct("line", ((F.col("low") + F.col("high")) / 2).alias("centre"), F.array_join(F.transform("left", lambda w: w["text"]), " ").alias("text")))
+    elems = line.groupBy(*PAGE, "elem").agg(F.sort_array(F.collect_list(left)).alias("lines"), F.flatten(F.collect_list("hits")).alias("hits"))
+    here = tables.groupBy(*PAGE).agg(F.collect_list(F.struct("table", "y0", "text")).alias("tables"))
+    met = F.filter(F.col("tables"), lambda t: F.exists("hits", lambda h: h["table"] == t["table"]))
+    elems = elems.join(here, PAGE, "left").withColumn("tables", F.coalesce(met, F.slice("tables", 1, 0))).withColumn("top", F.array_min(F.transform("tables", lambda t: t["y0"])))
+    above = lambda l: F.col("top").isNull() | F.coalesce(l["centre"] < F.col("top"), F.lit(False))
+    none, at = F.lit(None).cast(dict(tables.dtypes)["table"]), F.struct(F.col("hits")[0]["line"].alias("line"), F.col("hits")[0]["word"].alias("word"))
+    piece = lambda part, at, kind, table, text: F.struct(F.lit(part).alias("part"), at.alias("at"), F.lit(kind).alias("kind"), table.alias("table"), text.alias("text"))
+    no_at = F.when(F.lit(False), at)
+    kept = lambda part, own: F.transform(F.filter(F.array(F.filter("lines", own)), lambda ls: F.size(ls) > 0), lambda ls: piece(part, no_at, "text", none, F.array_join(F.transform(ls, lambda l: l["text"]), "\n")))
+    first = lambda t: F.array_min(F.transform(F.filter("hits", lambda h: h["table"] == t["table"]), lambda h: F.struct(h["line"].alias("line"), h["word"].alias("word"))))
+    put = F.transform(F.coalesce("tables", F.array().cast(elems.schema["tables"].dataType)), lambda t: piece(1, first(t), "table", t["table"], t["text"]))
+    parts = elems.select(*PAGE, "elem", F.explode(F.concat(kept(0, above), put, kept(2, lambda l: ~above(l)))).alias("p")).select(*PAGE, "elem", "p.*")
+    # a table stands in the first of its elements
+    parts = parts.withColumn("first", F.min("elem").over(Window.partitionBy(*PAGE, "table"))).where("part <> 1 OR elem = first")
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("elem", "part", "at"))
     return parts.select(*PAGE, order.alias("ord"), "kind", "elem", "table", "text")

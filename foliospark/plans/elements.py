@@ -13,13 +13,24 @@ from . import queries as Q
 from .queries import TABLES, query, read
 
 
-def made(spark, sf_dir, sql):
-    """The rows of a plain SELECT over the driver's tables."""
+#: Rows of a table, about, that one task takes where they are dealt.
+DEALT = 150_000
+
+
+def dealt(table, *keys, rows=None):
+    """Rows dealt by their keys to as many tasks as the table's size asks for; windows and sums within the keys shuffle nothing more."""
+    n = table.count() if rows is None else rows
+    return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT)), *keys)
+
+
+def made(spark, sf_dir, sql, by=None):
+    """The rows of a plain SELECT over the driver's tables, some dealt (``by``: table to key)."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
     quoted = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         quoted = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", quoted)
-    return spark.sql(quoted, **{t: read(spark, sf_dir, t) for t in used})
+    tables = {t: read(spark, sf_dir, t) for t in used}
+    return spark.sql(quoted, **{t: dealt(df, by[t]) if by and t in by else df for t, df in tables.items()})
 
 
 _ELEMENTS = """SELECT p_partkey % 50 AS doc_id, CAST(floor(p_partkey / 100) AS BIGINT) AS page, p_partkey AS ord,

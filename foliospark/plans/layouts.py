@@ -45,7 +45,7 @@ _WORDS = f"""SELECT l_orderkey AS doc_id, 1 AS page, CAST(floor((l_linenumber -
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY elem, part, spot) AS INTEGER) AS ord, CASE part WHEN 1 THEN 'table' ELSE 'text' END AS kind, elem, CAST(claimed AS INTEGER) AS claimed, text FROM p""")
 def spliced_tables(spark, sf_dir):
     """Tables put in the place of the words that they claim, in every order's page."""
-    words = made(spark, sf_dir, _WORDS + " LATERAL VIEW explode(array(1, 2, 3)) u AS w").withColumnRenamed("claimed", "table")
+    words = made(spark, sf_dir, _WORDS + " LATERAL VIEW explode(array(1, 2, 3)) u AS w", {"lineitem": "l_orderkey"}).withColumnRenamed("claimed", "table")
     tables = words.where("table IS NOT NULL").groupBy("doc_id", "page", "table").agg(F.min("y0").alias("y0")).withColumn("text", F.concat(F.lit("table "), "table"))
     return S.spliced(words, tables).select("doc_id", "ord", "kind", "elem", F.col("table").alias("claimed"), "text")
 
@@ -102,7 +102,7 @@ _PRINTED = f"""SELECT l_orderkey AS doc_id, 1 AS page, 3 * l_linenumber + w AS w
     SELECT l_orderkey AS doc_id, concat(coalesce(string_agg(p, chr(10) ORDER BY n) FILTER (n <= 4), ''), chr(10), string_agg(CASE WHEN n <= 4 THEN s ELSE concat(p, ' ', s) END, chr(10) ORDER BY n), chr(10)) AS text, count(*) AS missed FROM i GROUP BY l_orderkey""")
 def reference_texts(spark, sf_dir):
     """Reference texts of every order's page, each word claimed by the first region that holds it."""
-    words = made(spark, sf_dir, _PRINTED + " LATERAL VIEW explode(array(1, 2, 3)) u AS w").withColumn("x1", F.col("x0") + 20).withColumn("y1", F.col("y0") + 8)
+    words = made(spark, sf_dir, _PRINTED + " LATERAL VIEW explode(array(1, 2, 3)) u AS w", {"lineitem": "l_orderkey"}).withColumn("x1", F.col("x0") + 20).withColumn("y1", F.col("y0") + 8)
     pages = words.select("doc_id", "page").distinct()
     boxes = F.array(*(F.struct(F.lit(k).alias("region"), *(F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), at, strict=True))) for k, at in ((1, (0.0, 0.0, 0.25, 0.0005)), (2, (0.0, 0.0, 0.5, 1.0)))))
     regions = pages.withColumn("r", F.explode(boxes)).select("doc_id", "page", "r.*", F.lit(200.0).alias("width"), F.lit(100_000.0).alias("height"))
