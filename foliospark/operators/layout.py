@@ -145,21 +145,23 @@ def table_cells(words: DataFrame, bands: DataFrame) -> DataFrame:
 
     ``words`` are (doc_id, page, ord, text, box); ``bands`` are (doc_id, page, table, kind, n, box) with the kinds
     table, row and column. A word belongs to the first table that holds its centre; its row and column are the bands
-    that overlap it most, or else the nearest by centre.
+    that overlap it most, or else the nearest by centre. A page's bands meet each of its words in one row, so words are
+    shuffled once, and not at all where both are dealt by document.
     """
     key = ["doc_id", "page"]
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("table", "n", F.col("box.x0").alias("x0"), F.col("box.y0").alias("y0"), F.col("box.x1").alias("x1"), F.col("box.y1").alias("y1"))))
+    drawn = bands.groupBy(*key).agg(of("table").alias("tables"), of("row").alias("rows"), of("column").alias("columns"))
     cx, cy = (F.col("box.x0") + F.col("box.x1")) / 2, (F.col("box.y0") + F.col("box.y1")) / 2
-    boxes = bands.where("kind = 'table'").select(*key, "table", F.col("box").alias("t"))
-    own = words.join(boxes, key).where(cx.between(F.col("t.x0"), F.col("t.x1")) & cy.between(F.col("t.y0"), F.col("t.y1")))
-    own = own.withColumn("k", F.row_number().over(Window.partitionBy(*key, "ord").orderBy("table"))).where("k = 1").drop("k", "t")
+    holds = lambda t: cx.between(t["x0"], t["x1"]) & cy.between(t["y0"], t["y1"])
+    own = words.join(drawn, key).withColumn("table", F.array_min(F.transform(F.filter("tables", holds), lambda t: t["table"])))
 
-    def best(kind: str, a: str, b: str, name: str) -> DataFrame:
-        of = bands.where(F.col("kind") == kind).select(*key, "table", F.col("n").alias(name), F.col(f"box.{a}").alias("lo"), F.col(f"box.{b}").alias("hi"))
-        met = own.select(*key, "table", "ord", F.col(f"box.{a}").alias("a"), F.col(f"box.{b}").alias("b")).join(of, [*key, "table"])
-        overlap = F.greatest(F.least("b", "hi") - F.greatest("a", "lo"), F.lit(0.0))
-        return met.groupBy(*key, "ord").agg(F.min_by(name, F.struct(-overlap, F.abs(F.col("a") + F.col("b") - F.col("lo") - F.col("hi")), name)).alias(name))
+    def best(bands: str, a: str, b: str) -> Column:
+        lo, hi = F.col(f"box.{a}"), F.col(f"box.{b}")
+        overlap = lambda x: F.greatest(F.least(hi, x[b]) - F.greatest(lo, x[a]), F.lit(0.0))
+        rank = lambda x: F.struct((-overlap(x)).alias("o"), F.abs(lo + hi - x[a] - x[b]).alias("d"), x["n"].alias("n"))
+        return F.array_min(F.transform(F.filter(bands, lambda x: x["table"] == F.col("table")), rank))["n"]
 
-    placed = own.join(best("row", "y0", "y1", "row"), [*key, "ord"]).join(best("column", "x0", "x1", "col"), [*key, "ord"])
+    placed = own.select(*key, "table", best("rows", "y0", "y1").alias("row"), best("columns", "x0", "x1").alias("col"), "ord", "text", "box").where("row IS NOT NULL AND col IS NOT NULL")
     inside = F.array_sort(F.collect_list(F.struct(F.round("box.y0").alias("y"), F.col("box.x0").alias("x"), "ord", "text")))
     return placed.groupBy(*key, "table", "row", "col").agg(F.array_join(F.transform(inside, lambda w: w["text"]), " ").alias("text"), F.count("*").alias("n_words"))
 
@@ -168,7 +170,7 @@ def tabular(cells: DataFrame, most: float = 2.5) -> DataFrame:
     """(doc_id, page, table, n_rows, n_cols, filled, mean_words, numeric_share): tables of at least two rows and columns
     with at most ``most`` words a filled cell."""
     found = cells.groupBy("doc_id", "page", "table").agg(
-        F.countDistinct("row").alias("n_rows"), F.countDistinct("col").alias("n_cols"), F.count("*").alias("filled"), F.round(F.avg("n_words"), 4).alias("mean_words"),
+        F.size(F.collect_set("row")).cast("long").alias("n_rows"), F.size(F.collect_set("col")).cast("long").alias("n_cols"), F.count("*").alias("filled"), F.round(F.avg("n_words"), 4).alias("mean_words"),
         F.round(F.avg(F.col("text").rlike(r"^[\s(+\-–$€£]*[0-9][0-9.,\s%)]*$").cast("int")), 4).alias("numeric_share"),
     )
     return found.where((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("mean_words") <= most))

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as T, tokens as K
 from ..operators import align, chapters, layout
 from ..streaming import monitor, windows
+from .elements import dealt
 from .queries import query, read
 
 _BARE = "regexp_replace(text, '[#`~]+', '', 'g')"
@@ -47,15 +48,14 @@ def tabular_orders(spark, sf_dir):
     def box(*sides):
         return F.struct(*(F.lit(s).cast("double").alias(n) if isinstance(s, int) else s.cast("double").alias(n) for s, n in zip(sides, ("x0", "y0", "x1", "y1"), strict=True)))
 
-    item = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("r"), "l_returnflag", "l_linestatus").dropDuplicates(["doc_id", "r"])
+    item = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("r"), "l_returnflag", "l_linestatus").dropDuplicates(["doc_id", "r"]).withColumn("page", F.lit(1))
     top = F.col("r") * 20
     texts = F.array(F.struct(F.lit(0).alias("c"), F.col("l_returnflag").alias("text")), F.struct(F.lit(1).alias("c"), F.col("l_linestatus").alias("text")))
     words = item.withColumn("w", F.explode(texts)).select("doc_id", "page", (F.col("r") * 2 + F.col("w.c")).alias("ord"), "w.text", box(F.col("w.c") * 50 + 5, top + 5, F.col("w.c") * 50 + 20, top + 15).alias("box"))
-    key = item.select("doc_id", "page", F.lit(0).alias("table"))
-    once = key.distinct()
-    bands = item.select("doc_id", "page", F.lit(0).alias("table"), F.lit("row").alias("kind"), F.col("r").alias("n"), box(0, top, 100, top + 20).alias("box"))
-    for kind, n, sides in (("table", 0, (0, 0, 100, 100_000)), ("column", 0, (0, 0, 50, 100_000)), ("column", 1, (50, 0, 100, 100_000))):
-        bands = bands.union(once.select("*", F.lit(kind), F.lit(n), box(*sides)))
+    band = lambda kind, n, b: F.struct(F.lit(0).alias("table"), F.lit(kind).alias("kind"), (F.lit(n) if isinstance(n, int) else n.cast("int")).alias("n"), b.alias("box"))
+    fixed = F.array(*(band(kind, n, box(*sides)) for kind, n, sides in (("table", 0, (0, 0, 100, 100_000)), ("column", 0, (0, 0, 50, 100_000)), ("column", 1, (50, 0, 100, 100_000)))))
+    rows = F.transform(F.collect_list("r"), lambda r: band("row", r, box(0, r * 20, 100, r * 20 + 20)))
+    bands = item.groupBy("doc_id", "page").agg(F.concat(fixed, rows).alias("b")).select("doc_id", "page", F.explode("b").alias("b")).select("doc_id", "page", "b.*")
     return layout.tabular(layout.table_cells(words, bands)).select(F.col("doc_id").alias("l_orderkey"), "n_rows", "n_cols", "filled", "mean_words", "numeric_share")
 
 
