@@ -45,21 +45,28 @@ def _heights(pages: DataFrame) -> DataFrame:
     return pages.where("height > 0").select("doc_id", "page", F.col("height").alias("_height"))
 
 
-def typed_furniture(elements: DataFrame, pages: DataFrame, band: float = 0.10, outer: float = 0.12, least: int = 3, longest: int = 120) -> DataFrame:
+def typed_furniture(elements: DataFrame, pages: DataFrame | None = None, band: float = 0.10, outer: float = 0.12, least: int = 3, longest: int = 120) -> DataFrame:
     """Elements with the types of page furniture, and ``role_signal`` where a type has changed.
 
     In the top or bottom ``band`` of a page a page number alone is one, and a text that repeats there (digits masked) on
     ``least`` pages and a quarter of them is a header or footer. On pages of Markdown so is one short line in the top band
     with a number and no sentence, unless it is bold or names a division. Furniture away from both margins is plain text.
+    Without ``pages`` the elements have the ``height`` of their page; then all is found by windows within a document.
     """
     never = ["heading", "title", "table", "figure", "caption", "footnote", "code", "equation"]
     top, bottom = F.col("bbox.y1") <= band * F.col("_height"), F.col("bbox.y0") >= (1 - band) * F.col("_height")
     outside = F.col("type").isin(*FURNITURE) & (F.col("bbox.y0") > outer * F.col("_height")) & (F.col("bbox.y1") < (1 - outer) * F.col("_height"))
-    e = elements.join(_heights(pages), ["doc_id", "page"], "left").withColumns({"_words": _words(), "_out": F.coalesce(outside, F.lit(False)), "_band": F.when(top, "header").when(bottom, "footer")})
+    e = elements.withColumn("_height", F.when(F.col("height") > 0, F.col("height"))) if pages is None else elements.join(_heights(pages), ["doc_id", "page"], "left")
+    e = e.withColumns({"_words": _words(), "_out": F.coalesce(outside, F.lit(False)), "_band": F.when(top, "header").when(bottom, "footer")})
     e = e.withColumn("_key", F.when(~F.col("_out") & ~F.col("type").isin(never) & (F.col("_words") != ""), T.furniture_key(F.col("_words"))))
-    repeats = e.where("_key IS NOT NULL AND _band IS NOT NULL").groupBy("doc_id", "_band", "_key").agg(F.countDistinct("page").alias("_on"))
-    counted = elements.where("page > 0").groupBy("doc_id").agg(F.countDistinct("page").alias("_pages"))
-    e = e.join(repeats, ["doc_id", "_band", "_key"], "left").join(counted, "doc_id", "left")
+    # distinct pages: the highest rank of a page, less that of what is none
+    same, doc = Window.partitionBy("doc_id", "_band", "_key"), Window.partitionBy("doc_id")
+    e = e.withColumn("_nth", F.dense_rank().over(same.orderBy("page")))
+    on = F.max("_nth").over(same) - F.max(F.col("page").isNull().cast("int")).over(same)
+    e = e.withColumn("_on", F.when(F.col("doc_id").isNotNull() & F.col("_key").isNotNull() & F.col("_band").isNotNull(), on))
+    e = e.withColumn("_nth", F.dense_rank().over(doc.orderBy("page")))
+    none = F.max(F.when(F.coalesce(F.col("page") > 0, F.lit(False)), 0).otherwise(F.col("_nth"))).over(doc)
+    e = e.withColumn("_pages", F.when(F.col("doc_id").isNotNull(), F.max("_nth").over(doc) - none))
     bold = F.trim("text").rlike(r"^(?:\*\*[^*]+\*\*\s*)+$")
     head = (F.col("_band") == "header") & (F.col("text_format") == "markdown") & ~F.col("_words").contains("\n") & (F.length("_words") <= longest)
     head = head & ~bold & ~F.col("_words").rlike(DIVISION) & F.col("_words").rlike("[0-9]") & ~F.col("_words").rlike(SENTENCE)
@@ -206,11 +213,15 @@ def split_notes(elements: DataFrame) -> DataFrame:
     together are exactly the block. Elements are those of pages with a text layer; pages without markers have no notes.
     """
     key = ["doc_id", "page"]
-    cites = elements.select(*key, F.col("ord").alias("target"), F.explode(F.array_distinct(markers(F.col("text")))).alias("number"))
-    cited = cites.groupBy(*key, "number").agg(F.array_sort(F.collect_list("target")).alias("cited"))
-    plain = elements.where(F.col("type").isin(*BODY, "footnote") & (F.size(markers(F.col("text"))) == 0))
-    lines = plain.select(*key, "ord", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    lines = lines.withColumn("number", F.expr("try_cast(nullif(regexp_extract(t, '" + NOTE.replace("\\", "\\\\") + "', 1), '') AS int)")).join(cited, [*key, "number"], "left")
+    starts = lambda t: F.nullif(F.regexp_extract(t, NOTE, 1), F.lit("")).try_cast("int")
+    mine = F.when(F.col("doc_id").isNotNull() & F.col("page").isNotNull(), F.array_distinct(markers(F.col("text"))))
+    cite = F.transform(mine, lambda n: F.struct(n.alias("number"), F.col("ord").alias("target"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("t")))
+    plain = F.col("type").isin(*BODY, "footnote") & (F.size(markers(F.col("text"))) == 0)
+    own = F.transform(F.when(plain, F.split("text", "\n")), lambda t, i: F.struct(starts(t).alias("number"), F.col("ord").alias("target"), i.alias("line"), t.alias("t")))
+    # citations of a number and the lines that start with it meet in one row of their page
+    each = elements.select(*key, F.explode(F.flatten(F.array_compact(F.array(cite, own)))).alias("x")).select(*key, "x.*")
+    met = each.groupBy(*key, "number").agg(F.array_sort(F.collect_list(F.when(F.col("line").isNull(), F.col("target")))).alias("cited"), F.collect_list(F.when(F.col("line").isNotNull(), F.struct(F.col("target").alias("ord"), "line", "t"))).alias("lines"))
+    lines = met.select(*key, "number", F.when(F.size("cited") > 0, F.col("cited")).alias("cited"), F.explode("lines").alias("l")).select(*key, "number", "cited", "l.*")
     block = Window.partitionBy(*key, "ord")
     known = F.when(F.col("cited").isNotNull(), F.col("number"))
     larger = F.col("number") > F.coalesce(F.max(known).over(block.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -9,7 +9,7 @@ from foliospark.plans import elements
 
 DIR = "/root/testdata/sf0.001"
 #: Shuffles of each: one for each way in which a table's rows are read.
-MOST = {"tabular_orders": 2, "reference_texts": 2, "spliced_tables": 2, "fallback_ladder": 13}
+MOST = {"tabular_orders": 2, "reference_texts": 2, "spliced_tables": 2, "fallback_ladder": 13, "furniture_types": 3, "footnotes": 3}
 
 
 @pytest.mark.parametrize("name", sorted(MOST))
