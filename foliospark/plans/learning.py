@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import keywords as K, statistical as Y
+from ..operators import keywords as K, phrases as X, statistical as Y
 from ..streaming import cache
 from .elements import made
 from .queries import query, read
@@ -35,8 +35,7 @@ def statistical_keywords(spark, sf_dir):
 @query()
 def fused_keywords(spark, sf_dir):
     """Keywords by two methods, structural frequency and the statistics of terms, fused by rank."""
-    docs = read(spark, sf_dir, "documents")
-    return K.fuse({"frequency": K.frequency(docs, 80).select("doc_id", "key", "rank"), "statistical": Y.canonical(Y.statistical(docs, 80))})
+    return X.fused(read(spark, sf_dir, "documents"), 20, 80, K.MIN_TEXT, K.MAX_WORDS, K.BONUS, K.BOUNDARY, K.STOP, Y.LEAST, Y.SIZES, K.RRF_K, whole=False)
 
 
 _READS = "SELECT CAST(user_id AS STRING) AS key, ts AS time, event_id AS seq, concat(event_type, event_id) AS value, event_type <> 'error' AS ok FROM events"
