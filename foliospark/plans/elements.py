@@ -17,10 +17,14 @@ from .queries import TABLES, query, read
 DEALT = 150_000
 
 
+def tasks(spark, rows):
+    """The tasks that so many rows are dealt to."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // DEALT))
+
+
 def dealt(table, *keys, rows=None):
     """Rows dealt by their keys to as many tasks as the table's size asks for; windows and sums within the keys shuffle nothing more."""
-    n = table.count() if rows is None else rows
-    return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT)), *keys)
+    return table.repartition(tasks(table.sparkSession, table.count() if rows is None else rows), *keys)
 
 
 def made(spark, sf_dir, sql, by=None):
