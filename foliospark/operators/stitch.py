@@ -30,41 +30,44 @@ def _row_aligned(a: Column, b: Column) -> Column:
 def blocks(lines: DataFrame) -> DataFrame:
     """Lines (doc_id, page, block, ord, x0, y0, x1, y1, text) as blocks: box, lines in order, ``cell`` if they look like a
     table's, and the width of the page's text, which lines along a scanner's edge do not count for."""
-    right = lines.groupBy(*PAGE).agg(F.max("x1").alias("right"))
-    body = lines.join(right, PAGE).withColumn("inner", F.col("x1") - F.col("x0") < EDGE * F.col("right"))
-    span = lambda c: F.max(F.when(c, F.col("x1"))) - F.min(F.when(c, F.col("x0")))
-    width = body.groupBy(*PAGE).agg(F.greatest(F.coalesce(span(F.col("inner")), span(F.lit(True))), F.lit(1.0)).alias("width"))
+    page = Window.partitionBy(*PAGE)
+    body = lines.withColumn("inner", F.col("x1") - F.col("x0") < EDGE * F.max("x1").over(page))
+    span = lambda c: F.max(F.when(c, F.col("x1"))).over(page) - F.min(F.when(c, F.col("x0"))).over(page)
+    body = body.withColumn("width", F.greatest(F.coalesce(span(F.col("inner")), span(F.lit(True))), F.lit(1.0)))
     n_words = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\S+"), F.lit(0)))
     each = F.struct("ord", "x0", "y0", "x1", "y1", "text")
-    made = lines.groupBy(*PAGE, "block").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.percentile(n_words, 0.5).alias("words"), F.sort_array(F.collect_list(each)).alias("lines")
+    made = body.groupBy(*PAGE, "block").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.percentile(n_words, 0.5).alias("words"), F.sort_array(F.collect_list(each)).alias("lines"), F.max("width").alias("width")
     )
-    return made.join(width, PAGE).withColumn("cell", (F.col("words") <= CELL_WORDS) & ((F.col("x1") - F.col("x0")) / F.col("width") <= CELL_WIDTH))
+    return made.withColumn("cell", (F.col("words") <= CELL_WORDS) & ((F.col("x1") - F.col("x0")) / F.col("width") <= CELL_WIDTH))
 
 
-def neighbours(found: DataFrame) -> DataFrame:
+def neighbours(found: DataFrame, tasks: int | None = None) -> DataFrame:
     """Pairs (doc_id, page, a, b) of cells beside each other whose lines are in rows.
 
     Cells meet by buckets: a step across is the widest gap, so a left cell's right edge and a right cell's left edge are
     in one or in following buckets, and a step down is the page's mean height of a cell, so a cell is in about two. A pair
-    counts in the first step that both are in, so each is looked at once.
+    counts in the first step that both are in, so each is looked at once. Boxes are dealt by page, to ``tasks`` tasks.
     """
-    cells = found.where("cell")
-    band = cells.groupBy(*PAGE).agg(F.greatest(F.avg(F.col("y1") - F.col("y0")), F.lit(1e-6)).alias("band"))
-    cells = cells.join(band, PAGE).withColumn("across", GAP * F.col("width"))
+    ys = F.transform("lines", lambda l: F.struct(l["y0"].alias("y0"), l["y1"].alias("y1")))
+    cells = found.where("cell").select(*PAGE, "block", "x0", "y0", "x1", "y1", "width", ys.alias("lines")).repartition(*([tasks] if tasks else []), *PAGE)
+    band = F.greatest(F.avg(F.col("y1") - F.col("y0")).over(Window.partitionBy(*PAGE)), F.lit(1e-6))
+    cells = cells.withColumns({"band": band, "across": GAP * F.col("width")})
     step = lambda x, by: F.floor(F.col(x) / F.col(by))
-    cells = cells.withColumn("down", F.explode(F.sequence(step("y0", "band"), step("y1", "band"))))
-    cells = cells.withColumn("step", step("y0", "band"))
-    kept = ["block", "x0", "y0", "x1", "y1", "lines", "step"]
-    left = cells.select(*PAGE, "down", "width", step("x1", "across").alias("bucket"), *(F.col(c).alias(f"l_{c}") for c in kept))
-    right = cells.select(*PAGE, "down", F.explode(F.array(step("x0", "across") - 1, step("x0", "across"))).alias("bucket"), *(F.col(c).alias(f"r_{c}") for c in kept))
-    met = left.join(right, [*PAGE, "down", "bucket"]).where(F.col("down") == F.greatest("l_step", "r_step"))
-    gap = F.col("r_x0") - F.col("l_x1")
-    met = met.where((F.col("l_block") != F.col("r_block")) & (F.least("l_y1", "r_y1") > F.greatest("l_y0", "r_y0")) & (gap >= 0) & (gap / F.col("width") <= GAP))
-    first = F.col("l_block") < F.col("r_block")
+    cells = cells.withColumn("step", step("y0", "band")).withColumn("down", F.explode(F.sequence("step", step("y1", "band"))))
+    at = lambda bucket, left: F.struct(bucket.alias("bucket"), F.lit(left).alias("left"))
+    places = F.array(at(step("x1", "across"), True), at(step("x0", "across") - 1, False), at(step("x0", "across"), False))
+    cell = F.struct("block", "x0", "y0", "x1", "y1", "lines", "step")
+    # all cells of a bucket meet in its row, which is made where the page was dealt to
+    met = cells.select(*PAGE, "down", "width", cell.alias("cell"), F.inline(places)).groupBy(*PAGE, "down", "bucket")
+    met = met.agg(F.max("width").alias("width"), *(F.collect_list(F.when(F.col("left") == left, F.col("cell"))).alias(name) for name, left in (("l", True), ("r", False)))).where("size(l) > 0 AND size(r) > 0")
+    met = met.withColumn("l", F.explode("l")).withColumn("r", F.explode("r")).where(F.col("down") == F.greatest("l.step", "r.step"))
+    gap = F.col("r.x0") - F.col("l.x1")
+    met = met.where((F.col("l.block") != F.col("r.block")) & (F.least("l.y1", "r.y1") > F.greatest("l.y0", "r.y0")) & (gap >= 0) & (gap / F.col("width") <= GAP))
+    first = F.col("l.block") < F.col("r.block")
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    met = met.where(_row_aligned(pick("l_lines", "r_lines"), pick("r_lines", "l_lines")))
-    return met.select(*PAGE, F.least("l_block", "r_block").alias("a"), F.greatest("l_block", "r_block").alias("b"))
+    met = met.where(_row_aligned(pick("l.lines", "r.lines"), pick("r.lines", "l.lines")))
+    return met.select(*PAGE, F.least("l.block", "r.block").alias("a"), F.greatest("l.block", "r.block").alias("b"))
 
 
 def rows_within(lines: Column, reach: Column) -> Column:
@@ -137,13 +140,17 @@ def firsts(pairs: DataFrame) -> DataFrame:
     return few.union(of.select("node.*", F.col("root.block").alias("first")))
 
 
-def stitched(lines: DataFrame) -> DataFrame:
+def stitched(lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc_id, page, ord, n_blocks, text): a page's blocks in their order, those of a table as one at its first block's place,
-    read row by row; other blocks line by line."""
+    read row by row; other blocks line by line. Blocks and what is found of them are dealt by page once, to ``tasks`` tasks."""
     found = written(blocks(lines), "blocks")
-    of = firsts(neighbours(found))
-    grouped = found.join(of, [*PAGE, "block"], "left").withColumn("first", F.coalesce("first", "block")).groupBy(*PAGE, "first")
-    made = grouped.agg(F.count("*").alias("n_blocks"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "lines"))), lambda b: b["lines"])).alias("lines"))
+    of = firsts(neighbours(found, tasks))
+    own = F.array("lines")
+    rows = found.select(*PAGE, "block", own.alias("own"), F.lit(None).cast(found.schema["block"].dataType).alias("first"))
+    rows = rows.unionByName(of.select(*PAGE, "block", F.lit(None).cast(rows.schema["own"].dataType).alias("own"), "first")).repartition(*([tasks] if tasks else []), *PAGE)
+    each = rows.groupBy(*PAGE, "block").agg(F.flatten(F.collect_list("own")).alias("own"), F.max("first").alias("first"))
+    each = each.select(*PAGE, "block", F.explode("own").alias("lines"), F.coalesce("first", "block").alias("first"))
+    made = each.groupBy(*PAGE, "first").agg(F.count("*").alias("n_blocks"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "lines"))), lambda b: b["lines"])).alias("lines"))
     as_table = F.array_join(F.transform(table_rows(F.col("lines")), lambda r: F.array_join(r, " ")), "\n")
     text = F.when(F.col("n_blocks") > 1, as_table).otherwise(F.array_join(F.transform("lines", lambda l: l["text"]), "\n"))
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("first"))

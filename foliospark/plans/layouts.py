@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import layout as L, order as O, stitch as S
-from .elements import made
-from .queries import query
+from .elements import made, tasks
+from .queries import query, read
 
 # A page for each order: two lines of prose, then three columns of cells with a line for each item. The third column is beside
 # the second, beyond the widest gap, off the rows, or overlaps the second and is beside the first (order key modulo 4).
@@ -28,7 +28,8 @@ _SPREAD = {"duck": " CROSS JOIN (SELECT unnest([1, 1, 2, 3, 4]) AS c, unnest([1,
     SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY spot) AS INTEGER) AS ord, CAST(n_blocks AS BIGINT) AS n_blocks, text FROM g""")
 def stitched_cells(spark, sf_dir):
     """Blocks of every order's page, its cells stitched to tables."""
-    return S.stitched(made(spark, sf_dir, _LINES + _SPREAD["spark"])).select("doc_id", "ord", "n_blocks", "text")
+    n = tasks(spark, 3 * read(spark, sf_dir, "lineitem").count())  # an item has three cells
+    return S.stitched(made(spark, sf_dir, _LINES + _SPREAD["spark"], {"lineitem": "l_orderkey"}), n).select("doc_id", "ord", "n_blocks", "text")
 
 
 # Items as lines of three words, three lines an element. Table 1 claims the last two words of returned lines, table 2 all

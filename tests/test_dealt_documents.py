@@ -5,12 +5,13 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from foliospark.operators import units as U
+from foliospark.operators import stitch, units as U
 from foliospark.plans import elements
 
 DIR = "/root/testdata/sf0.001"
-#: Both sides of the items' join and the items by customer, for elements and for relations, and both by document.
-MOST = {"document_markdown": 7, "reader_edition": 7}
+#: Both sides of the items' join and the items by customer, for elements and for relations, and both by document; blocks and what
+#: is found of them by page.
+MOST = {"document_markdown": 7, "reader_edition": 7, "stitched_cells": 1}
 
 
 @pytest.mark.parametrize("name", sorted(MOST))
@@ -36,3 +37,13 @@ def test_units_keep_every_element(spark):
     r = spark.createDataFrame([(1, "continues_from", 9, 1, U.JOINED), (1, "continues_from", 1, 9, U.JOINED), (None, "continues_from", 2, 1, U.JOINED), (3, "caption_of", 1, 2, "rule"), (2, "continues_from", 5, 5, U.JOINED)], "doc_id long, type string, source int, target int, signal string")
     for how in ({}, {"tasks": 3}):
         assert sorted((x.doc_id or 0, x.unit) for x in U.units(e, r, **how).collect()) == [(0, "d"), (0, "e"), (1, "a"), (1, "b"), (1, "c"), (2, "f")]
+
+
+def test_neighbours_are_found_where_the_page_was_dealt_to(spark):
+    rows = [(d, 1, b, 1, 50.0 + 60 * (b % 3), 100.0 + 20 * (b // 3), 90.0 + 60 * (b % 3), 112.0 + 20 * (b // 3), f"w{b}") for d in range(9) for b in range(12)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, block long, ord int, x0 double, y0 double, x1 double, y1 double, text string")
+    found = stitch.blocks(lines.repartition(5, "doc_id"))
+    for df, most in ((found, 1), (stitch.neighbours(found, 7), 2)):
+        dealt = re.findall("Exchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString())
+        assert len(dealt) <= most
+    assert stitch.neighbours(found, 7).count() == stitch.neighbours(found).count() > 50
